@@ -55,3 +55,23 @@ def difference(df, con, sql) -> str | None:
     if bad:
         return f"{len(bad)} of {len(r1)} rows differ, first {str(bad[0][0])[:300]} != {str(bad[0][1])[:300]}"
     return None
+
+
+# Matrix products and the user's own functions run on Arrow batches in tasks.
+ARROW = {
+    "knn_topk", "text_neighbours", "supcon_loss", "contrastive_losses",
+    "batch_map", "batch_infer", "records_json",
+}
+
+
+def plan_text(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_faults(name: str, df) -> list[str]:
+    """What a physical plan must not hold."""
+    banned = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
+    if name not in ARROW:
+        banned += ["MapInPandas", "MapInArrow", "FlatMapGroups", "ArrowEvalPython"]
+    plan = plan_text(df)
+    return [b for b in banned if b in plan]

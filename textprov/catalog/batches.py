@@ -2,13 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from textprov.catalog.inputs import SQL_ESSAYS, SQL_SCORED, SQL_TEXTS, essays, scored, texts
+from textprov.catalog.inputs import (
+    SQL_ESSAYS, SQL_SCORED, SQL_TEXTS, corpus, essays, scored, texts,
+)
 from textprov.catalog.registry import query, sql_draw, sql_position, sql_uniform, sql_words
 from textprov.functions.tokens import words
 from textprov.functions.vectors import sigmoid
 from textprov.operators import batches as B, groups as G, pairs as P, tokens as K
 from textprov.operators.losses import bce_term
 from textprov.operators.sampling import hash_split
+from textprov.session import materialize
 
 BS = 16
 
@@ -181,7 +184,9 @@ losses AS (
 SELECT round(avg(m), 6) AS valid_loss, count(*) AS n_batches FROM losses""",
 )
 def mean_loss(spark, sf):
-    s = scored(spark, sf).select("id", bce_term("logit", "generated").alias("loss"))
+    s = materialize(
+        scored(spark, sf).select("id", bce_term("logit", "generated").alias("loss")), "losses"
+    )
     out = G.mean_loss(B.assign_batches(s, BS, 42))
     return out.withColumn("valid_loss", F.round("valid_loss", 6))
 
@@ -192,7 +197,10 @@ placed AS (
 
 
 def sized(spark, sf):
-    return texts(spark, sf).select("id", F.size(words("text")).alias("input_length"))
+    """Token lengths, stored as a tokenized table would have them."""
+    return materialize(
+        corpus(spark, sf).select("id", F.size(words("text")).alias("input_length")), "lengths"
+    )
 
 
 @query(

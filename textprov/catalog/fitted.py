@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textprov.catalog.inputs import SQL_TEXTS, essays, scored, texts
+from textprov.catalog.inputs import SQL_TEXTS, corpus, essays, scored, texts
 from textprov.catalog.registry import query
 from textprov.functions.text import add_question
 from textprov.models.detector import fit_best, fit_detector, score
@@ -22,7 +22,7 @@ def detector_scores(spark, sf):
     """Fit on the labelled train fold, score every document, labelled or not."""
     train, _ = split_essays(essays(spark, sf), 0.8)
     model = fit_detector(train.withColumn("text", add_question("text")), FEATURES, max_iter=20)
-    asked = texts(spark, sf).withColumn("text", add_question("text"))
+    asked = corpus(spark, sf).withColumn("text", add_question("text"))
     return score(model, asked).select("id", "prompt_id", "predictions", "logit")
 
 
@@ -37,13 +37,13 @@ def detector_search(spark, sf):
 def ranker_scores(spark, sf):
     train, _ = split_essays(essays(spark, sf), 0.8)
     model = fit_ranker(pair_texts(train), 256, max_iter=10)
-    return rank_score(model, texts(spark, sf)).select("id", "prompt_id", "logit")
+    return rank_score(model, corpus(spark, sf)).select("id", "prompt_id", "logit")
 
 
 @query("text_neighbours")
 def text_neighbours(spark, sf):
     """The essays most like each essay, by fitted text vectors."""
-    t = texts(spark, sf).select("id", "text")
+    t = corpus(spark, sf).select("id", "text")
     vectors = materialize(embed(fit_embedder(t, 128), t).drop("text"), "vectors")
     return knn(vectors, vectors, 3)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprov.catalog.registry import sql_words
 from textprov.functions.tokens import words
+from textprov.sources.readers import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,12 +22,17 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """``texts`` for work on every word, on all cores."""
+    return spread(texts(spark, sf), "id")
+
+
 def essays(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled essays: ``id, text, prompt_id, generated``."""
     labels = table(spark, sf, "labels").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("generated")
     )
-    return texts(spark, sf).join(labels, "id")
+    return corpus(spark, sf).join(labels, "id")
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:

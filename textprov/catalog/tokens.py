@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textprov.catalog.batches import BS, SQL_BY_LENGTH, sql_batches
-from textprov.catalog.inputs import SQL_ANSWERS, SQL_TEXTS, answers, table, texts
+from textprov.catalog.inputs import SQL_ANSWERS, SQL_TEXTS, answers, corpus, table, texts
 from textprov.catalog.registry import query, sql_draw, sql_position, sql_uniform, sql_words
 from textprov.catalog.strings import SQL_SOURCE
 from textprov.functions import tokens as T
@@ -47,18 +47,18 @@ def vocabulary(df, text="text"):
 
 
 def encoded(spark, sf):
-    t = texts(spark, sf)
+    t = corpus(spark, sf)
     return K.tokenize(t, vocabulary(t), SP)
 
 
 @query("token_set", f"SELECT DISTINCT unnest({sql_words('text')}) AS tok FROM documents")
 def token_set(spark, sf):
-    return K.token_set(table(spark, sf, "documents"))
+    return K.token_set(corpus(spark, sf))
 
 
 @query("vocab", f"WITH {SQL_TEXTS}, {sql_vocab('texts', base=0)} SELECT tok, n, tok_id FROM vocab")
 def vocab(spark, sf):
-    return K.build_vocab(texts(spark, sf))
+    return K.build_vocab(corpus(spark, sf))
 
 
 @query(
@@ -68,8 +68,8 @@ def vocab(spark, sf):
         WHERE tok NOT IN (SELECT unnest({sql_words('text')}) FROM benchmark)""",
 )
 def out_of_corpus(spark, sf):
-    corpus = K.token_set(table(spark, sf, "benchmark"))
-    return K.out_of_corpus(K.build_vocab(texts(spark, sf)), corpus)
+    used = K.token_set(table(spark, sf, "benchmark"))
+    return K.out_of_corpus(K.build_vocab(corpus(spark, sf)), used)
 
 
 @query(
@@ -91,7 +91,7 @@ cut AS (SELECT id, [1] || list_slice(ids, greatest(len(ids) - {MAX_LEN - 1} + 1,
 SELECT id, array_to_string(ids, ',') AS input_ids, len(ids)::INTEGER AS input_length FROM cut""",
 )
 def tokenize_cut(spark, sf):
-    t = texts(spark, sf)
+    t = corpus(spark, sf)
     out = K.tokenize(t, vocabulary(t), SP, max_len=MAX_LEN, side="left")
     return out.select("id", _list("input_ids").alias("input_ids"), "input_length")
 
@@ -103,7 +103,7 @@ def tokenize_cut(spark, sf):
 )
 def truncate_left(spark, sf):
     cut = T.truncate_tokens(T.words("text"), MAX_LEN, "left")
-    return texts(spark, sf).select("id", F.array_join(cut, " ").alias("tokens"))
+    return corpus(spark, sf).select("id", F.array_join(cut, " ").alias("tokens"))
 
 
 @query(
@@ -113,7 +113,7 @@ def truncate_left(spark, sf):
 )
 def truncate_right(spark, sf):
     cut = T.truncate_tokens(T.words("text"), MAX_LEN, "right")
-    return texts(spark, sf).select("id", F.array_join(cut, " ").alias("tokens"))
+    return corpus(spark, sf).select("id", F.array_join(cut, " ").alias("tokens"))
 
 
 @query(
@@ -121,7 +121,7 @@ def truncate_right(spark, sf):
     f"SELECT doc_id AS id, len({sql_words('text')})::INTEGER AS input_length FROM documents",
 )
 def input_length(spark, sf):
-    return texts(spark, sf).select("id", T.input_length(T.words("text")).alias("input_length"))
+    return corpus(spark, sf).select("id", T.input_length(T.words("text")).alias("input_length"))
 
 
 def _sql_padded(side: str) -> str:
@@ -216,7 +216,7 @@ def mask_labels_compat(spark, sf):
     f"""WITH {SQL_TEXTS} SELECT id, trim('<s> ' || array_to_string({sql_words('text')}, ' ')) AS decoded FROM texts""",
 )
 def decode(spark, sf):
-    t = texts(spark, sf)
+    t = corpus(spark, sf)
     voc = vocabulary(t)
     return K.decode(K.tokenize(t, voc, SP), voc)
 
@@ -230,10 +230,11 @@ FROM epoch e JOIN texts t ON t.id = e.id WHERE e.batch_id = 0 AND e.slot < 8""",
 )
 def preview(spark, sf):
     t = texts(spark, sf)
-    voc = vocabulary(t)
+    voc = vocabulary(corpus(spark, sf))
     batches = B.assign_batches(t.select("id"), BS, 42)
-    first = B.fetch_rows(batches.where(F.col("batch_id") == 0), K.tokenize(t, voc, SP))
-    return K.preview(first, voc, 8).select("slot", "id", "input_length", "decoded")
+    first = B.fetch_rows(batches.where(F.col("batch_id") == 0), t)
+    tokens = B.fetch_rows(first.select("id", "slot"), K.tokenize(first, voc, SP))
+    return K.preview(tokens, voc, 8).select("slot", "id", "input_length", "decoded")
 
 
 @query(

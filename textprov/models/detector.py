@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from textprov.functions.tokens import WORD_PATTERN
 from textprov.operators.metrics import roc_auc
 from textprov.operators.series import best_and_patience
+from textprov.session import materialize
 
 N_FEATURES = 1 << 18
 
@@ -43,12 +44,18 @@ def classifier(reg: float = 1e-3, max_iter: int = 50) -> LogisticRegression:
     )
 
 
+def prepare(features: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
+    """Stored ``features`` and kept columns; fits read them many times, texts once."""
+    return materialize(features.transform(df).select("features", *keep), "features")
+
+
 def fit_detector(
     train: DataFrame, n_features: int = N_FEATURES, reg: float = 1e-3, max_iter: int = 50
 ) -> PipelineModel:
     """Fit on ``text, generated``. The driver holds one weight per feature, no rows."""
-    stages = [*feature_stages(n_features), classifier(reg, max_iter)]
-    return Pipeline(stages=stages).fit(train.select("text", "generated"))
+    features = Pipeline(stages=feature_stages(n_features)).fit(train.select("text"))
+    ready = prepare(features, train, "generated")
+    return PipelineModel(stages=[features, classifier(reg, max_iter).fit(ready)])
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -75,20 +82,16 @@ def fit_best(
 ) -> Search:
     """Fit the grid in order until the holdout AUC has not improved ``patience`` times.
 
-    Features are made once. One number per fit reaches the driver. The log has a
+    Features are made once and stored. One number per fit reaches the driver. The log has a
     row per fit with ``best, is_best, patience``; the model is the latest best one.
     """
     spark = train.sparkSession
     features = Pipeline(stages=feature_stages(n_features)).fit(train.select("text"))
-    ready = features.transform(train.select("text", "generated")).select("features", "generated")
-    held = features.transform(valid.select("text", "generated")).select("features", "generated")
-    ready, held = ready.persist(), held.persist()
+    ready, held = (prepare(features, d, "generated") for d in (train, valid))
     rows, best, model, waited = [], None, None, 0
     for step, params in enumerate(grid):
         fitted = classifier(**params).fit(ready)
-        auc = (
-            roc_auc(score(fitted, held), "predictions", "generated").first()["auc"]
-        )
+        auc = roc_auc(score(fitted, held), "predictions", "generated").first()["auc"]
         rows.append(("search", step, str(params), auc))
         if auc is not None and (best is None or auc >= best):
             best, model, waited = auc, fitted, 0
@@ -96,8 +99,6 @@ def fit_best(
             waited += 1
         if waited >= patience:
             break
-    ready.unpersist()
-    held.unpersist()
     log = spark.createDataFrame(rows, "run string, step long, params string, metric double")
     chosen = [features, model] if model is not None else [features]
     return Search(PipelineModel(stages=chosen), best_and_patience(log))

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from textprov.models.detector import _words_stage
+from textprov.session import materialize
 
 RANK_FEATURES = 512
 
@@ -24,27 +25,31 @@ def _features(n: int) -> list:
 def fit_ranker(
     pairs: DataFrame, n_features: int = RANK_FEATURES, reg: float = 1e-2, max_iter: int = 30
 ) -> PipelineModel:
-    """Fit on ``human, ai`` texts: a hinge on feature differences, both signs, no intercept."""
-    numbered = pairs.select(
-        F.explode(F.array(F.struct(F.col("human").alias("text")), F.struct(F.col("ai").alias("text")))).alias("t")
-    ).select("t.text")
-    features = Pipeline(stages=_features(n_features)).fit(numbered)
-
-    def array_of(text: str, out: str):
-        return lambda df: features.transform(df.withColumn("text", F.col(text))).select(
-            *df.columns, vector_to_array("features").alias(out)
+    """Fit on ``pair_id, human, ai`` texts: a hinge on feature differences, both signs, no intercept."""
+    sides = F.explode(
+        F.array(
+            F.struct(F.col("ai").alias("text"), F.lit(1).alias("side")),
+            F.struct(F.col("human").alias("text"), F.lit(0).alias("side")),
         )
-
-    both = pairs.select("human", "ai").transform(array_of("human", "_h")).transform(array_of("ai", "_a"))
-    gap = F.zip_with("_a", "_h", lambda a, h: a - h)
+    )
+    texts = materialize(pairs.select("pair_id", sides.alias("t")).select("pair_id", "t.*"), "pairs")
+    features = Pipeline(stages=_features(n_features)).fit(texts.select("text"))
+    sided = features.transform(texts).select("pair_id", "side", vector_to_array("features").alias("x"))
+    gaps = sided.groupBy("pair_id").agg(
+        F.max_by("x", "side").alias("a"), F.min_by("x", "side").alias("h")
+    )
+    gap = F.zip_with("a", "h", lambda a, h: a - h)
     signed = F.explode(
         F.array(
             F.struct(F.lit(1.0).alias("label"), gap.alias("gap")),
             F.struct(F.lit(0.0).alias("label"), F.transform(gap, lambda x: -x).alias("gap")),
         )
     )
-    train = both.select(signed.alias("s")).select(
-        "s.label", array_to_vector("s.gap").alias("features")
+    train = materialize(
+        gaps.select(signed.alias("s")).select(
+            "s.label", array_to_vector("s.gap").alias("features")
+        ),
+        "gaps",
     )
     svc = LinearSVC(fitIntercept=False, regParam=reg, maxIter=max_iter).fit(train)
     return PipelineModel(stages=[features, svc])

@@ -10,6 +10,7 @@ from textprov.functions.draws import DRAW_BITS, draw
 from textprov.functions.vectors import sigmoid
 from textprov.operators.prefix import running, with_quantile_cells
 from textprov.operators.skew import salted_join
+from textprov.session import materialize
 
 MARGIN = 0.7  # fixed value: margin of both ranking losses
 TEMPERATURE = 0.1  # fixed value: temperature of the contrastive loss
@@ -52,7 +53,8 @@ def ranking_loss(
     text at ``p`` and a human one at ``q`` cost ``margin - p + q`` where positive, twice
     (both orders). Sorting the generated texts at ``p - margin`` among the human ones
     turns the sum over pairs into one running sum, so no pair is ever formed.
-    Labels are 0 or 1. ``n_cells=1`` suits groups of bounded size.
+    Labels are 0 or 1. The places are stored before they are cut into quantile cells;
+    ``n_cells=1`` suits groups of bounded size and does neither.
     """
     m = F.lit(float(margin))
     is_pos = F.col("_y") == 1
@@ -61,8 +63,10 @@ def ranking_loss(
     ).where(F.col("_y").isin(0, 1))
     # Descending thresholds: what comes before a generated text costs it something.
     placed = points.withColumn("_place", F.when(is_pos, m - F.col("_p")).otherwise(-F.col("_p")))
-    celled = with_quantile_cells(placed, "_place", "_bin", n_cells)
-    merged = celled.groupBy(by, "_bin", "_place", "_y", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    merged = placed.groupBy(by, "_place", "_y", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    if n_cells != 1:
+        merged = materialize(merged, "places")
+    merged = with_quantile_cells(merged, "_place", "_bin", n_cells)
     human = F.col("_n") * (1 - F.col("_y"))
     seen = running(
         merged,
@@ -87,12 +91,12 @@ def ranking_loss(
 def _similarity_sums(tau: float):
     """Per pair of tiles: each anchor's two sums over the texts of the other tile."""
 
-    def sums(table):
+    def sums(key, table):
         import numpy as np
         import pyarrow as pa
 
+        a, b = key[1].as_py(), key[2].as_py()
         tile = table["tile"].to_numpy()
-        a, b = tile.min(), tile.max()
         label = table["label"].to_numpy()
         flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         vec = flat.reshape(len(tile), -1).astype("float64")

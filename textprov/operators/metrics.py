@@ -11,6 +11,7 @@ from textprov.functions.vectors import sigmoid
 from textprov.operators.pairs import attach_truth
 from textprov.operators.prefix import running, with_quantile_cells
 from textprov.operators.rows import to_submission
+from textprov.session import materialize
 
 _COUNT = "decimal(38,0)"  # pair counts pass 2**63 long before rows do
 
@@ -25,23 +26,28 @@ def roc_auc(
 ) -> DataFrame:
     """Exact area under the ROC curve, ties at one half: ``*by, n_pos, n_neg, auc``.
 
-    Rows are first combined to distinct scores. The negatives below each score
-    come from a running sum over quantile cells of the score. Null with one class.
+    Rows are combined to distinct scores, which are stored, so the scores are made
+    once. The negatives below each score come from a running sum over quantile cells
+    of the score; ``n_cells=1`` suits groups of bounded size. Null with one class.
     """
     by = list(by)
     keys = by or ["_all"]
-    narrow = df.select(
-        *(by or [F.lit(0).alias("_all")]),
-        F.col(score).cast("double").alias("_score"),
-        F.col(label).cast("int").alias("_label"),
-    ).where(F.col("_score").isNotNull() & F.col("_label").isNotNull())
-    celled = with_quantile_cells(narrow, "_score", "_bin", n_cells)
-    points = celled.groupBy(*keys, "_bin", "_score").agg(
-        F.count_if(F.col("_label") == 1).alias("pos"),
-        F.count_if(F.col("_label") == 0).alias("neg"),
+    points = (
+        df.select(
+            *(by or [F.lit(0).alias("_all")]),
+            F.col(score).cast("double").alias("_score"),
+            F.col(label).cast("int").alias("_label"),
+        )
+        .groupBy(*keys, "_score")
+        .agg(
+            F.count_if(F.col("_label") == 1).alias("pos"),
+            F.count_if(F.col("_label") == 0).alias("neg"),
+        )
     )
+    stored = materialize(points, "scores").where(F.col("_score").isNotNull())
+    celled = with_quantile_cells(stored, "_score", "_bin", n_cells)
     ranked = running(
-        points, ["_score"], [F.col("_bin")], {"below": ("sum", F.col("neg"))}, by=keys, inclusive=False
+        celled, ["_score"], [F.col("_bin")], {"below": ("sum", F.col("neg"))}, by=keys, inclusive=False
     )
     twice = F.col("pos").cast(_COUNT) * (F.col("below") * 2 + F.col("neg")).cast("decimal(20,0)")
     sums = ranked.groupBy(*keys).agg(

@@ -60,6 +60,7 @@ def running(
 
     ``cells`` must follow ``order``: sorted by ``cells`` first, rows keep their
     order. ``order`` must be total. Rows with a null ``by`` key or cell are left out.
+    ``df`` is read twice, for the totals and for the rows: store what is dear to make.
     """
     by = list(by)
     names = [f"_cell{i}" for i in range(len(cells))]

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from textprov.functions import tokens as T
 from textprov.functions.draws import draw
 from textprov.functions.text import format_source
 from textprov.operators.prefix import draw_cell, number_rows
 from textprov.operators.skew import salted_join
+from textprov.session import materialize
 
-# The part of a vocabulary that may be broadcast: at most this many tokens of at
-# most this many characters, i.e. no more than about 20 MB.
-HEAD_TOKENS = 1 << 16
-HEAD_CHARS = 64
+# What a broadcast vocabulary may take in memory, and the longest token of a part of
+# it that is broadcast when the whole is larger. An entry takes its bytes (up to 4 per
+# character) and about ENTRY_BYTES besides.
+BROADCAST_BYTES = 128 << 20
+HEAD_CHARS = 32
+ENTRY_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -74,11 +77,12 @@ def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def build_vocab(df: DataFrame, text: str = "text", specials: Specials = NO_SPECIALS) -> DataFrame:
     """``tok, n, tok_id``: ids by falling count, after the reserved tokens.
 
-    Equal counts, most of the vocabulary, are ordered by draw and token, so that
-    they spread over the draw cells.
+    The counts are stored, so the texts are read once. Equal counts, most of the
+    vocabulary, are ordered by draw and token, so that they spread over the draw cells.
     """
     spark = df.sparkSession
-    counts = token_counts(df, text).withColumn("_draw", draw("vocab", F.col("tok")))
+    stored = materialize(token_counts(df, text), "counts")
+    counts = stored.withColumn("_draw", draw("vocab", F.col("tok")))
     numbered = number_rows(
         counts,
         order=[F.col("n").desc(), "_draw", "tok"],
@@ -100,43 +104,57 @@ def out_of_corpus(vocab: DataFrame, corpus: DataFrame) -> DataFrame:
     return vocab.join(corpus.select("tok"), "tok", "left_anti")
 
 
-def _lookup(long: DataFrame, vocab: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Left-join a token table to the vocabulary on ``tok`` or ``tok_id``.
+def _translate(
+    df: DataFrame, vocab: DataFrame, column: str, key: str, value: str, id: str, budget: int
+) -> DataFrame:
+    """``id, _found``: each list's vocabulary values, null for what is not in it.
 
-    The frequent entries cover most rows and are few: they are broadcast. Only rows
-    they do not cover are shuffled, salted, since an unknown token can be frequent.
+    Lists are exploded, joined and put back per id; partial lists are combined where
+    they are read, so one row per list and task crosses the shuffle. The vocabulary is
+    measured. One that fits the budget is broadcast. Of a larger one the frequent
+    entries are, which cover nearly all tokens; the tokens they miss are shuffled to
+    the rest of it, salted, since a token in no vocabulary can be frequent too.
     """
-    fits = (F.col("tok_id") < HEAD_TOKENS) & (F.length("tok") <= HEAD_CHARS)
     pairs = vocab.select("tok", "tok_id")
-    head = F.broadcast(pairs.where(fits))
-    rest = pairs.where(~fits)
-    if rest.isEmpty():
-        return long.join(head, key, "left")
-    found = long.join(head, key)
-    missed = long.join(F.broadcast(pairs.where(fits).select(key)), key, "left_anti")
-    return found.unionByName(salted_join(missed, rest, [key], spread, "left"))
-
-
-def _regroup(long: DataFrame, id: str, value: str, out: str) -> DataFrame:
-    """Values of each id back in one ordered list; rows of an id are combined where
-    they are read, so one row per text and task crosses the shuffle."""
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.col(value).alias("v")))
-    return long.groupBy(id).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["v"]).alias(out)
+    size = pairs.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("tok")), F.lit(0)).alias("b")
+    ).first()
+    long = df.select(id, F.posexplode_outer(column).alias("_pos", key))
+    if size["n"] * ENTRY_BYTES + size["b"] <= budget:
+        looked = long.join(F.broadcast(pairs), key, "left")
+    else:
+        most = budget // (ENTRY_BYTES + 4 * HEAD_CHARS)
+        fits = (F.col("tok_id") < most) & (F.length("tok") <= HEAD_CHARS)
+        head, tail = F.broadcast(pairs.where(fits)), pairs.where(~fits)
+        missed = long.join(head.select(key), key, "left_anti")
+        looked = long.join(head, key).unionByName(
+            salted_join(missed, tail, [key], F.struct(id, "_pos"), "left")
+        )
+    entry = F.struct(F.col("_pos").alias("pos"), F.col(value).alias("v"))
+    return looked.groupBy(id).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), entry))),
+            lambda e: e["v"],
+        ).alias("_found")
     )
 
 
-def encode(df: DataFrame, vocab: DataFrame, tokens: str, specials: Specials, id: str = "id") -> DataFrame:
-    """``id, input_ids`` for a column of token lists."""
-    long = df.select(id, F.posexplode_outer(tokens).alias("_pos", "tok"))
-    looked = _lookup(long, vocab, "tok", F.struct(F.col(id), F.col("_pos")))
-    if specials.unk is not None:
-        looked = looked.withColumn(
-            "tok_id", F.coalesce("tok_id", F.lit(specials.id_of(specials.unk)))
-        )
-    else:  # no unknown token: such tokens are left out
-        looked = looked.withColumn("_pos", F.when(F.col("tok_id").isNotNull(), F.col("_pos")))
-    return _regroup(looked, id, "tok_id", "input_ids")
+def encode(
+    df: DataFrame,
+    vocab: DataFrame,
+    tokens: str,
+    specials: Specials,
+    id: str = "id",
+    budget: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``id, input_ids`` for a column of token lists; without an unknown token, tokens
+    that are not in the vocabulary are left out."""
+    found = _translate(df, vocab, tokens, "tok", "tok_id", id, budget)
+    if specials.unk is None:
+        ids = F.filter("_found", lambda x: x.isNotNull())
+    else:
+        ids = F.transform("_found", lambda x: F.coalesce(x, F.lit(specials.id_of(specials.unk))))
+    return found.select(id, ids.alias("input_ids"))
 
 
 def tokenize(
@@ -172,12 +190,16 @@ def tokenize(
     )
 
 
-def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", id: str = "id") -> DataFrame:
+def decode(
+    df: DataFrame,
+    vocab: DataFrame,
+    ids: str = "input_ids",
+    id: str = "id",
+    budget: int = BROADCAST_BYTES,
+) -> DataFrame:
     """``id, decoded``: the tokens of each id list, joined by blanks."""
-    long = df.select(id, F.posexplode_outer(ids).alias("_pos", "tok_id"))
-    looked = _lookup(long, vocab, "tok_id", F.struct(F.col(id), F.col("_pos")))
-    out = _regroup(looked, id, "tok", "_toks")
-    return out.select(id, F.array_join("_toks", " ").alias("decoded"))
+    found = _translate(df, vocab, ids, "tok_id", "tok", id, budget)
+    return found.select(id, F.array_join("_found", " ").alias("decoded"))
 
 
 # --- batches of token lists ----------------------------------------------------

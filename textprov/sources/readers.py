@@ -39,6 +39,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(conf).exists(jvm_path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of few, large pieces as many tasks as the session has cores.
+
+    A small parquet file or a multi-line CSV file is one task, which would then do
+    all the text work. A scan that already has enough tasks is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def conform(df: DataFrame, schema: T.StructType, words_are_null: bool = True) -> DataFrame:
     """The columns of ``schema`` that ``df`` has, by name; unreadable numbers become null."""
     columns = []
@@ -69,7 +79,7 @@ def read_essays(
     if fmt == "auto":
         fmt = "csv" if path_exists(spark, f"{base}.csv") else "parquet"
     if fmt == "csv":
-        return conform(read_csv(spark, f"{base}.csv"), ESSAYS)
+        return spread(conform(read_csv(spark, f"{base}.csv"), ESSAYS), "id")
     return conform(spark.read.parquet(f"{base}.parquet"), ESSAYS, words_are_null=False)
 
 
