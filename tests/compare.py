@@ -57,8 +57,11 @@ def difference(df, con, sql) -> str | None:
     return None
 
 
-# Matrix products and the user's own functions run on Arrow batches in tasks.
+# Matrix products, vocabulary look-ups and the user's own functions run on Arrow
+# batches in tasks.
 ARROW = {
+    "tokenize", "tokenize_cut", "decode", "preview", "mask_augment", "pad_batch",
+    "pad_batch_right", "mask_labels", "mask_labels_cut", "mask_labels_compat",
     "knn_topk", "text_neighbours", "supcon_loss", "contrastive_losses",
     "batch_map", "batch_infer", "records_json",
 }

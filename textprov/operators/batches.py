@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textprov.functions.draws import uniform
-from textprov.operators.prefix import number_rows, shuffled_positions
+from textprov.operators.prefix import shuffled_positions
+from textprov.session import materialize
 
 
 def batch_columns(df: DataFrame, batch_size: int) -> DataFrame:
@@ -62,8 +63,9 @@ def prompt_batches(
     ``batch_size`` texts. Columns: ``batch_id, slot, id, replaced``.
     """
     rows = df.where(F.col("prompt_id").isNotNull()).select(id, "prompt_id")
-    epoch_rows = assign_batches(rows, batch_size, f"{seed}:{epoch}", id)
-    sizes = rows.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"))
+    # Read several times each, so stored: the numbered epoch and the prompt sizes.
+    epoch_rows = materialize(assign_batches(rows, batch_size, f"{seed}:{epoch}", id), "epoch")
+    sizes = materialize(rows.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n")), "prompts")
     prompts = sizes.where(F.col("n") >= batch_size)
     any_prompt = prompts.agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     swap = any_prompt & (uniform(seed, "swap", epoch, F.col("batch_id")) < F.lit(float(p)))
@@ -103,9 +105,12 @@ def balanced_batches(
     rows = df.where(F.col("prompt_id").isNotNull() & F.col("generated").isNotNull()).select(
         id, "prompt_id", F.col("generated").cast("int").alias("generated")
     )
-    sizes = rows.groupBy("prompt_id").agg(
-        F.count_if(F.col("generated") == 1).alias("n_pos"),
-        F.count_if(F.col("generated") == 0).alias("n_neg"),
+    sizes = materialize(
+        rows.groupBy("prompt_id").agg(
+            F.count_if(F.col("generated") == 1).alias("n_pos"),
+            F.count_if(F.col("generated") == 0).alias("n_neg"),
+        ),
+        "prompts",
     )
     prompts = sizes.where((F.col("n_pos") >= k) & (F.col("n_neg") >= k))
     if n_batches is None:

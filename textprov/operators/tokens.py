@@ -104,39 +104,88 @@ def out_of_corpus(vocab: DataFrame, corpus: DataFrame) -> DataFrame:
     return vocab.join(corpus.select("tok"), "tok", "left_anti")
 
 
+def _head_lookup(shared, column: str, key: str):
+    """Per Arrow batch: values of every list entry, and the entries not found."""
+
+    def look(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        keys, values = shared.value
+        for batch in batches:
+            lists = batch.column(column)
+            flat = lists.flatten()
+            at = pc.index_in(flat, value_set=keys)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            ends = np.cumsum(sizes, dtype="int64")
+            starts = ends - sizes
+            offsets = pa.array(np.append(starts, ends[-1:]).astype("int32"))
+            miss = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+            row = np.searchsorted(ends, miss, side="right")
+            bounds = pa.array(
+                np.append(0, np.cumsum(np.bincount(row, minlength=len(sizes)))).astype("int32")
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.ListArray.from_arrays(offsets, pc.take(values, at)),
+                    pa.ListArray.from_arrays(bounds, pa.array((miss - starts[row]).astype("int32"))),
+                    pa.ListArray.from_arrays(bounds, flat.take(pa.array(miss))),
+                ],
+                names=[batch.schema.names[0], "_found", "_at", key],
+            )
+
+    return look
+
+
 def _translate(
     df: DataFrame, vocab: DataFrame, column: str, key: str, value: str, id: str, budget: int
 ) -> DataFrame:
     """``id, _found``: each list's vocabulary values, null for what is not in it.
 
-    Lists are exploded, joined and put back per id; partial lists are combined where
-    they are read, so one row per list and task crosses the shuffle. The vocabulary is
-    measured. One that fits the budget is broadcast. Of a larger one the frequent
-    entries are, which cover nearly all tokens; the tokens they miss are shuffled to
-    the rest of it, salted, since a token in no vocabulary can be frequent too.
+    The vocabulary is measured. One that fits the budget goes to every task as two
+    Arrow arrays and the lists are looked up where they are, without a shuffle. Of a
+    larger one the frequent entries go, which cover nearly all tokens; that pass is
+    stored, and only the tokens it missed are joined to the rest of the vocabulary,
+    salted, since a token in no vocabulary can be frequent too.
     """
     pairs = vocab.select("tok", "tok_id")
     size = pairs.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("tok")), F.lit(0)).alias("b")
     ).first()
-    long = df.select(id, F.posexplode_outer(column).alias("_pos", key))
-    if size["n"] * ENTRY_BYTES + size["b"] <= budget:
-        looked = long.join(F.broadcast(pairs), key, "left")
-    else:
-        most = budget // (ENTRY_BYTES + 4 * HEAD_CHARS)
-        fits = (F.col("tok_id") < most) & (F.length("tok") <= HEAD_CHARS)
-        head, tail = F.broadcast(pairs.where(fits)), pairs.where(~fits)
-        missed = long.join(head.select(key), key, "left_anti")
-        looked = long.join(head, key).unionByName(
-            salted_join(missed, tail, [key], F.struct(id, "_pos"), "left")
-        )
-    entry = F.struct(F.col("_pos").alias("pos"), F.col(value).alias("v"))
-    return looked.groupBy(id).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), entry))),
-            lambda e: e["v"],
-        ).alias("_found")
+    whole = size["n"] * ENTRY_BYTES + size["b"] <= budget
+    most = budget // (ENTRY_BYTES + 4 * HEAD_CHARS)
+    fits = F.lit(True) if whole else (F.col("tok_id") < most) & (F.length("tok") <= HEAD_CHARS)
+    head = pairs.where(fits).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast(
+        tuple(head[c].combine_chunks() for c in (key, value))
+    )
+    types = dict(vocab.dtypes)
+    looked = df.select(id, column).mapInArrow(
+        _head_lookup(shared, column, key),
+        f"`{id}` {dict(df.dtypes)[id]}, _found array<{types[value]}>, "
+        f"_at array<int>, {key} array<{types[key]}>",
+    )
+    if whole:
+        return looked.select(id, "_found")
+
+    stored = materialize(looked, "lists")
+    some = F.size("_at") > 0
+    missed = stored.where(some).select(
+        id, F.explode(F.arrays_zip("_at", key)).alias("_m")
+    ).select(id, "_m.*")
+    rest = salted_join(missed, pairs.where(~fits), [key], F.struct(id, "_at"), "left")
+    more = rest.groupBy(id).agg(
+        F.collect_list(F.struct(F.col("_at").alias("at"), F.col(value).alias("v"))).alias("_more")
+    )
+    here = F.filter(
+        F.transform("_found", lambda v, i: F.struct(i.alias("at"), v.alias("v"))),
+        lambda e: e["v"].isNotNull(),
     )
+    filled = F.transform(F.array_sort(F.concat(here, "_more")), lambda e: e["v"])
+    joined = stored.where(some).join(more, id).select(id, filled.alias("_found"))
+    return stored.where(~some).select(id, "_found").unionByName(joined)
 
 
 def encode(
