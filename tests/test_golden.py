@@ -205,3 +205,18 @@ def test_padding(spark):
     assert one(spark, T.truncate_tokens(ids, 2, "left")) == [8, 9]
     assert one(spark, T.truncate_tokens(ids, 2, "right")) == [7, 8]
     assert one(spark, T.truncate_tokens(ids, 9, "left")) == [7, 8, 9]
+
+
+def test_mask_augment_bounds(spark):
+    ids = F.array(*[F.lit(i) for i in range(12)])
+
+    def masked(p):
+        return one(spark, T.mask_augment(ids, p, 0, [0, 1, 2], 5, F.lit("k")))
+
+    assert masked(0.0) == list(range(12))
+    assert masked(1.0) == [0, 1, 2] + [0] * 9
+    empty = F.array().cast("array<int>")
+    assert one(spark, T.mask_augment(empty, 0.5, 0, [], 5, F.lit("k"))) == []
+    wide = F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda i: F.lit(7))
+    share = one(spark, T.mask_augment(wide, 0.15, 0, [], 5, F.lit("k"))).count(0) / 5000
+    assert 0.13 < share < 0.17

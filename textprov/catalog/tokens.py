@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from textprov.catalog.batches import BS, SQL_BY_LENGTH, sql_batches
 from textprov.catalog.inputs import SQL_ANSWERS, SQL_TEXTS, answers, corpus, table, texts
-from textprov.catalog.registry import query, sql_draw, sql_position, sql_uniform, sql_words
+from textprov.catalog.registry import query, sql_draw, sql_words
 from textprov.catalog.strings import SQL_SOURCE
 from textprov.functions import tokens as T
 from textprov.functions.text import format_source
@@ -241,7 +241,7 @@ def preview(spark, sf):
     "mask_augment",
     f"""WITH {SQL_BASE},
 each AS (SELECT id, unnest(ids) AS x, unnest(range(len(ids))) AS i FROM encoded)
-SELECT id, string_agg((CASE WHEN x > 2 AND {sql_uniform(9, 'id', 'i')} < 0.15::DOUBLE THEN 0 ELSE x END)::VARCHAR,
+SELECT id, string_agg((CASE WHEN x > 2 AND substr(md5(concat_ws(':', '9', id, i // 5)), (i % 5) * 6 + 1, 6) < '{round(0.15 * (1 << 24)):06x}' THEN 0 ELSE x END)::VARCHAR,
                       ',' ORDER BY i) AS input_ids
 FROM each GROUP BY 1""",
 )

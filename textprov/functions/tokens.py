@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from textprov.functions.draws import uniform
-
 # Words, or single signs that are neither separators nor control characters.
 WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\p{Z}\p{Cc}]"
 IGNORE_INDEX = -100  # fixed value: label positions a loss skips
@@ -60,11 +58,25 @@ def mask_labels(tokens, source_length) -> Column:
 
 
 def mask_augment(tokens, p: float, pad_id: int, special_ids, seed, key) -> Column:
-    """Replace each ordinary token by the pad id with probability ``p``."""
+    """Replace each ordinary token by the pad id with probability ``p``.
+
+    One digest of ``seed:key:block`` serves five positions, six hex digits each; the
+    digits are compared as text, which orders them as numbers.
+    """
     special = [int(s) for s in special_ids]
-    return F.transform(
-        _col(tokens),
-        lambda x, i: F.when(
-            (~x.isin(special)) & (uniform(seed, _col(key), i) < F.lit(float(p))), F.lit(pad_id)
-        ).otherwise(x),
+    limit = F.lit("g" if p >= 1 else f"{round(p * (1 << 24)):06x}")
+    c = _col(tokens)
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(c) - 1, F.lit(0)) / 5).cast("int"))
+    digests = F.transform(
+        blocks,
+        lambda b: F.md5(F.concat_ws(":", F.lit(str(seed)), _col(key).cast("string"), b.cast("string"))),
+    )
+
+    def masked(d, x, i):
+        digits = F.substring(F.get(d, F.floor(i / 5).cast("int")), (i % 5) * 6 + 1, F.lit(6))
+        return F.when((~x.isin(special)) & (digits < limit), F.lit(pad_id)).otherwise(x)
+
+    # The digests are one value per row: bind them once, not once per position.
+    return F.flatten(
+        F.transform(F.array(digests), lambda d: F.transform(c, lambda x, i: masked(d, x, i)))
     )

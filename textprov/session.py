@@ -13,7 +13,7 @@ def local_session(cpus: int | str = 8, app: str = "textprov") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         # Token lists are put back per text; 128 texts per task would fall back to sorting.
