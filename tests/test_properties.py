@@ -152,6 +152,23 @@ def test_knn_broadcast_and_tiles(spark, limit, text_ids):
     assert {(name(r["query_id"]), r["rank"]): name(r["id"]) for r in got} == expected
 
 
+def test_knn_approx(spark):
+    v = _unit(300, 8, 3)
+    v[100:200] = v[0]  # a third of the texts are copies, all in one bucket
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<float>")
+    exact = X.knn(df, df, 4)
+    # One bucket: everything is compared, in tiles.
+    everything = X.knn_approx(df, df, 4, planes=0, tables=1, tile_rows=64)
+    assert X.knn_recall(everything, exact).first()["recall"] == 1.0
+    some = X.knn_approx(df, df, 4, planes=2, tables=4, tile_rows=64)
+    row = X.knn_recall(some, exact).first()
+    assert row["n"] == 1200 and 0.6 < row["recall"] <= 1.0
+    v = v.astype("float32").astype("float64")
+    for r in some.collect():
+        assert r["query_id"] != r["id"]
+        assert r["sim"] == pytest.approx(v[r["query_id"]] @ v[r["id"]], abs=1e-8)
+
+
 def test_supcon_tiles_agree(spark):
     v = _unit(90, 6, 5)
     df = spark.createDataFrame(

@@ -84,6 +84,18 @@ def knn_topk(spark, sf):
     return X.knn(v, v, 5).withColumn("sim", F.round("sim", 6))
 
 
+@query("knn_approx")
+def knn_approx(spark, sf):
+    v = _vectors(spark, sf)
+    return X.knn_approx(v, v, 5)
+
+
+@query("knn_recall")
+def knn_recall(spark, sf):
+    v = _vectors(spark, sf)
+    return X.knn_recall(X.knn_approx(v, v, 5), X.knn(v, v, 5))
+
+
 @query("sigmoid", f"WITH {SQL_SCORED} SELECT id, logit, round(p, 9) AS p FROM probs")
 def sigmoid(spark, sf):
     return scored(spark, sf).select("id", "logit", F.round(V.sigmoid("logit"), 9).alias("p"))

@@ -155,8 +155,7 @@ def knn(
     else:
         per_tile = max(1, min(tile_rows, broadcast_bytes // max(1, dim * 8)))
         found = _knn_tiles(q, c, k, exclude_self, digits, out, per_tile, tile_rows, n)
-    order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _ranked(found, k)
 
 
 def _knn_broadcast(q, c, k, exclude_self, digits, out):
@@ -169,19 +168,115 @@ def _knn_broadcast(q, c, k, exclude_self, digits, out):
     return c.mapInArrow(_scan_corpus(shared, k, exclude_self, digits, 512), out)
 
 
-def _knn_tiles(q, c, k, exclude_self, digits, out, q_rows, c_rows, n_queries):
-    def tile(tag: str, n: int):
-        return F.floor(draw(tag, F.col("id")) * F.lit(n) / F.lit(float(1 << DRAW_BITS))).cast("int")
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
 
-    def each(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def _tile(tag: str, tiles):
+    """The tile of a row, by draw."""
+    return F.floor(draw(tag, F.col("id")) * tiles / F.lit(float(1 << DRAW_BITS))).cast("int")
 
-    q_tiles = max(1, math.ceil(n_queries / q_rows))
-    c_tiles = max(1, math.ceil(c.count() / c_rows))
-    left = q.withColumn("qt", tile("query", q_tiles)).withColumn("ct", each(c_tiles))
-    right = c.withColumn("ct", tile("corpus", c_tiles)).withColumn("qt", each(q_tiles))
+
+def _each(tiles):
+    return F.explode(F.sequence(F.lit(0), tiles - 1))
+
+
+def _match(left, right, keys, k, exclude_self, digits, out):
     return (
-        left.groupBy("qt", "ct")
-        .cogroup(right.groupBy("qt", "ct"))
+        left.groupBy(*keys)
+        .cogroup(right.groupBy(*keys))
         .applyInArrow(_match_tiles(k, exclude_self, digits), out)
     )
+
+
+def _knn_tiles(q, c, k, exclude_self, digits, out, q_rows, c_rows, n_queries):
+    q_tiles = F.lit(max(1, math.ceil(n_queries / q_rows)))
+    c_tiles = F.lit(max(1, math.ceil(c.count() / c_rows)))
+    left = q.withColumn("qt", _tile("query", q_tiles)).withColumn("ct", _each(c_tiles))
+    right = c.withColumn("ct", _tile("corpus", c_tiles)).withColumn("qt", _each(q_tiles))
+    return _match(left, right, ["qt", "ct"], k, exclude_self, digits, out)
+
+
+def _signs(directions, tables: int):
+    """Per Arrow batch: one bucket per table, the signs of the table's directions."""
+    _, matrix, _, _ = _top_k(1, False, 9)
+
+    def sign(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            side = matrix(batch.column("vec")) @ directions > 0
+            bits = side.reshape(batch.num_rows, tables, -1)
+            bucket = (bits * (1 << np.arange(bits.shape[2]))).sum(axis=2)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(bucket.astype("int32").tolist(), pa.list_(pa.int32()))],
+                names=[*batch.schema.names, "buckets"],
+            )
+
+    return sign
+
+
+def knn_approx(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    planes: int = 4,
+    tables: int = 8,
+    vec: str = "vec",
+    id: str = "id",
+    exclude_self: bool = True,
+    digits: int = 9,
+    tile_rows: int = 4096,
+    seed: int = 0,
+) -> DataFrame:
+    """Near neighbours among the texts that share a bucket in any table.
+
+    A bucket is the signs of ``planes`` random directions. Similarities are exact; a
+    neighbour is missed if no table puts both texts in one bucket, so measure
+    ``knn_recall``. Buckets are cut into tiles by their counts, so one that holds a
+    third of all texts is many tasks; its texts are all compared.
+    """
+    import numpy as np
+
+    if tables << planes > 1 << 16:
+        raise ValueError("too many buckets to send their counts to every task")
+    q = queries.select(F.col(id).alias("id"), F.col(vec).alias("vec"))
+    c = corpus.select(F.col(id).alias("id"), F.col(vec).alias("vec"))
+    dim = c.agg(F.max(F.size("vec")).alias("dim")).first()["dim"]
+    if dim is None:
+        raise ValueError("the corpus is empty")
+    directions = np.random.default_rng(seed).normal(size=(dim, tables * planes))
+
+    def placed(df: DataFrame) -> DataFrame:
+        schema = df.withColumn("buckets", F.lit(None).cast("array<int>")).schema
+        signed = df.mapInArrow(_signs(directions, tables), schema)
+        return signed.select("id", "vec", F.posexplode("buckets").alias("table", "bucket"))
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        tiles = F.ceil(F.count(F.lit(1)) / F.lit(float(tile_rows))).cast("int")
+        return df.groupBy("table", "bucket").agg(tiles.alias(name))
+
+    left, right = placed(q), placed(c)
+    # At most one row per bucket, and the number of buckets is bounded above.
+    tiles = F.broadcast(sizes(left, "qts").join(sizes(right, "cts"), ["table", "bucket"]))
+    left = left.join(tiles, ["table", "bucket"]).select(
+        "id", "vec", "table", "bucket", _tile("query", F.col("qts")).alias("qt"), _each(F.col("cts")).alias("ct")
+    )
+    right = right.join(tiles, ["table", "bucket"]).select(
+        "id", "vec", "table", "bucket", _tile("corpus", F.col("cts")).alias("ct"), _each(F.col("qts")).alias("qt")
+    )
+    out = q.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim")).schema
+    found = _match(left, right, ["table", "bucket", "qt", "ct"], k, exclude_self, digits, out)
+    return _ranked(found.groupBy("query_id", "id").agg(F.max("sim").alias("sim")), k)
+
+
+def knn_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``n, recall``: the share of exact neighbours that were found."""
+    hits = found.select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(hits, ["query_id", "id"], "left").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall")
+    )
