@@ -92,6 +92,18 @@ def test_prompt_batches(hot):
     assert len(none) == 3000 and not any(r["replaced"] for r in none)
 
 
+def test_requests_for_small_prompts_are_spread(hot, monkeypatch):
+    columns = ["batch_id", "slot", "id"]
+
+    def drawn():
+        both = B.balanced_batches(hot, 8, 42).select(columns), B.prompt_batches(hot, 16, 42).select(columns)
+        return [sorted(map(tuple, df.collect())) for df in both]
+
+    plain = drawn()
+    monkeypatch.setattr(B, "REQUESTS_PER_KEY", 0.5)  # every text is repeated
+    assert drawn() == plain
+
+
 def test_id_lists_are_whole_and_bounded(hot):
     rows = G.ids_by_prompt(hot, 64).collect()
     assert max(r["n"] for r in rows) == 64

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textprov.functions.draws import uniform
 from textprov.operators.prefix import shuffled_positions
+from textprov.operators.skew import salted_join
 from textprov.session import materialize
 
 
@@ -34,23 +35,47 @@ def assign_batches(
     return batch_columns(shuffled_positions(df, id, seed, first=first), batch_size)
 
 
-def _numbered_prompts(prompts: DataFrame, seed) -> DataFrame:
-    return shuffled_positions(prompts, "prompt_id", f"{seed}:prompts", name="prompt_no")
+# A text of a small prompt is asked for by many batches. Its row is repeated so that
+# about this many requests meet in one join key.
+REQUESTS_PER_KEY = 1000
 
 
-def _pick(batches: DataFrame, prompts: DataFrame, seed) -> DataFrame:
+def _copies(requests: int, n_prompts: int, n: Column) -> Column:
+    """Repeats of each text of a prompt of ``n`` texts, all prompts drawn alike.
+
+    One for prompts of usual size; over all prompts the repeats add at most
+    ``requests / REQUESTS_PER_KEY`` rows.
+    """
+    per_text = F.lit(requests / max(n_prompts, 1) / REQUESTS_PER_KEY) / n
+    return F.greatest(F.ceil(per_text), F.lit(1)).cast("int")
+
+
+def _pick(batches: DataFrame, prompts: DataFrame, n_prompts: int, seed) -> DataFrame:
     """One uniformly drawn prompt for each batch; no batch if there is no prompt."""
-    total = prompts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    number = F.floor(uniform(seed, "pick", F.col("batch_id")) * total).cast("bigint")
-    return batches.withColumn("prompt_no", number).join(
-        _numbered_prompts(prompts, seed), "prompt_no"
+    number = F.floor(uniform(seed, "pick", F.col("batch_id")) * F.lit(n_prompts)).cast("bigint")
+    numbered = shuffled_positions(prompts, "prompt_id", f"{seed}:prompts", name="prompt_no")
+    return batches.withColumn("prompt_no", number).join(numbered, "prompt_no")
+
+
+def _fill(picked: DataFrame, k: Column, ranked: DataFrame, group: list[str], seed, *tag) -> DataFrame:
+    """The texts of each picked block: ``k`` consecutive ranks of a ring of ``n`` texts,
+    from a drawn start. ``picked`` and the group sizes hold ``n`` and ``copies``."""
+    start = F.floor(uniform(seed, "offset", *tag, F.col("batch_id")) * F.col("n")).cast("bigint")
+    asked = picked.select(
+        "batch_id", *group, "n", "copies",
+        start.alias("_start"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("i"),
+    ).select(
+        "batch_id", *group, "i",
+        F.pmod(F.col("_start") + F.col("i"), F.col("n")).alias("rank"),
+        F.pmod(F.xxhash64("batch_id"), F.col("copies")).cast("int").alias("copy"),
     )
+    return asked.join(ranked, [*group, "rank", "copy"])
 
 
-def _block(k: Column, n: Column, seed, *tag) -> dict[str, Column]:
-    """``k`` consecutive ranks of a ring of ``n``, from a drawn start."""
-    start = F.floor(uniform(seed, "offset", *tag, F.col("batch_id")) * n).cast("bigint")
-    return {"_start": start, "_i": F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1))}
+def _repeat(ranked: DataFrame, sizes: DataFrame, group: list[str], id: str) -> DataFrame:
+    copies = salted_join(ranked, sizes.select(*group, "copies"), group, F.col(id))
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
 
 
 def prompt_batches(
@@ -62,32 +87,36 @@ def prompt_batches(
     as many distinct texts of one prompt, drawn among the prompts with at least
     ``batch_size`` texts. Columns: ``batch_id, slot, id, replaced``.
     """
+    key = f"{seed}:{epoch}"
     rows = df.where(F.col("prompt_id").isNotNull()).select(id, "prompt_id")
-    # Read several times each, so stored: the numbered epoch and the prompt sizes.
-    epoch_rows = materialize(assign_batches(rows, batch_size, f"{seed}:{epoch}", id), "epoch")
     sizes = materialize(rows.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n")), "prompts")
-    prompts = sizes.where(F.col("n") >= batch_size)
-    any_prompt = prompts.agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
-    swap = any_prompt & (uniform(seed, "swap", epoch, F.col("batch_id")) < F.lit(float(p)))
-
-    kept = epoch_rows.where(~swap).select("batch_id", "slot", id, F.lit(False).alias("replaced"))
-    batches = (
-        epoch_rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("k")).where(swap)
+    enough = F.col("n") >= batch_size
+    totals = sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(enough).alias("prompts")
+    ).first()
+    n_rows, n_prompts = totals["rows"], totals["prompts"]
+    n_batches = -(-n_rows // batch_size)
+    swap = F.lit(n_prompts > 0) & (
+        uniform(seed, "swap", epoch, F.col("batch_id")) < F.lit(float(p))
+    )
+    kept = assign_batches(rows, batch_size, key, id).where(~swap).select(
+        "batch_id", "slot", id, F.lit(False).alias("replaced")
     )
+
+    batches = df.sparkSession.range(n_batches).withColumnRenamed("id", "batch_id").where(swap)
+    prompts = sizes.where(enough).withColumn("copies", _copies(n_rows, n_prompts, F.col("n")))
     ranked = shuffled_positions(rows, id, f"{seed}:rank", by=["prompt_id"], name="rank")
-    blocks = _pick(batches, prompts, f"{seed}:{epoch}")
-    plan = blocks.select(
-        "batch_id", "prompt_id", "n",
-        *[c.alias(a) for a, c in _block(F.col("k"), F.col("n"), f"{seed}:{epoch}").items()],
-    ).select(
-        "batch_id", "prompt_id",
-        F.col("_i").alias("slot"),
-        F.pmod(F.col("_start") + F.col("_i"), F.col("n")).alias("rank"),
+    k = F.least(F.lit(batch_size), F.lit(n_rows) - F.col("batch_id") * batch_size).cast("bigint")
+    filled = _fill(
+        _pick(batches, prompts, n_prompts, key),
+        k,
+        _repeat(ranked, prompts, ["prompt_id"], id),
+        ["prompt_id"],
+        key,
     )
-    replaced = plan.join(ranked, ["prompt_id", "rank"]).select(
-        "batch_id", "slot", id, F.lit(True).alias("replaced")
+    return kept.unionByName(
+        filled.select("batch_id", F.col("i").alias("slot"), id, F.lit(True).alias("replaced"))
     )
-    return kept.unionByName(replaced)
 
 
 def balanced_batches(
@@ -102,7 +131,7 @@ def balanced_batches(
     if batch_size < 2:
         raise ValueError("a balanced batch needs two texts at least")
     k = batch_size // 2
-    rows = df.where(F.col("prompt_id").isNotNull() & F.col("generated").isNotNull()).select(
+    rows = df.where(F.col("prompt_id").isNotNull() & F.col("generated").isin(0, 1)).select(
         id, "prompt_id", F.col("generated").cast("int").alias("generated")
     )
     sizes = materialize(
@@ -112,42 +141,45 @@ def balanced_batches(
         ),
         "prompts",
     )
-    prompts = sizes.where((F.col("n_pos") >= k) & (F.col("n_neg") >= k))
+    enough = (F.col("n_pos") >= k) & (F.col("n_neg") >= k)
+    totals = sizes.agg(
+        F.coalesce(F.sum(F.col("n_pos") + F.col("n_neg")), F.lit(0)).alias("rows"),
+        F.count_if(enough).alias("prompts"),
+    ).first()
+    n_prompts = totals["prompts"]
     if n_batches is None:
-        batches = (
-            assign_batches(rows.select(id), batch_size, seed, id)
-            .where(F.col("slot") == 0)
-            .select("batch_id")
-        )
-    else:
-        batches = df.sparkSession.range(n_batches).withColumnRenamed("id", "batch_id")
-    ranked = shuffled_positions(
-        rows, id, f"{seed}:rank", by=["prompt_id", "generated"], name="rank"
-    )
+        n_batches = -(-totals["rows"] // batch_size)
+    batches = df.sparkSession.range(n_batches).withColumnRenamed("id", "batch_id")
+
     halves = F.explode(
         F.array(
             F.struct(F.lit(1).alias("generated"), F.col("n_pos").alias("n")),
             F.struct(F.lit(0).alias("generated"), F.col("n_neg").alias("n")),
         )
     )
-    picked = _pick(batches, prompts, seed).withColumn("_half", halves).select(
-        "batch_id", "prompt_id", "_half.generated", "_half.n"
+    prompts = sizes.where(enough)
+    copies = _copies(n_batches * k, n_prompts, F.col("n"))
+    classes = (
+        prompts.select("prompt_id", halves.alias("h")).select("prompt_id", "h.*").withColumn("copies", copies)
     )
-    tag = F.col("generated")
-    plan = picked.select(
-        "batch_id", "prompt_id", "generated", "n",
-        *[
-            c.alias(a)
-            for a, c in _block(F.lit(k).cast("bigint"), F.col("n"), seed, tag).items()
-        ],
-    ).select(
-        "batch_id", "prompt_id", "generated",
-        (F.col("_i") + F.when(tag == 0, F.lit(k)).otherwise(F.lit(0))).alias("slot"),
-        F.pmod(F.col("_start") + F.col("_i"), F.col("n")).alias("rank"),
+    picked = (
+        _pick(batches, prompts, n_prompts, seed)
+        .select("batch_id", "prompt_id", halves.alias("h"))
+        .select("batch_id", "prompt_id", "h.*")
+        .withColumn("copies", copies)
     )
-    return plan.join(ranked, ["prompt_id", "generated", "rank"]).select(
-        "batch_id", "slot", "prompt_id", "generated", id
+    group = ["prompt_id", "generated"]
+    ranked = shuffled_positions(rows, id, f"{seed}:rank", by=group, name="rank")
+    filled = _fill(
+        picked,
+        F.lit(k).cast("bigint"),
+        _repeat(ranked, classes, group, id),
+        group,
+        seed,
+        F.col("generated"),
     )
+    slot = F.col("i") + F.when(F.col("generated") == 0, F.lit(k)).otherwise(F.lit(0))
+    return filled.select("batch_id", slot.alias("slot"), "prompt_id", "generated", id)
 
 
 def fetch_rows(plan: DataFrame, rows: DataFrame, id: str = "id") -> DataFrame:
