@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textprov.catalog.inputs import essays, human_essays, scored, texts
+from textprov.catalog.inputs import essays, human_essays, texts
 from textprov.functions.text import add_question, clean_response
 from textprov.models.detector import fit_best, fit_detector, score
 from textprov.models.embedder import embed, fit_embedder

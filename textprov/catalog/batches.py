@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from textprov.catalog.inputs import (
     SQL_ESSAYS, SQL_SCORED, SQL_TEXTS, corpus, essays, scored, texts,
 )
-from textprov.catalog.registry import query, sql_draw, sql_position, sql_uniform, sql_words
+from textprov.catalog.registry import query, sql_position, sql_uniform, sql_words
 from textprov.functions.tokens import words
 from textprov.functions.vectors import sigmoid
 from textprov.operators import batches as B, groups as G, pairs as P, tokens as K

@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from textprov.catalog.batches import BS, SQL_PAIRS, sql_batches
-from textprov.catalog.inputs import SQL_ESSAYS, SQL_SCORED, SQL_TEXTS, essays, scored, table
+from textprov.catalog.batches import SQL_PAIRS, sql_batches
+from textprov.catalog.inputs import SQL_SCORED, scored, table
 from textprov.catalog.registry import query, sql_position, sql_uniform
 from textprov.functions import vectors as V
 from textprov.operators import batches as B, losses as L, metrics as M, pairs as P, vectors as X
-from textprov.operators.sampling import hash_split
 from textprov.plans.detect import fold_auc
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textprov.catalog.inputs import (
-    SQL_ANSWERS, SQL_ESSAYS, SQL_HUMAN, SQL_SCORED, essays, human_essays, scored,
+    SQL_ESSAYS, SQL_HUMAN, SQL_SCORED, essays, human_essays, scored,
 )
 from textprov.catalog.batches import SQL_PAIRS
 from textprov.catalog.registry import query, sql_uniform
@@ -11,6 +11,7 @@ from textprov.catalog.rows import DRAWS, SQL_DRAWS, sql_knobs
 from textprov.catalog.strings import SQL_CLEAN, SQL_WHITE, _sql_prompt
 from textprov.functions.vectors import sigmoid
 from textprov.operators.infer import batch_infer, generation_plan
+from textprov.operators.pairs import build_preferences
 from textprov.operators.sampling import hash_split
 from textprov.plans.detect import pair_texts
 from textprov.plans.generate import records
@@ -76,8 +77,6 @@ SQL_ENDS = """ends AS (
         FROM ends e JOIN scored c ON c.id = e.c JOIN scored r ON r.id = e.r""",
 )
 def preferences_parquet(spark, sf):
-    from textprov.operators.pairs import build_preferences
-
     path = f"{run_dir(spark, 'preferences')}/dpo_train.parquet"
     s = scored(spark, sf).withColumn("prompt", F.concat(F.lit("src"), F.col("prompt_id")))
     build_preferences(s, "logit").write.parquet(path)

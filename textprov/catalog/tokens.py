@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textprov.catalog.batches import BS, SQL_BY_LENGTH, sql_batches
+from textprov.catalog.batches import BS, sql_batches
 from textprov.catalog.inputs import SQL_ANSWERS, SQL_TEXTS, answers, corpus, table, texts
 from textprov.catalog.registry import query, sql_draw, sql_words
 from textprov.catalog.strings import SQL_SOURCE

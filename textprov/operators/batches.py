@@ -183,5 +183,9 @@ def balanced_batches(
 
 
 def fetch_rows(plan: DataFrame, rows: DataFrame, id: str = "id") -> DataFrame:
-    """The rows a batch plan names; columns the plan has already are kept from it."""
+    """The rows a batch plan names; columns the plan has already are kept from it.
+
+    A text that many batches ask for is repeated in the result as often; adaptive
+    execution splits the requests for it.
+    """
     return plan.join(rows.drop(*[c for c in plan.columns if c != id]), id)
