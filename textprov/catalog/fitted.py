@@ -69,17 +69,6 @@ def batch_map(spark, sf):
     return map_batched(texts(spark, sf).select("id", "text"), with_length, "id long, text string")
 
 
-def _fussy():
-    """A stand-in for a model that cannot answer texts of one prompt."""
-
-    def run(batch):
-        if (batch["prompt_id"] == 5).any():
-            raise ValueError("no answer")
-        return [[t[-20:], t[:20]] for t in batch["text"]]
-
-    return run
-
-
 @query(
     "batch_infer",
     f"""WITH {SQL_TEXTS}
@@ -89,5 +78,15 @@ SELECT id, prompt_id,
 FROM texts""",
 )
 def infer(spark, sf):
-    out = batch_infer(texts(spark, sf), _fussy)
+    # A stand-in for a model that cannot answer texts of one prompt. Nested, so that
+    # it reaches the tasks by value.
+    def fussy():
+        def run(batch):
+            if (batch["prompt_id"] == 5).any():
+                raise ValueError("no answer")
+            return [[t[-20:], t[:20]] for t in batch["text"]]
+
+        return run
+
+    out = batch_infer(texts(spark, sf), fussy)
     return out.select("id", "prompt_id", F.array_join("responses", "\x1e").alias("responses"), "error")

@@ -115,15 +115,6 @@ def predictions_csv(spark, sf):
     )
 
 
-def _echo():
-    """A stand-in for a model: gives back the prompt with the answer marks around it."""
-
-    def run(batch):
-        return [f"{p} and so on </s> </s>" for p in batch["prompt"]]
-
-    return run
-
-
 @query(
     "records_json",
     f"""WITH {SQL_HUMAN}, {SQL_DRAWS},
@@ -135,9 +126,13 @@ SELECT record_id AS id, prompt, temperature, top_k::BIGINT AS top_k, guidance_sc
        r || chr(30) || r AS responses FROM clean""",
 )
 def records_json(spark, sf):
+    # A stand-in for a model. Nested, so that it reaches the tasks by value.
+    def echo():
+        return lambda batch: [f"{p} and so on </s> </s>" for p in batch["prompt"]]
+
     path = f"{run_dir(spark, 'records')}/responses"
     plan = generation_plan(human_essays(spark, sf), DRAWS, 2, 5).drop("id")
-    W.write_records(records(batch_infer(plan, _echo, "response", "string")), path)
+    W.write_records(records(batch_infer(plan, echo, "response", "string")), path)
     schema = (
         "id string, prompt string, temperature double, top_k long, guidance_scale double, "
         "penalty_alpha double, responses array<string>"
