@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from textprov.llm import flat
 
 #: The largest share of characters inside repeated windows of n words.
-LIMITS: Mapping[int, float] = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+LIMITS: Mapping[int, float] = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
 LINE_LIMIT = 0.30
 SYMBOLS = b"#*$%&|<>"
 SYMBOL_LIMIT = 0.10  # symbols by words
