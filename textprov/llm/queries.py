@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textprov.llm.parity import Similarity, similar_groups
 from textprov.llm.registry import ORACLES, QUERIES, query, table
 from textprov.llm.repetition import quality_rules
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op2_parity_join")
+def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar_groups(docs, rule=Similarity(words=3, num=90, den=100))
+
+
 @query("op8_repetition")
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
