@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textprov.llm.leaks import find_leaks
 from textprov.llm.parity import Similarity, similar_groups
 from textprov.llm.pu import fit_pu, held_out, score_texts, trusted
 from textprov.llm.registry import ORACLES, QUERIES, query, table
@@ -34,3 +35,16 @@ def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs)
+
+
+@query("op10_benchmark_leaks")
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, by item."""
+    docs = table(spark, sf_dir, "documents")
+    hits = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return hits.groupBy("doc_id", "item_id").agg(
+        F.count(F.lit(1)).alias("n_windows"),
+        F.min("start").alias("first_byte"),
+        F.max("end").alias("last_byte"),
+        F.min("edits").alias("least_edits"),
+    )
