@@ -9,6 +9,7 @@ from textprov.llm.parity import Similarity, similar_groups
 from textprov.llm.pu import fit_pu, held_out, score_texts, trusted
 from textprov.llm.registry import ORACLES, QUERIES, query, table
 from textprov.llm.repetition import quality_rules
+from textprov.llm.suffixes import remove_repeats
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -31,6 +32,11 @@ def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(docs, rule=Similarity(words=3, num=90, den=100))
 
 
+@query("op5_suffix_repeats")
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op8_repetition")
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
