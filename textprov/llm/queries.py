@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprov.llm.leaks import find_leaks
+from textprov.llm.licenses import scan_licenses
 from textprov.llm.parity import Similarity, similar_groups
 from textprov.llm.pu import fit_pu, held_out, score_texts, trusted
 from textprov.llm.registry import ORACLES, QUERIES, query, table
@@ -32,6 +33,11 @@ def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(docs, rule=Similarity(words=3, num=90, den=100))
 
 
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op5_suffix_repeats")
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
