@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE = 2 << 20  # bytes of text worked on at once
 U = np.uint64
@@ -190,3 +191,9 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 def per_text(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Sum of ``values`` by text."""
     return np.bincount(owner, weights=values, minlength=n).astype(np.int64)
+
+
+def row_key(id, text) -> int:
+    """One signed 64-bit number for a row's id and the bytes of its text."""
+    seed = xxhash.xxh3_64_intdigest(repr(id).encode())
+    return xxhash.xxh3_64_intdigest(text, seed) - (1 << 63)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprov.llm.leaks import find_leaks
 from textprov.llm.licenses import scan_licenses
+from textprov.llm.mixing import mix
 from textprov.llm.parity import Similarity, similar_groups
 from textprov.llm.pu import fit_pu, held_out, score_texts, trusted
 from textprov.llm.registry import ORACLES, QUERIES, query, table
@@ -60,3 +61,9 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("end").alias("last_byte"),
         F.min("edits").alias("least_edits"),
     )
+
+
+@query("op9_source_mix")
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")

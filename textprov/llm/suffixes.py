@@ -46,12 +46,6 @@ CLASSES = 256
 _PLACE = U((1 << 32) - 1)
 
 
-def _row_key(id, text: memoryview) -> int:
-    """One number for a row's id and text."""
-    seed = xxhash.xxh3_64_intdigest(repr(id).encode())
-    return xxhash.xxh3_64_intdigest(text, seed) - (1 << 63)
-
-
 def _rolling_least(x: np.ndarray, n: int) -> np.ndarray:
     """Minimum of each ``n`` consecutive values, by doubling."""
     out, have = x, 1
@@ -108,7 +102,7 @@ def _pieces(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 ]
                 docs = np.zeros(p.n, np.int64)
                 for i in np.unique(own):
-                    docs[i] = _row_key(ids[p.first + i], p.text(i))
+                    docs[i] = flat.row_key(ids[p.first + i], p.text(i))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h.view(np.int64)), pa.array(digest, pa.int64()),
@@ -133,7 +127,7 @@ def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_pylist()
             for p in flat.pieces(b.column(1)):
-                docs = np.array([_row_key(ids[p.first + i], p.text(i)) for i in range(p.n)])
+                docs = np.array([flat.row_key(ids[p.first + i], p.text(i)) for i in range(p.n)])
                 at = np.flatnonzero(marked(bitmap.value, docs))
                 cut = b.column(1).slice(p.first, p.n).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
@@ -411,7 +405,7 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(p.first, p.n),
-                        pa.array([_row_key(ids[p.first + i], p.text(i)) for i in range(p.n)], pa.int64()),
+                        pa.array([flat.row_key(ids[p.first + i], p.text(i)) for i in range(p.n)], pa.int64()),
                         pa.array(np.diff(p.offsets)),
                         pa.array([hashlib.sha256(p.text(i)).hexdigest() for i in range(p.n)]),
                     ],
