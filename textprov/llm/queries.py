@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textprov.llm.chunks import remove_repeated_chunks
 from textprov.llm.leaks import find_leaks
 from textprov.llm.licenses import scan_licenses
 from textprov.llm.mixing import mix
@@ -44,6 +45,16 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op7_line_chunks")
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_chunks(docs).select(
+        "doc_id", "n_lines", "n_removed_lines",
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @query("op8_repetition")
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
