@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textprov.llm.chat import format_turns, read_back
 from textprov.llm.chunks import remove_repeated_chunks
 from textprov.llm.leaks import find_leaks
 from textprov.llm.licenses import scan_licenses
@@ -45,6 +46,18 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op6_chat_tokens")
+def op6_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are made of control strings."""
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    return read_back(format_turns(talk.unionByName(own)))
+
+
 @query("op7_line_chunks")
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
