@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textprov.llm.archive import archive_keys, build_index, lookup, read_records, write_archive
 from textprov.llm.chat import format_turns, read_back
 from textprov.llm.chunks import remove_repeated_chunks
 from textprov.llm.leaks import find_leaks
@@ -41,6 +42,17 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op4_warc_index")
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages, index the captures, look every address up and read its records."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    directory = build_index(write_archive(pages))
+    found = lookup(archive_keys(pages), directory)
+    return read_records(found).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op5_suffix_repeats")
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
