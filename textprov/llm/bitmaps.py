@@ -9,6 +9,7 @@ all rows pass: slower, never wrong.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,8 +29,6 @@ def key_bitmap(keys: DataFrame, column: str, bits: int = BITS) -> Broadcast:
     Tasks turn their keys into marked bits, equal words are merged by a partial
     aggregation, and only the merged words travel.
     """
-    import pyarrow as pa
-
     def words(batches):
         for b in batches:
             k = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -54,3 +53,28 @@ def key_bitmap(keys: DataFrame, column: str, bits: int = BITS) -> Broadcast:
 def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = place(keys, len(bitmap) * 8)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def split(df: DataFrame, column: str, bitmap: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """Rows whose long ``column`` is surely not marked, and the rest; all columns stay."""
+
+    def side(want: bool) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                k = b.column(at).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                hit = marked(bitmap.value, k) & ~b.column(at).is_null().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit == want))
+
+        return df.mapInArrow(run, df.schema)
+
+    at = df.columns.index(column)
+    return side(False), side(True)
+
+
+def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is not in ``keys.column``; nulls stay.
+
+    Only rows that the bitmap marks are moved to meet the keys.
+    """
+    clear, maybe = split(df, column, key_bitmap(keys, column))
+    return clear.unionByName(maybe.join(keys.select(column).distinct(), column, "left_anti"))

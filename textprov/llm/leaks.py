@@ -295,3 +295,32 @@ def find_leaks(
         found = texts.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    edits: float = EDITS,
+) -> DataFrame:
+    """The rows in whose texts no window of an item is found; all columns, no shuffle."""
+    at = docs.columns.index(text)
+    for block in _blocks(benchmark, item_id, item_text):
+        w = Windows.of(block, window, edits)
+        if w is None:
+            continue
+        sent = docs.sparkSession.sparkContext.broadcast(w)
+
+        def run(batches, sent=sent):
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for p in flat.pieces(b.column(at)):
+                    for own, *_ in _hits(p, sent.value):
+                        clean[p.first + own] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
