@@ -223,6 +223,7 @@ def _hits(p: flat.Piece, w: Windows) -> Iterator[tuple[int, int, int, int, int]]
         if found:
             s, e, cost = found
             s, e = max(left + s, left), min(left + e, right)
+            s, e = s + (clean.data[s] == 32), e - (clean.data[e - 1] == 32)
             yield int(own), int(win), int(at[s]), int(at[max(e - 1, s)]) + 1, cost
 
 
