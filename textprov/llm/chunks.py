@@ -1,7 +1,7 @@
 """Repeated runs of lines, cut where their content says so.
 
 Every line is hashed; where the hash rolled over two lines falls on one of ``MEAN``
-values, a chunk ends. Borders depend on nearby lines alone, so a passage that stands in
+values, a chunk may end. Borders depend on nearby lines alone, so a passage that stands in
 two texts is cut alike in both, whatever lines come before it. A chunk has two lines or
 more; texts of a single line have none.
 
@@ -26,7 +26,7 @@ from textprov.llm.bitmaps import key_bitmap, marked
 from textprov.llm.flat import U
 from textprov.session import materialize
 
-MEAN = 3  # lines between chances to end a chunk
+MEAN = 2  # one line in so many may end a chunk
 LEAST = 40  # bytes below which a chunk is left alone
 
 
@@ -140,8 +140,10 @@ def remove_repeated_chunks(
     gone = materialize(repeated_chunks(df, id, text, mean, least), "gone")
     bitmap = key_bitmap(gone, "doc")
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed_lines")]
-    base = T.StructType([df.schema[c] for c in kept])
     at, who = kept.index(text), kept.index(id)
+    # The caller's columns go by number in between, so that no name clashes.
+    plain = [f"c{i}" for i in range(len(kept))]
+    base = T.StructType([T.StructField(p, df.schema[c].dataType) for p, c in zip(plain, kept)])
 
     def tag(want: bool):
         def run(batches):
@@ -155,20 +157,20 @@ def remove_repeated_chunks(
                     n = pa.array(np.where(own.column(at).is_null().to_numpy(False), 0, lines))
                     yield pa.RecordBatch.from_arrays(
                         [c.take(pick) for c in [*own.columns, n, pa.array(docs)]],
-                        names=[*kept, "n_lines", "_doc"],
+                        names=[*plain, "n_lines", "_doc"],
                     )
 
         return run
 
     tagged = base.add("n_lines", T.LongType()).add("_doc", T.LongType())
-    rows = df.select(*[F.col(f"`{c}`") for c in kept])
+    rows = df.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, kept)])
     stay = rows.mapInArrow(tag(False), tagged).drop("_doc").withColumn(
         "n_removed_lines", F.lit(0).cast("long")
     )
     maybe = rows.mapInArrow(tag(True), tagged).join(
         gone.withColumnsRenamed({"doc": "_doc", "numbers": "_numbers"}), "_doc", "left"
     )
-    maybe = maybe.select(*[F.col(f"`{c}`") for c in kept], "n_lines", "_numbers")
+    maybe = maybe.select(*plain, "n_lines", "_numbers")
 
     def cut(batches):
         for b in batches:
@@ -190,8 +192,11 @@ def remove_repeated_chunks(
             cols = list(b.columns[: len(kept) + 1])
             cols[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(removed)], names=[*kept, "n_lines", "n_removed_lines"]
+                [*cols, pa.array(removed)], names=[*plain, "n_lines", "n_removed_lines"]
             )
 
     done = T.StructType(list(tagged)[:-1]).add("n_removed_lines", T.LongType())
-    return stay.unionByName(maybe.mapInArrow(cut, done))
+    both = stay.unionByName(maybe.mapInArrow(cut, done))
+    return both.select(
+        *[F.col(p).alias(c) for p, c in zip(plain, kept)], "n_lines", "n_removed_lines"
+    )
