@@ -42,6 +42,7 @@ from textprov.llm.flat import U, mix64
 from textprov.session import materialize
 
 TILE = 512
+LISTED = 64  # keys of a node that travel with it, to report a pair once
 
 
 @dataclass(frozen=True)
@@ -144,8 +145,8 @@ def keys_of(s: np.ndarray, k: int, rule: Similarity) -> np.ndarray:
 
 
 def sketch_of(s: np.ndarray, k: int, rule: Similarity) -> bytes:
-    """The sketch that two sets of band ``k`` are compared by: two bits a shingle or more."""
-    bits = 64 * -(-2 * rule.band(k)[1] // 64)
+    """The sketch that two sets of band ``k`` are compared by: eight bits a shingle or more."""
+    bits = 64 * -(-8 * rule.band(k)[1] // 64)
     _, _, x = _parts(s, k, 1)
     at = ((x >> U(32)) * U(bits) >> U(32)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
@@ -278,7 +279,8 @@ def _verify(edges: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
 def _across(mixed: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFrame:
     """Pairs of nodes that share a key, lie in different components and are near by sketch.
 
-    A key's nodes are dealt into tiles of about ``TILE`` nodes; a task sees two tiles.
+    A key's nodes are dealt into tiles of about ``TILE`` nodes; a task sees two tiles. Of
+    the keys that a pair shares, only the first reports it, where both lists are at hand.
     """
     sizes = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
@@ -288,12 +290,14 @@ def _across(mixed: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFram
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
             "key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"),
-            "mine", "node", "component",
+            "mine", "node", "component", "keys",
         )
         .join(sketches, "node")
     )
     cells = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "band")
-    cells = cells.select("key", "t1", "t2", "band", "mine", "node", "component", "n", "sketch")
+    cells = cells.select(
+        "key", "t1", "t2", "band", "mine", "node", "component", "keys", "n", "sketch"
+    )
 
     def compare(rows: pa.Table):
         if len(rows) < 2:
@@ -303,6 +307,19 @@ def _across(mixed: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFram
             rows.column(c).to_numpy() for c in ("mine", "node", "component", "n")
         )
         s = np.array([np.frombuffer(x.as_py(), U) for x in rows.column("sketch")])
+        key, lists = rows.column("key")[0].as_py(), rows.column("keys")
+        held: dict[int, set | None] = {}
+
+        def keys(i: int) -> set | None:
+            if i not in held:
+                own = lists[i].as_py()
+                held[i] = None if own is None else {k for k in own if k < key}
+            return held[i]
+
+        def first(i: int, j: int) -> bool:
+            a, b = keys(i), keys(j)
+            return a is None or b is None or a.isdisjoint(b)
+
         out = []
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
@@ -312,6 +329,7 @@ def _across(mixed: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFram
             j = j[ok]
             if len(j):
                 j = j[_near(rule, n[i], s[i], n[j], s[j])]
+                j = np.array([x for x in j.tolist() if first(i, x)], np.int64)
                 out.append(np.c_[np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
         return np.unique(np.concatenate(out), axis=0) if out else None
 
@@ -340,6 +358,26 @@ def _across(mixed: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFram
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def _apart(held: DataFrame, comps: DataFrame) -> DataFrame:
+    """``key, node, component, keys`` of the keys whose nodes lie in several components.
+
+    ``keys`` lists the node's keys of this kind, if there are at most ``LISTED``.
+    """
+    rows = held.select("key", "node").join(comps, "node", "left")
+    rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"))
+    split = (
+        rows.groupBy("key")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("lo <> hi")
+        .select("key")
+    )
+    mixed = materialize(rows.join(split, "key"), "mixed")
+    count = mixed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(f"n <= {LISTED}")
+    short = mixed.join(count.select("node"), "node").groupBy("node")
+    listed = short.agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    return mixed.join(listed, "node", "left")
+
+
 def similar_groups(
     df: DataFrame, id: str = "doc_id", text: str = "text", rule: Similarity = Similarity()
 ) -> DataFrame:
@@ -399,28 +437,21 @@ def similar_groups(
     fetched = materialize(fetched.dropDuplicates(["node"]), "texts")
     sketches = materialize(_sketches(fetched.select("node", "text"), rule), "sketches")
 
+    # Every node against the smallest of its key: one comparison a node and key.
     stars = held.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = materialize(_sketch_filter(stars.distinct(), sketches, rule), "near")
     links = materialize(_verify(near, fetched, rule), "links")
     comps = materialize(components(links), "components")
-
-    rows = held.select("key", "node").join(comps, "node", "left")
-    rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"))
-    split = (
-        rows.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo <> hi")
-        .select("key")
-    )
-    rest = _across(materialize(rows.join(split, "key"), "mixed"), sketches, rule)
+    # Keys whose nodes still lie apart are compared in full.
+    rest = materialize(_across(_apart(held, comps), sketches, rule), "rest")
     rest = rest.join(near, ["a", "b"], "left_anti")
-    more = materialize(_verify(materialize(rest, "rest"), fetched, rule), "links")
+    more = materialize(_verify(rest, fetched, rule), "links")
     if more.isEmpty():
-        every, final = links, comps
+        final = comps
     else:
-        every = links.union(more)
-        joined = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-        final = materialize(components(joined), "components")
+        known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        final = materialize(components(known.union(more)), "components")
+    every = links.union(more)
 
     ends = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
