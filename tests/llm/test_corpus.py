@@ -431,7 +431,7 @@ def test_contract_columns(spark):
     from __spark_entry__ import queries
 
     base = "/root/testdata/sf0.001"
-    count = lambda t: duckdb.sql(f"select count(*) from '{base}/{t}.parquet'").fetchone()[0]
+    count = lambda t: duckdb.sql(f"select count(*) from '{base}/{t}.parquet'").fetchall()[0][0]
     named = {k: v for k, v in queries().items() if k.startswith("op")}
     assert sorted(int(k[2:].split("_")[0]) for k in named) == list(range(1, 11))
     want = {
