@@ -187,10 +187,14 @@ def test_label_mask_and_cut(spark):
     )
     whole = K.supervised_lists(df, vocab).first()
     n_source = len("# # # Instruction : a b c # # # Response :".split()) + 1
-    assert whole["labels"][:n_source] == [-100] * n_source
-    assert whole["labels"][n_source:] == whole["input_ids"][n_source:]
+    assert whole["labels"][: n_source - 1] == [-100] * (n_source - 1)
+    assert whole["labels"][n_source - 1 :] == whole["input_ids"][n_source - 1 :]
+    strict = K.supervised_lists(df, vocab, offset=0).first()
+    assert strict["labels"][:n_source] == [-100] * n_source
+    assert strict["labels"][n_source:] == whole["input_ids"][n_source:]
     assert whole["input_ids"][0] == 1 and whole["input_ids"][-1] == 2
-    cut = K.supervised_lists(df, vocab, max_len=4).first()
+    assert K.supervised_lists(df, vocab, max_len=4).first()["labels"] == whole["input_ids"][-4:]
+    cut = K.supervised_lists(df, vocab, max_len=4, offset=0).first()
     assert cut["labels"] == [-100] + whole["input_ids"][-3:]
     literal = K.supervised_lists(df, vocab, max_len=4, offset=1, compat=True).first()
     assert literal["labels"] == [-100] * 4

@@ -1,6 +1,8 @@
 """Sources, sinks, models, jobs and the stream."""
 
 import json
+import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +14,12 @@ from textprov.models.embedder import embed, fit_embedder
 from textprov.models.ranker import fit_ranker, rank_score
 from textprov.operators.infer import batch_infer
 from textprov.operators.metrics import roc_auc
+from textprov.operators.pairs import human_ai_pairs
 from textprov.operators.rows import drop_null_text
+from textprov.operators.vectors import knn
 from textprov.plans.detect import pair_texts, run_detection, run_ranking, split_essays
 from textprov.plans.generate import run_generation
+from textprov.session import materialize, scratch, shared_dir
 from textprov.sources import readers as R, writers as W
 from textprov.streaming.essays import essay_stream, write_available
 
@@ -67,6 +72,67 @@ def test_failed_rows_are_kept_apart(spark):
     assert rows[4]["responses"] == ["p4", "p4"] and rows[3]["responses"] is None
 
 
+def test_one_bad_row_costs_few_calls(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def run(batch):
+            calls.add(1)
+            if (batch["id"] == 7777).any():
+                raise RuntimeError("bad")
+            return [[str(i)] for i in batch["id"]]
+
+        return run
+
+    rows = batch_infer(spark.range(10_000).coalesce(1), load).where("error is not null").collect()
+    assert [r["id"] for r in rows] == [7777]
+    assert calls.value < 50
+
+
+def test_shared_folder_has_to_be_named():
+    class Other:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Other())
+    Other.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Other())
+
+
+def test_intermediate_tables_go(spark):
+    outer = materialize(spark.range(5), "outer")
+    with scratch(spark):
+        inner = materialize(spark.range(5), "inner")
+        paths = [f.removeprefix("file://") for f in inner.inputFiles()]
+        assert paths and all(map(os.path.exists, paths))
+    assert not any(map(os.path.exists, paths))
+    assert outer.count() == 5
+
+
+def test_pairs_use_every_text(spark):
+    rows = [(i, 1, int(i > 2)) for i in range(20)] + [(30, 2, 1), (31, 3, 0), (32, None, 1), (33, None, 0)]
+    df = spark.createDataFrame(rows, "id long, prompt_id int, generated int")
+    pairs = human_ai_pairs(df, 1).collect()
+    assert {p["human_id"] for p in pairs} == {0, 1, 2}
+    assert sorted(p["ai_id"] for p in pairs) == list(range(3, 20))
+    assert max(Counter(p["human_id"] for p in pairs).values()) == 6
+
+
+def test_neighbours_without_a_vector(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.6, 0.8]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    found = {(r["query_id"], r["id"]) for r in knn(df, df, 1).collect()}
+    assert found == {(1, 4), (4, 5), (5, 4)}
+    with pytest.raises(ValueError):
+        knn(df, df.union(spark.createDataFrame([(9, [1.0])], df.schema)), 1)
+
+
 def test_detector_beats_chance_and_survives_saving(spark, sf, tmp_path):
     train, valid = split_essays(essays(spark, sf), 0.8)
     model = fit_detector(train, 1 << 14, max_iter=10)
@@ -154,6 +220,20 @@ def test_generation_job(spark, sf, tmp_path):
         assert r["responses"][0].endswith("answer 1")
         assert 0.5 <= r["temperature"] < 2 and 128 <= r["top_k"] <= 256
 
+    # The same seed gives the same records, whatever the files of the input.
+    with scratch(spark):
+        again = f"{tmp_path}/again.csv"
+        W.write_csv(R.read_csv(spark, f"{tmp_path}/essays.csv").repartition(5), again)
+        banned = spark.createDataFrame([("zebra",), ("ant",)], "tok string")
+
+        def listening(suppress):
+            assert suppress == ["ant", "zebra"]
+            return load()
+
+        run_generation(spark, again, f"{tmp_path}/out2", listening, n=30, n_gen=3, suppress=banned)
+    lines2 = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/out2").collect()]
+    assert sorted(lines, key=lambda r: r["id"]) == sorted(lines2, key=lambda r: r["id"])
+
 
 def test_row_operators_on_a_stream(spark, sf, tmp_path):
     rows = essays(spark, sf).select(F.col("id").cast("string").alias("id"), "text", "generated", "prompt_id")

@@ -113,7 +113,13 @@ SQL_PAIRS = f"""human_ranked AS (
 ai_ranked AS (
   SELECT id AS ai_id, prompt_id, {sql_position('42:1', 'id', by='prompt_id')} AS rank
   FROM essays WHERE generated = 1),
-pairs AS (SELECT * FROM human_ranked JOIN ai_ranked USING (prompt_id, rank))"""
+sizes AS (SELECT prompt_id, count(*) FILTER (generated = 0) AS n0, count(*) FILTER (generated = 1) AS n1
+          FROM essays GROUP BY 1),
+slots AS (SELECT prompt_id, n0, n1, unnest(range(greatest(n0, n1))) AS rank FROM sizes WHERE n0 > 0 AND n1 > 0),
+pairs AS (
+  SELECT s.prompt_id, s.rank, h.human_id, a.ai_id FROM slots s
+  JOIN human_ranked h ON h.prompt_id = s.prompt_id AND h.rank = s.rank % s.n0
+  JOIN ai_ranked a ON a.prompt_id = s.prompt_id AND a.rank = s.rank % s.n1)"""
 
 
 @query(
@@ -212,6 +218,20 @@ def length_order(spark, sf):
     return B.assign_batches(sized(spark, sf), BS, 42, first=(F.col("input_length"),))
 
 
+@query(
+    "length_order_nulls",
+    f"""WITH {SQL_TEXTS},
+sized AS (SELECT id, CASE WHEN id % 13 <> 4 THEN len({sql_words('text')})::INTEGER END AS input_length FROM texts),
+placed AS (
+  SELECT *, {sql_position(42, 'id', first='input_length NULLS FIRST')} AS pos FROM sized)
+SELECT id, input_length, pos // {BS} AS batch_id, pos % {BS} AS slot FROM placed""",
+)
+def length_order_nulls(spark, sf):
+    """Rows without a length come first."""
+    rows = sized(spark, sf).withColumn("input_length", F.when(F.col("id") % 13 != 4, F.col("input_length")))
+    return B.assign_batches(rows, BS, 42, first=(F.col("input_length"),))
+
+
 @query(
     "pad_length",
     f"""WITH {SQL_TEXTS}, {SQL_BY_LENGTH}

@@ -41,6 +41,26 @@ def mean_pool(spark, sf):
     return out.withColumn("pooled", _digits("pooled"))
 
 
+@query(
+    "mean_pool_null_key",
+    f"""WITH each AS (
+  SELECT nullif(label, 3) AS key, (vec_id % 3 <> 0)::INTEGER AS m, unnest(embedding)::DOUBLE AS x,
+         unnest(range(64)) AS i
+  FROM embeddings WHERE vec_id % 11 <> 5),
+pooled AS (SELECT key, i, sum(x * m) / greatest(sum(m), 1e-9::DOUBLE) AS x FROM each GROUP BY 1, 2),
+rows AS (SELECT key, list(x ORDER BY i) AS v FROM pooled GROUP BY 1)
+SELECT key, {_sql_digits('v')} AS pooled FROM rows""",
+)
+def mean_pool_null_key(spark, sf):
+    """Some keys and some vectors are null."""
+    e = table(spark, sf, "embeddings").select(
+        F.when(F.col("label") != 3, F.col("label")).alias("key"),
+        F.when(F.col("vec_id") % 11 != 5, F.col("embedding")).alias("embedding"),
+        (F.col("vec_id") % 3 != 0).cast("int").alias("mask"),
+    )
+    return X.mean_pool(e, "key", "embedding", "mask").withColumn("pooled", _digits("pooled"))
+
+
 @query(
     "l2_normalize",
     f"""WITH raw AS (
@@ -137,6 +157,37 @@ def roc_auc_by_prompt(spark, sf):
     return M.roc_auc(scored(spark, sf), "logit", "generated", by=["prompt_id"])
 
 
+# Some prompts are null: a group like any other.
+SQL_NULL_PROMPTS = f"""{SQL_SCORED},
+holes AS (SELECT * REPLACE (CASE WHEN prompt_id % 6 <> 0 THEN prompt_id END AS prompt_id) FROM probs)"""
+
+
+def _null_prompts(spark, sf):
+    return scored(spark, sf).withColumn(
+        "prompt_id", F.when(F.col("prompt_id") % 6 != 0, F.col("prompt_id"))
+    )
+
+
+@query(
+    "roc_auc_null_prompt",
+    f"WITH {SQL_NULL_PROMPTS}, {_sql_auc('holes', 'prompt_id')} SELECT * FROM areas",
+)
+def roc_auc_null_prompt(spark, sf):
+    return M.roc_auc(_null_prompts(spark, sf), "logit", "generated", by=["prompt_id"])
+
+
+@query(
+    "ranking_loss_null_prompt",
+    f"""WITH {SQL_NULL_PROMPTS}
+SELECT a.prompt_id, sqrt(count(*))::BIGINT AS n,
+       round(avg(greatest(-(a.p - b.p) * sign(a.generated - b.generated) + 0.7::DOUBLE, 0)), 6) AS loss
+FROM holes a JOIN holes b ON a.prompt_id IS NOT DISTINCT FROM b.prompt_id GROUP BY 1""",
+)
+def ranking_loss_null_prompt(spark, sf):
+    out = L.ranking_loss(_null_prompts(spark, sf), "prompt_id")
+    return out.withColumn("loss", F.round("loss", 6))
+
+
 SQL_BCE = "greatest(logit, 0) - logit * generated + ln(1 + exp(-abs(logit)))"
 
 

@@ -40,6 +40,62 @@ def best_patience(spark, sf):
     )
 
 
+# The same log where some runs, and one step, are null.
+SQL_NULL_LOG = f"""{SQL_LOG},
+holes AS (
+  SELECT CASE WHEN run % 5 <> 0 THEN run END AS run, CASE WHEN step <> 17 THEN step END AS step, metric, n
+  FROM log)"""
+
+
+def _with_nulls(spark, sf):
+    return metric_log(spark, sf).withColumns(
+        {"run": F.when(F.col("run") % 5 != 0, F.col("run")), "step": F.when(F.col("step") != 17, F.col("step"))}
+    )
+
+
+@query(
+    "running_mean_nulls",
+    f"""WITH {SQL_NULL_LOG}
+SELECT run, step, metric::DOUBLE AS metric, n,
+       (sum(metric * n) OVER w)::DOUBLE / (sum(n) OVER w)::DOUBLE AS avg
+FROM holes WINDOW w AS (PARTITION BY run ORDER BY step NULLS FIRST)""",
+)
+def running_mean_nulls(spark, sf):
+    out = S.running_mean(_with_nulls(spark, sf), weight="n")
+    return out.withColumn("metric", F.col("metric").cast("double"))
+
+
+@query(
+    "best_patience_nulls",
+    f"""WITH {SQL_NULL_LOG},
+led AS (SELECT run, step, metric, max(metric) OVER w AS best, row_number() OVER w AS place
+        FROM holes WINDOW w AS (PARTITION BY run ORDER BY step NULLS FIRST))
+SELECT run, step, metric::DOUBLE AS metric, best::DOUBLE AS best, metric = best AS is_best,
+       place - max(CASE WHEN metric = best THEN place END)
+         OVER (PARTITION BY run ORDER BY step NULLS FIRST) AS patience
+FROM led""",
+)
+def best_patience_nulls(spark, sf):
+    out = S.best_and_patience(_with_nulls(spark, sf).drop("n"), "max")
+    return out.withColumns(
+        {"metric": F.col("metric").cast("double"), "best": F.col("best").cast("double")}
+    )
+
+
+@query(
+    "ema_nulls",
+    f"""WITH {SQL_NULL_LOG},
+numbered AS (
+  SELECT run, metric::DOUBLE AS x,
+         row_number() OVER (PARTITION BY run ORDER BY step NULLS FIRST) - 1 AS i,
+         count(*) OVER (PARTITION BY run) AS n FROM holes)
+SELECT run, n, round(sum(CASE WHEN i = 0 THEN x ELSE x * 0.1 END * pow(0.9::DOUBLE, n - 1 - i)), 6) AS ema
+FROM numbered GROUP BY run, n""",
+)
+def ema_nulls(spark, sf):
+    return S.ema(_with_nulls(spark, sf), 0.9).withColumn("ema", F.round("ema", 6))
+
+
 @query(
     "best_patience_min",
     f"""WITH {SQL_LOG}

@@ -179,7 +179,7 @@ def _supervised(spark, sf, **options):
     "mask_labels",
     f"""WITH {SQL_CHATS}
 SELECT id, array_to_string(ids, ',') AS input_ids,
-       array_to_string(list_transform(ids, lambda x, i: CASE WHEN i <= n_source THEN -100 ELSE x END), ',') AS labels
+       array_to_string(list_transform(ids, lambda x, i: CASE WHEN i <= n_source - 1 THEN -100 ELSE x END), ',') AS labels
 FROM whole""",
 )
 def mask_labels(spark, sf):
@@ -190,7 +190,7 @@ def mask_labels(spark, sf):
     "mask_labels_cut",
     f"""WITH {SQL_CHATS},
 labelled AS (
-  SELECT *, list_transform(ids, lambda x, i: CASE WHEN i <= n_source THEN -100 ELSE x END) AS labels FROM whole)
+  SELECT *, list_transform(ids, lambda x, i: CASE WHEN i <= n_source - 1 THEN -100 ELSE x END) AS labels FROM whole)
 SELECT id, array_to_string(list_slice(ids, greatest(len(ids) - 31, 1), len(ids)), ',') AS input_ids,
        array_to_string(list_slice(labels, greatest(len(ids) - 31, 1), len(ids)), ',') AS labels
 FROM labelled""",
@@ -208,7 +208,7 @@ SELECT id, array_to_string(ids, ',') AS input_ids,
 FROM cut""",
 )
 def mask_labels_compat(spark, sf):
-    return _supervised(spark, sf, max_len=32, offset=1, compat=True)
+    return _supervised(spark, sf, max_len=32, compat=True)
 
 
 @query(

@@ -16,10 +16,11 @@ def attach_truth(predictions: DataFrame, truths: DataFrame) -> DataFrame:
 
 
 def human_ai_pairs(df: DataFrame, seed, id: str = "id") -> DataFrame:
-    """Pair the texts of both classes of a prompt, in random order, each once.
+    """Pair the texts of both classes of a prompt, in random order.
 
-    Columns ``prompt_id, rank, human_id, ai_id``; the surplus of the larger class
-    has no partner.
+    Columns ``prompt_id, rank, human_id, ai_id``. Every text of a prompt that has both
+    classes is in a pair: the larger class once each, the smaller one going round as
+    often as it takes. A prompt of one class has no pairs.
     """
     rows = df.where(F.col("prompt_id").isNotNull()).select(id, "prompt_id", "generated")
 
@@ -27,7 +28,21 @@ def human_ai_pairs(df: DataFrame, seed, id: str = "id") -> DataFrame:
         own = rows.where(F.col("generated") == label).select(F.col(id).alias(name), "prompt_id")
         return shuffled_positions(own, name, f"{seed}:{label}", by=["prompt_id"], name="rank")
 
-    return ranked(0, "human_id").join(ranked(1, "ai_id"), ["prompt_id", "rank"])
+    sizes = rows.groupBy("prompt_id").agg(
+        F.count_if(F.col("generated") == 0).alias("n0"), F.count_if(F.col("generated") == 1).alias("n1")
+    )
+    sizes = materialize(sizes.where("n0 > 0 and n1 > 0"), "prompts")
+    human = materialize(ranked(0, "human_id").join(sizes, "prompt_id"), "ranks")
+    ai = materialize(ranked(1, "ai_id").join(sizes, "prompt_id"), "ranks")
+
+    def matched(larger: DataFrame, smaller: DataFrame, n: str) -> DataFrame:
+        asked = larger.withColumn("_turn", F.col("rank") % F.col(n))
+        other = smaller.withColumnRenamed("rank", "_turn").drop("n0", "n1")
+        return asked.join(other, ["prompt_id", "_turn"]).select(
+            "prompt_id", "rank", "human_id", "ai_id"
+        )
+
+    return matched(human.where("n0 >= n1"), ai, "n1").union(matched(ai.where("n1 > n0"), human, "n0"))
 
 
 def preference_ids(scored: DataFrame, score: str = "score", id: str = "id") -> DataFrame:

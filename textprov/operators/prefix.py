@@ -16,6 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from textprov.functions.draws import DRAW_BITS, draw
+from textprov.operators.skew import null_safe_join
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 Measures = Mapping[str, tuple[str, Column]]
@@ -43,7 +44,7 @@ def _carry(totals: DataFrame, by: list[str], cells: list[str], fns: dict[str, st
         totals.groupBy(*keys).agg(*[_AGG[f](m).alias(m) for m, f in fns.items()]), by, head, fns
     )
     upper = upper.withColumnsRenamed({m: f"_up_{m}" for m in fns})
-    return local.join(upper, keys).select(
+    return null_safe_join(local, upper, keys).select(
         *by, *cells, *[_merge(f, F.col(m), F.col(f"_up_{m}")).alias(m) for m, f in fns.items()]
     )
 
@@ -59,7 +60,8 @@ def running(
     """Add running sums, maxima or minima per ``by`` along ``order``.
 
     ``cells`` must follow ``order``: sorted by ``cells`` first, rows keep their
-    order. ``order`` must be total. Rows with a null ``by`` key or cell are left out.
+    order. ``order`` must be total. A null ``by`` key is a group like any other, and a
+    null order value comes before all others of its group.
     ``df`` is read twice, for the totals and for the rows: store what is dear to make.
     """
     by = list(by)
@@ -78,7 +80,7 @@ def running(
     local = marked.withColumns(
         {f"_here_{m}": _AGG[f](c).over(inside) for m, (f, c) in measures.items()}
     )
-    return local.join(carry, [*by, *names]).select(
+    return null_safe_join(local, carry, [*by, *names]).select(
         *[F.col(c) for c in df.columns if c not in fns],
         *[
             _merge(f, F.col(f"_here_{m}"), F.col(f"_carry_{m}")).alias(m)

@@ -1,7 +1,8 @@
 """Metric logs: running means, best so far, patience, moving averages.
 
-The step is an integer, unique inside its run. A run of any length is cut into
-cells of consecutive steps; see ``prefix``.
+The step is an integer, unique inside its run; a null step comes first, and a null run
+is a run like any other. A run of any length is cut into cells of consecutive steps;
+see ``prefix``.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from textprov.operators.prefix import number_rows, running, step_cells
+from textprov.operators.skew import null_safe_join
 
 
 def running_mean(
@@ -87,13 +89,15 @@ def ema(
     One step is the map ``e -> a*e + b``; maps compose, so cells of at most
     ``2**bits`` steps are folded to one map each, then cells of cells.
     """
+    # A null step comes first.
+    at = F.coalesce(F.col(step).cast("bigint"), F.lit(-(1 << 62)))
     first = df.groupBy(run).agg(
-        F.min_by(F.col(value).cast("double"), step).alias("_first"),
+        F.min_by(F.col(value).cast("double"), at).alias("_first"),
         F.count(F.lit(1)).alias("n"),
     )
     maps = df.select(
         run,
-        F.col(step).cast("bigint").alias("_at"),
+        at.alias("_at"),
         F.lit(float(decay)).alias("a"),
         (F.col(value).cast("double") * F.lit(1.0 - decay)).alias("b"),
     )
@@ -113,6 +117,6 @@ def ema(
             .agg(folded.alias("_m"))
             .select(run, *([] if level == levels else [F.col("_up").alias("_at")]), "_m.a", "_m.b")
         )
-    return maps.join(first, run).select(
+    return null_safe_join(maps, first, [run]).select(
         run, (F.col("a") * F.col("_first") + F.col("b")).alias("ema"), "n"
     )

@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def null_safe_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on equal keys where a null equals a null, as in ``groupBy``; keys from the left."""
+    on = list(on)
+    theirs = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    return left.join(theirs, same, how).drop(*[f"_right_{c}" for c in on])
+
+
 def salted_join(
     large: DataFrame,
     small: DataFrame,

@@ -298,7 +298,7 @@ def supervised_lists(
     specials: Specials = Specials(),
     max_len: int | None = None,
     side: str = "left",
-    offset: int = 0,
+    offset: int = 1,
     compat: bool = False,
     instruction: str = "instruction",
     response: str = "text",
@@ -307,7 +307,7 @@ def supervised_lists(
     """``id, input_ids, attention_mask, labels`` of instruction and response texts.
 
     Labels are the ids with the source (all before the response, less ``offset``)
-    ignored. The mask is set on the whole sequence and cut with it; ``compat`` sets it
+    ignored; with the usual ``offset`` of one the source's last token is learned too. The mask is set on the whole sequence and cut with it; ``compat`` sets it
     on the cut sequence by the uncut source length, which takes too many labels when
     the cut is on the left.
     """

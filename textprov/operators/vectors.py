@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from textprov.functions.draws import DRAW_BITS, draw
 from textprov.functions.vectors import dot
+from textprov.operators.skew import null_safe_join
 
 POOL_FLOOR = 1e-9  # fixed value: smallest divisor of a pooled vector
 BROADCAST_BYTES = 64 << 20  # query vectors up to this size go to every task
@@ -18,23 +19,25 @@ BROADCAST_BYTES = 64 << 20  # query vectors up to this size go to every task
 def mean_pool(df: DataFrame, key: str, vec: str, mask: str) -> DataFrame:
     """``key, pooled``: mean of the vectors whose mask is set; zeros if none is.
 
+    A null key is a key like any other; null vectors count for nothing.
+
     Vectors are summed where they are read, so a hot key costs one vector per task.
     """
     as_vector = array_to_vector(F.col(vec).cast("array<double>"))
     m = F.col(mask).cast("double")
     sums = df.groupBy(key).agg(
         F.max(F.size(vec)).alias("dim"),
-        F.sum(m).alias("weight"),
+        F.sum(F.when(F.col(vec).isNotNull(), m)).alias("weight"),
     )
     pooled = (
-        df.where(m > 0)
+        df.where((m > 0) & F.col(vec).isNotNull())
         .groupBy(key)
         .agg(Summarizer.metrics("sum").summary(as_vector, m).alias("s"))
         .select(key, vector_to_array("s.sum").alias("total"))
     )
     total = F.coalesce("total", F.array_repeat(F.lit(0.0), F.col("dim")))
     floor = F.greatest("weight", F.lit(POOL_FLOOR))
-    return sums.join(pooled, key, "left").select(
+    return null_safe_join(sums, pooled, [key], "left").select(
         key, F.transform(total, lambda x: x / floor).alias("pooled")
     )
 
@@ -143,14 +146,18 @@ def knn(
     of the query side is measured. If it is small it is sent to every task and the
     corpus is read in place, without a shuffle. If not, both sides are cut into
     tiles and each pair of tiles is one matrix product. Either way a task returns
-    ``k`` rows per query, never the pairs.
+    ``k`` rows per query, never the pairs. The tiles of a large query side are all pairs
+    of both sides: for a whole corpus against itself take ``knn_approx``.
+
+    Rows without a vector, or with an empty one, take no part; vectors of another
+    length than the rest are an error.
     """
-    q = queries.select(F.col(id).alias("id"), F.col(vec).alias("vec"))
-    c = corpus.select(F.col(id).alias("id"), F.col(vec).alias("vec"))
+    q, c = _vectors_of(queries, id, vec), _vectors_of(corpus, id, vec)
     out = q.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim")).schema
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    n, dim = size["n"], size["dim"] or 0
-    if n * dim * 8 <= broadcast_bytes:
+    n, dim, id_bytes = _extent(q)
+    if n and _extent(c)[1] not in (0, dim):
+        raise ValueError("queries and corpus have vectors of different lengths")
+    if n * (dim * 8 + id_bytes) <= broadcast_bytes:
         found = _knn_broadcast(q, c, k, exclude_self, digits, out)
     else:
         per_tile = max(1, min(tile_rows, broadcast_bytes // max(1, dim * 8)))
@@ -158,6 +165,22 @@ def knn(
     return _ranked(found, k)
 
 
+def _vectors_of(df: DataFrame, id: str, vec: str) -> DataFrame:
+    return df.where(F.size(vec) > 0).select(F.col(id).alias("id"), F.col(vec).alias("vec"))
+
+
+def _extent(df: DataFrame) -> tuple[int, int, int]:
+    """Rows, length of the vectors, and the bytes that an id takes in an array of ids."""
+    longest = F.max(F.length(F.col("id").cast("string"))) * 4  # ids of one width
+    size = df.agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.size("vec")).alias("least"),
+        F.max(F.size("vec")).alias("dim"), longest.alias("id"),
+    ).first()
+    if size["least"] != size["dim"]:
+        raise ValueError(f"vectors of {size['least']} to {size['dim']} values")
+    return size["n"], size["dim"] or 0, size["id"] or 0
+
+
 def _knn_broadcast(q, c, k, exclude_self, digits, out):
     table = q.toArrow()
     if not table.num_rows:
@@ -244,10 +267,9 @@ def knn_approx(
 
     if tables << planes > 1 << 16:
         raise ValueError("too many buckets to send their counts to every task")
-    q = queries.select(F.col(id).alias("id"), F.col(vec).alias("vec"))
-    c = corpus.select(F.col(id).alias("id"), F.col(vec).alias("vec"))
-    dim = c.agg(F.max(F.size("vec")).alias("dim")).first()["dim"]
-    if dim is None:
+    q, c = _vectors_of(queries, id, vec), _vectors_of(corpus, id, vec)
+    dim = _extent(c)[1]
+    if not dim:
         raise ValueError("the corpus is empty")
     directions = np.random.default_rng(seed).normal(size=(dim, tables * planes))
 

@@ -12,10 +12,12 @@ from textprov.session import materialize
 
 
 def contrastive_losses(
-    essays: DataFrame, batch_size: int = 64, max_prompt: int = 8, seed=42, n_batches: int | None = None
+    essays: DataFrame, batch_size: int = 64, max_prompt: int | None = None, seed=42, n_batches: int | None = None
 ) -> DataFrame:
     """Supervised contrastive loss of class-balanced batches of embedded essays."""
-    kept = limit_prompts(drop_null_text(essays), max_prompt)
+    kept = drop_null_text(essays)
+    if max_prompt is not None:
+        kept = limit_prompts(kept, max_prompt)
     vectors = materialize(
         embed(fit_embedder(kept), kept.select("id", "generated", "text")).drop("text"), "vectors"
     )

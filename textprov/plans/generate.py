@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,6 +37,18 @@ def records(generated: DataFrame) -> DataFrame:
     )
 
 
+def with_content_id(essays: DataFrame) -> DataFrame:
+    """Add ``id``: a digest of all columns, and a number that tells equal rows apart.
+
+    Equal rows are counted, not sorted, so it does not matter how many there are.
+    """
+    columns = essays.columns
+    whole = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
+    counted = essays.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    each = counted.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    return each.select(*columns, F.concat_ws(":", F.md5(whole), "_k").alias("id"))
+
+
 def run_generation(
     spark: SparkSession,
     essays_path: str,
@@ -47,16 +60,20 @@ def run_generation(
     lo: int = 16,
     hi: int = 64,
     spec: Mapping[str, tuple] = SAMPLED_KNOBS,
+    suppress: DataFrame | None = None,
 ) -> DataFrame:
     """Plan, generate with the user's function, clean, write; returns failed rows.
 
-    Responses are stored before they are cleaned, so a model is asked once.
+    Responses are stored before they are cleaned, so a model is asked once. The same
+    essays and seed give the same records, however the input is cut into files.
+    ``suppress`` is a table of tokens (column ``tok``, a part of a model's vocabulary as
+    ``out_of_corpus`` gives it) that must not be generated: ``load(suppress=[...])``
+    gets them as a sorted list.
     """
-    # Essays carry no id of their own; their place in the stored table is one.
-    essays = materialize(read_human_essays(spark, essays_path), "essays").withColumn(
-        "id", F.concat_ws(":", "_metadata.file_name", "_metadata.row_index")
-    )
+    essays = materialize(with_content_id(read_human_essays(spark, essays_path)), "essays")
     plan = generation_plan(essays, n, n_gen, seed, lo, hi, spec)
+    if suppress is not None:
+        load = partial(load, suppress=[r[0] for r in suppress.select("tok").orderBy("tok").collect()])
     generated = materialize(batch_infer(plan, load, "response", "string"), "generated")
     write_records(records(generated), out_path)
     return generated.where(F.col("error").isNotNull())

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,24 +30,24 @@ def local_session(cpus: int | str = 8, app: str = "textprov") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only a local session, where driver and executors are one process, may fall
-    back to a folder of its own.
+    A session of one process may do without: it gets a folder of its own, kept as an
+    attribute of the session. Any other session has to name one.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="textprov-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_textprov_dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = spark._textprov_dir = tempfile.mkdtemp(prefix="textprov-")
+    return path.rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed with the other intermediate tables."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,9 +55,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Used for tables that several later steps read: the work is done once, a lost
     executor costs nothing but a re-read, and the file size is known to the
-    optimizer when it chooses joins.
+    optimizer when it chooses joins. The table lives until the ``scratch`` around it
+    ends, or else until the program does.
     """
     spark = df.sparkSession
     path = run_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_made: list[str] = []
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove the intermediate tables made inside when it ends.
+
+    Results that read them have to be written, or collected, before.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        paths = _made[before:]
+        del _made[before:]
+        _remove(spark, paths)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _made:
+        with suppress(Exception):  # the program ends either way
+            _remove(spark, _made)
