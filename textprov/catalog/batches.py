@@ -27,12 +27,12 @@ def batch_assign(spark, sf):
     return B.assign_batches(texts(spark, sf).select("id"), BS, 42)
 
 
-@query(
-    "prompt_batches",
-    f"""WITH {SQL_TEXTS}, {sql_batches('42:0', 'texts')},
-sizes AS (SELECT prompt_id, count(*) AS n FROM texts GROUP BY 1),
+def sql_prompt_batches(source: str, bs: int = BS) -> str:
+    """CTEs up to ``mixed_batches``: the SQL twin of ``prompt_batches`` with seed 42."""
+    return f"""{sql_batches('42:0', source, bs)},
+sizes AS (SELECT prompt_id, count(*) AS n FROM {source} GROUP BY 1),
 prompts AS (
-  SELECT *, {sql_position('42:0:prompts', 'prompt_id')} AS prompt_no FROM sizes WHERE n >= {BS}),
+  SELECT *, {sql_position('42:0:prompts', 'prompt_id')} AS prompt_no FROM sizes WHERE n >= {bs}),
 chosen AS (
   SELECT batch_id, count(*) AS k, (SELECT count(*) FROM prompts) > 0
          AND {sql_uniform(42, "'swap'", "0", "batch_id")} < 0.8::DOUBLE AS swap
@@ -44,12 +44,18 @@ picked AS (
     {sql_uniform('42:0', "'pick'", "c.batch_id")} * (SELECT count(*) FROM prompts))::BIGINT
   WHERE c.swap),
 plan AS (SELECT *, unnest(range(k)) AS slot FROM picked),
-ranked AS (SELECT id, prompt_id, {sql_position('42:rank', 'id', by='prompt_id')} AS rank FROM texts)
-SELECT e.batch_id, e.slot, e.id, false AS replaced
-FROM epoch e JOIN chosen c ON c.batch_id = e.batch_id WHERE NOT c.swap
-UNION ALL
-SELECT p.batch_id, p.slot, r.id, true FROM plan p
-JOIN ranked r ON r.prompt_id = p.prompt_id AND r.rank = (p.start + p.slot) % p.n""",
+ranked AS (SELECT id, prompt_id, {sql_position('42:rank', 'id', by='prompt_id')} AS rank FROM {source}),
+mixed_batches AS (
+  SELECT e.batch_id, e.slot, e.id, false AS replaced
+  FROM epoch e JOIN chosen c ON c.batch_id = e.batch_id WHERE NOT c.swap
+  UNION ALL
+  SELECT p.batch_id, p.slot, r.id, true FROM plan p
+  JOIN ranked r ON r.prompt_id = p.prompt_id AND r.rank = (p.start + p.slot) % p.n)"""
+
+
+@query(
+    "prompt_batches",
+    f"WITH {SQL_TEXTS}, {sql_prompt_batches('texts')} SELECT * FROM mixed_batches",
 )
 def prompt_batches(spark, sf):
     # The pick and offset draws are keyed by seed and epoch.

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from textprov.catalog.inputs import SQL_TEXTS, corpus, essays, scored, texts
+from textprov.catalog.batches import sql_prompt_batches
+from textprov.catalog.inputs import SQL_SCORED, SQL_TEXTS, corpus, essays, scored, texts
 from textprov.catalog.registry import query
+from textprov.catalog.scores import sql_ranking
 from textprov.functions.text import add_question
 from textprov.models.detector import fit_best, fit_detector, score
 from textprov.models.embedder import embed, fit_embedder
@@ -53,9 +55,15 @@ def contrastive(spark, sf):
     return contrastive_losses(essays(spark, sf), 4)
 
 
-@query("ranking_losses")
+@query(
+    "ranking_losses",
+    f"""WITH {SQL_SCORED}, {sql_prompt_batches('probs', 8)},
+placed AS (SELECT b.batch_id, s.* FROM probs s JOIN mixed_batches b ON b.id = s.id)
+{sql_ranking('placed', 'batch_id')}""",
+)
 def ranking(spark, sf):
-    return ranking_losses(scored(spark, sf).drop("text"), 8)
+    out = ranking_losses(scored(spark, sf).drop("text"), 8)
+    return out.withColumn("loss", F.round("loss", 6))
 
 
 @query(

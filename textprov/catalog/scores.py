@@ -213,7 +213,7 @@ def margin_pair_loss(spark, sf):
     return L.margin_pair_loss(pairs, by=["prompt_id"]).withColumn("loss", F.round("loss", 6))
 
 
-def _sql_ranking(source: str, by: str) -> str:
+def sql_ranking(source: str, by: str) -> str:
     return f"""SELECT a.{by}, sqrt(count(*))::BIGINT AS n,
        round(avg(greatest(-(a.p - b.p) * sign(a.generated - b.generated) + 0.7::DOUBLE, 0)), 6) AS loss
 FROM {source} a JOIN {source} b ON a.{by} = b.{by} GROUP BY 1"""
@@ -223,14 +223,14 @@ FROM {source} a JOIN {source} b ON a.{by} = b.{by} GROUP BY 1"""
     "ranking_loss",
     f"""WITH {SQL_SCORED}, {sql_batches(42, 'probs', 32)},
 placed AS (SELECT e.batch_id, s.* FROM probs s JOIN epoch e ON e.id = s.id)
-{_sql_ranking('placed', 'batch_id')}""",
+{sql_ranking('placed', 'batch_id')}""",
 )
 def ranking_loss(spark, sf):
     rows = B.assign_batches(scored(spark, sf).select("id", "generated", "logit"), 32, 42)
     return L.ranking_loss(rows, "batch_id", n_cells=1).withColumn("loss", F.round("loss", 6))
 
 
-@query("ranking_loss_by_prompt", f"WITH {SQL_SCORED} {_sql_ranking('probs', 'prompt_id')}")
+@query("ranking_loss_by_prompt", f"WITH {SQL_SCORED} {sql_ranking('probs', 'prompt_id')}")
 def ranking_loss_by_prompt(spark, sf):
     out = L.ranking_loss(scored(spark, sf), "prompt_id")
     return out.withColumn("loss", F.round("loss", 6))
