@@ -42,6 +42,7 @@ from textprov.session import materialize
 LENGTH = 400
 GRAM = 96
 CLASSES = 256
+STEP = 16  # windows that are counted as one where an anchor has more classes
 
 _PLACE = U((1 << 32) - 1)
 
@@ -270,41 +271,125 @@ def _members(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _counted(contents: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many classes, by counting digests of windows."""
+def _blocks(contents: DataFrame, length: int) -> DataFrame:
+    """Runs of up to ``STEP`` windows of a piece, aligned at the anchor.
+
+    ``core`` is the digest of the bytes that all windows of a full run share, ``whole``
+    of all bytes of this run, ``low`` and ``high`` its ends as counted from the anchor.
+    """
 
     def run(batches):
         for b in batches:
             cols = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-            data = cols["bytes"]
-            for p in flat.pieces(data):
+            for p in flat.pieces(cols["bytes"]):
                 sums = flat.prefix(p.data)
-                size = np.diff(p.offsets) - length + 1
-                own = np.repeat(np.arange(p.n), size)
-                inner = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+                pick = lambda c: cols[c].slice(p.first, p.n).to_numpy().astype(np.int64)  # noqa: E731, B023
+                off, n = pick("off"), pick("n")
+                first, last = (off - n + 1) // STEP, off // STEP
+                many = last - first + 1
+                own = np.repeat(np.arange(p.n), many)
+                run_ = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + first[own]
+                low = np.maximum(run_ * STEP, (off - n + 1)[own])
+                high = np.minimum(run_ * STEP + STEP - 1, off[own])
+                at, base = p.offsets[own], off[own]
+                core = flat.span_hashes(
+                    sums, at + base - run_ * STEP, at + base - run_ * STEP - STEP + 1 + length
+                )
+                whole = flat.span_hashes(sums, at + base - high, at + base - low + length)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[pa.array(pick(c)[own]) for c in ("anchor", "piece", "copies", "doc", "start")],
+                        pa.array(run_), pa.array(core.view(np.int64)), pa.array(low),
+                        pa.array(high), pa.array(whole.view(np.int64)), pa.array(base - high),
+                        pa.array(base - low),
+                    ],
+                    names=[
+                        "anchor", "piece", "copies", "doc", "start", "run", "core", "low",
+                        "high", "whole", "from", "to",
+                    ],
+                )
+
+    return contents.mapInArrow(
+        run,
+        "anchor long, piece long, copies long, doc long, start long, run long, core long, "
+        "low long, high long, whole long, `from` long, `to` long",
+    )
+
+
+def _windows(contents: DataFrame, length: int) -> DataFrame:
+    """The windows of the runs listed in ``runs`` with their digests."""
+
+    def run(batches):
+        for b in batches:
+            cols = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            lists = cols["runs"].to_pylist()
+            for p in flat.pieces(cols["bytes"]):
+                sums = flat.prefix(p.data)
+                own, inner = [], []
+                for i in range(p.n):
+                    for r in lists[p.first + i]:
+                        inner.append(np.arange(r["from"], r["to"] + 1))
+                        own.append(np.full(len(inner[-1]), i))
+                own, inner = np.concatenate(own), np.concatenate(inner)
                 at = p.offsets[own] + inner
                 h = flat.span_hashes(sums, at, at + length)
                 pick = lambda c: cols[c].slice(p.first, p.n).to_numpy()[own]  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h.view(np.int64)), pa.array(pick("anchor")),
-                        pa.array(pick("piece")), pa.array(pick("copies")), pa.array(pick("doc")),
+                        pa.array(h.view(np.int64)),
+                        *[pa.array(pick(c)) for c in ("anchor", "piece", "copies", "doc")],
                         pa.array(pick("start") + inner),
                     ],
                     names=["repeat", "anchor", "piece", "copies", "doc", "start"],
                 )
 
-    windows = contents.mapInArrow(
+    return contents.mapInArrow(
         run, "repeat long, anchor long, piece long, copies long, doc long, start long"
     )
-    windows = materialize(windows, "windows")
-    twice = (
-        windows.groupBy("anchor", "repeat").agg(F.sum("copies").alias("all")).where("all > 1")
+
+
+def _counted(contents: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with very many classes, by pre-aggregated counts of digests.
+
+    First by runs of windows: a run whose bytes occur twice is repeated as a whole, and
+    one whose common bytes occur once holds no repeated window. What is left, about one
+    run for each end of a passage, is counted window by window, together with one run of
+    each repeated kind.
+    """
+    runs = materialize(_blocks(contents, length), "runs")
+    kind = ["anchor", "run", "low", "high", "whole"]
+    wholes = (
+        runs.groupBy(*kind)
+        .agg(
+            F.sum("copies").alias("all"), F.first("core").alias("core"),
+            F.min(F.struct("piece", "from", "to")).alias("one"),
+        )
+    )
+    wholes = materialize(wholes, "kinds")
+    cores = wholes.groupBy("anchor", "run", "core").agg(
+        F.sum("all").alias("all"), F.count(F.lit(1)).alias("kinds")
+    )
+    cores = materialize(cores.where("all > 1 and kinds > 1").drop("all", "kinds"), "cores")
+    twice = wholes.where("all > 1").select(*kind)
+    resolved = runs.join(twice, kind).select(
+        F.col("whole").alias("repeat"), "anchor", "piece", "copies", "doc",
+        (F.col("start") + F.col("from")).alias("start"),
+        (F.col("start") + F.col("to") + length).alias("stop"),
+    )
+    asked = wholes.join(cores, ["anchor", "run", "core"]).select("anchor", "one.*")
+    listed = asked.groupBy("anchor", "piece").agg(
+        F.collect_list(F.struct("from", "to")).alias("runs")
+    )
+    windows = materialize(
+        _windows(contents.join(listed, ["anchor", "piece"]), length), "windows"
     )
-    return windows.join(twice.select("anchor", "repeat"), ["anchor", "repeat"]).select(
+    again = windows.groupBy("anchor", "repeat").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialize(again.select("anchor", "repeat"), "windows")
+    single = windows.join(again, ["anchor", "repeat"]).select(
         "repeat", "anchor", "piece", "copies", "doc", "start",
         (F.col("start") + length).alias("stop"),
     )
+    return resolved.union(single)
 
 
 def repeated_passages(
@@ -335,6 +420,7 @@ def repeated_passages(
         .where("all > 1")
         .select("anchor", (F.col("p") != F.col("q")).alias("mixed"))
     )
+    twice = materialize(twice, "anchors")  # so that the join can be split at a hot anchor
     found = materialize(found.join(twice, "anchor"), "pieces")
     classes = (
         found.groupBy("anchor", "piece")
@@ -351,7 +437,7 @@ def repeated_passages(
         (F.col("start") + F.col("n") - 1 + length).alias("stop"),
     )
     mixed = classes.where("mixed").drop("mixed")
-    kinds = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = materialize(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
     contents = _contents(texts, mixed, length).join(kinds, "anchor")
     contents = materialize(contents, "contents")
     parts = _grouped(contents.where(F.col("kinds") <= CLASSES).drop("kinds"), length)
