@@ -93,8 +93,8 @@ def format_turns(
 
     Defined results: a null text is empty, a null role is the empty role; a null
     conversation is a conversation, a null turn comes first; rows with the same turn
-    stand in the order of their formatted strings, and equal rows are turns of their
-    own; other columns are not looked at; an empty table gives an empty result.
+    stand in the order of a digest of their formatted strings, and equal rows are turns
+    of their own; other columns are not looked at; an empty table gives an empty result.
     """
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     rows = df.select(
@@ -147,7 +147,8 @@ def conversations(turns: DataFrame) -> DataFrame:
     A conversation is one row here, so it has to fit a task; ``read_back`` does not ask
     for that.
     """
-    each = F.sort_array(F.collect_list(F.struct("turn", "formatted", "ids", "loss")))
+    tie = F.xxhash64("formatted").alias("tie")
+    each = F.sort_array(F.collect_list(F.struct("turn", tie, "formatted", "ids", "loss")))
     whole = turns.groupBy("conv_id").agg(each.alias("turns"))
     return whole.select(
         "conv_id",
@@ -156,24 +157,28 @@ def conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def _segments(ids: list[int], loss: list[int], code):
-    """Role, text and text under the mask of every turn in a run of ids."""
-    role, words, under = None, [], []
-    naming = False
-    for i, on in zip(ids, loss):
-        if i == NAMED:
-            role, words, under, naming = code.decode(words), [], [], False
-        elif i == OTHER:
-            words, under, naming = [], [], True
-        elif i in NAMES:
-            role, words, under = NAMES[i], [], []
-        elif i == END:
-            yield role, code.decode(words), code.decode(under)
-            words, under = [], []
+def _segments(ids: np.ndarray, loss: np.ndarray, code):
+    """Role, text, text under the mask and formatted length of every turn in some ids."""
+    marks = np.flatnonzero(ids >= FIRST_ID)
+    role, chars = None, 0
+    for at, upto in zip(marks, [*marks[1:], len(ids)]):
+        mark = int(ids[at])
+        chars += len(MARKS[mark])
+        if mark == END:
+            yield role, text, under, chars
+            role, chars = None, 0
+            continue
+        text = code.decode(ids[at + 1 : upto].tolist())
+        chars += len(text)
+        on = loss[at + 1 : upto]
+        if on.all():
+            under = text
         else:
-            words.append(i)
-            if on and not naming:
-                under.append(i)
+            under = code.decode(ids[at + 1 : upto][on].tolist()) if on.any() else ""
+        if mark == OTHER:
+            role = text
+        elif mark in NAMES:
+            role = NAMES[mark]
 
 
 def read_back(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -185,9 +190,9 @@ def read_back(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     sent = turns.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     ordered = (
-        turns.select("conv_id", "turn", "formatted", "ids", "loss")
+        turns.select("conv_id", "turn", F.xxhash64("formatted").alias("tie"), "ids", "loss")
         .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "formatted")
+        .sortWithinPartitions("conv_id", "turn", "tie")
         .select("conv_id", "ids", "loss")
     )
 
@@ -197,20 +202,13 @@ def read_back(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             self.said, self.under = hashlib.sha256(), hashlib.sha256()
 
         def add(self, ids, loss, code):
-            for role, text, under in _segments(ids, loss, code):
+            for role, text, under, chars in _segments(ids, loss, code):
                 self.turns += 1
+                self.chars += chars
                 self.said.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
                 under = unescape(under)
                 self.loss += len(under)
                 self.under.update(under.encode())
-            words: list[int] = []
-            for i in ids:
-                if i in MARKS:
-                    self.chars += len(code.decode(words)) + len(MARKS[i])
-                    words = []
-                else:
-                    words.append(i)
-            self.chars += len(code.decode(words))
 
         def row(self):
             return (
@@ -224,8 +222,12 @@ def read_back(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         code = encoding(sent.value)
         now, done = None, []
         for b in batches:
-            convs, ids, loss = (b.column(i).to_pylist() for i in range(3))
-            for c, i, on in zip(convs, ids, loss):
+            ends = b.column(1).offsets.to_numpy()
+            ids = b.column(1).values.to_numpy()
+            loss = b.column(2).values.to_numpy().astype(bool)
+            shift = b.column(2).offsets.to_numpy() - ends  # the two lists may begin apart
+            for c, lo, hi, d in zip(b.column(0).to_pylist(), ends, ends[1:], shift):
+                i, on = ids[lo:hi], loss[lo + d : hi + d]
                 if now is None or now.conv != c:
                     if now is not None:
                         done.append(now.row())
