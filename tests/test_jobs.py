@@ -192,6 +192,26 @@ def test_training_jobs_write_predictions(spark, sf, tmp_path, job, fit):
     truth = {r["id"]: r["generated"] for r in rows.collect()}
     assert all(int(r["truths"]) == truth[r["id"]] for r in results.collect())
     assert submission.columns == ["id", "generated"]
+    best = R.read_csv(spark, f"{tmp_path}/out/run1/result_df_best")
+    assert best.exceptAll(results).count() == 0 and best.count() == results.count()
+
+
+@pytest.mark.parametrize("job, key", [(run_detection, "max_iter"), (run_ranking, "max_iter")])
+def test_training_jobs_stop_early_and_write_the_best(spark, sf, tmp_path, job, key):
+    rows = essays(spark, sf).select(F.col("id").cast("string").alias("id"), "text", "generated", "prompt_id")
+    W.write_csv(rows, f"{tmp_path}/in/train_essays.csv")
+    grid = [{"reg": 1e-3, "max_iter": 5}, {"reg": 1e3, "max_iter": 1}, {"reg": 1e4, "max_iter": 1}, {"reg": 1e-3}]
+    report = job(spark, f"{tmp_path}/in", f"{tmp_path}/out", "run1", 0.8, grid=grid, patience=1, n_features=1024)
+    auc = {
+        tag: roc_auc(
+            R.read_csv(spark, f"{tmp_path}/out/run1/result_df_{tag}").select(
+                F.col("predictions").cast("double"), F.col("truths").cast("int")
+            )
+        ).first()["auc"]
+        for tag in ("best", "last")
+    }
+    assert auc["best"] >= auc["last"]
+    assert abs(auc["best"] - report.scores.first()["lb"]) < 1e-4
 
 
 def test_generation_job(spark, sf, tmp_path):

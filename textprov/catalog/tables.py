@@ -115,6 +115,25 @@ def predictions_csv(spark, sf):
     )
 
 
+@query(
+    "predictions_best_csv",
+    f"""WITH {SQL_SCORED} SELECT CAST(id AS VARCHAR) AS id, round(p, 9) AS predictions,
+        CAST(generated AS INTEGER) AS truths FROM probs""",
+)
+def predictions_best_csv(spark, sf):
+    """The ``best`` files, after a worse evaluation was written as ``last``."""
+    results = scored(spark, sf).select(
+        "id", F.round(sigmoid("logit"), 9).alias("predictions"), F.col("generated").alias("truths")
+    )
+    folder = run_dir(spark, "predictions")
+    paths = W.write_predictions(results, folder, "closed_form", "best")
+    W.write_predictions(results.withColumn("predictions", F.lit(0.5)), folder, "closed_form", "last")
+    return R.read_csv(spark, paths["results"]).select(
+        "id", F.col("predictions").cast("double").alias("predictions"),
+        F.col("truths").cast("int").alias("truths"),
+    )
+
+
 @query(
     "records_json",
     f"""WITH {SQL_HUMAN}, {SQL_DRAWS},

@@ -3,7 +3,7 @@ on hashed words and word pairs."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -71,6 +71,27 @@ def score(model, df: DataFrame) -> DataFrame:
 class Search(NamedTuple):
     model: PipelineModel
     log: DataFrame
+    last: PipelineModel
+
+
+def early_stopped(fit: Callable, auc: Callable, grid: Sequence[dict], patience: int):
+    """Fit the grid in order until ``auc`` has not improved ``patience`` times.
+
+    Returns the latest best model, the last one, and a log row for each fit. One number
+    per fit reaches the driver.
+    """
+    rows, best, chosen, last, waited = [], None, None, None, 0
+    for step, params in enumerate(grid):
+        last = fit(params)
+        reached = auc(last)
+        rows.append(("search", step, str(params), reached))
+        if reached is not None and (best is None or reached >= best):
+            best, chosen, waited = reached, last, 0
+        else:
+            waited += 1
+        if waited >= patience:
+            break
+    return chosen, last, rows
 
 
 def fit_best(
@@ -82,23 +103,21 @@ def fit_best(
 ) -> Search:
     """Fit the grid in order until the holdout AUC has not improved ``patience`` times.
 
-    Features are made once and stored. One number per fit reaches the driver. The log has a
-    row per fit with ``best, is_best, patience``; the model is the latest best one.
+    Features are made once and stored. The log has a row per fit with ``best, is_best,
+    patience``; the model is the latest best one.
     """
     spark = train.sparkSession
     features = Pipeline(stages=feature_stages(n_features)).fit(train.select("text"))
     ready, held = (prepare(features, d, "generated") for d in (train, valid))
-    rows, best, model, waited = [], None, None, 0
-    for step, params in enumerate(grid):
-        fitted = classifier(**params).fit(ready)
-        auc = roc_auc(score(fitted, held), "predictions", "generated").first()["auc"]
-        rows.append(("search", step, str(params), auc))
-        if auc is not None and (best is None or auc >= best):
-            best, model, waited = auc, fitted, 0
-        else:
-            waited += 1
-        if waited >= patience:
-            break
+    model, last, rows = early_stopped(
+        lambda params: classifier(**params).fit(ready),
+        lambda fitted: roc_auc(score(fitted, held), "predictions", "generated").first()["auc"],
+        grid,
+        patience,
+    )
     log = spark.createDataFrame(rows, "run string, step long, params string, metric double")
-    chosen = [features, model] if model is not None else [features]
-    return Search(PipelineModel(stages=chosen), best_and_patience(log))
+
+    def whole(fitted) -> PipelineModel:
+        return PipelineModel(stages=[features] + ([fitted] if fitted is not None else []))
+
+    return Search(whole(model), best_and_patience(log), whole(last))

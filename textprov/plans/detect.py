@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprov.functions.text import add_question, py_strip
 from textprov.functions.vectors import sigmoid
-from textprov.models.detector import fit_detector, score
+from textprov.models.detector import early_stopped, fit_best, fit_detector, score
 from textprov.models.ranker import fit_ranker, rank_score
 from textprov.operators.metrics import Evaluation, evaluate, roc_auc
 from textprov.operators.pairs import human_ai_pairs
@@ -33,20 +35,49 @@ def split_essays(essays: DataFrame, frac: float = 0.99, seed=42) -> tuple[DataFr
     return by_fold(split, "train"), by_fold(split, "valid")
 
 
+def _report(spark, models: dict, scores, truths: DataFrame, out_dir: str, run: str) -> Evaluation:
+    """Score, evaluate and write ``best`` and ``last``; returns the best evaluation.
+
+    Predictions are stored before they are evaluated, so texts are scored once for each
+    model, and once in all if both are the same.
+    """
+    reports: dict[int, Evaluation] = {}
+    for tag in ("last", "best"):
+        model = models[tag]
+        if id(model) not in reports:
+            scored = materialize(scores(model).select("id", "logit"), "scores")
+            reports[id(model)] = evaluate(scored, truths)
+        write_predictions(reports[id(model)].results, out_dir, run, tag)
+    return reports[id(models["best"])]
+
+
 def run_detection(
-    spark: SparkSession, data_dir: str, out_dir: str, run: str, frac: float = 0.99, seed=42, **fit
+    spark: SparkSession,
+    data_dir: str,
+    out_dir: str,
+    run: str,
+    frac: float = 0.99,
+    seed=42,
+    grid: Sequence[dict] | None = None,
+    patience: int = 2,
+    **fit,
 ) -> Evaluation:
     """Read, split, fit on the train fold, score and write the valid fold.
 
-    Predictions are stored before they are evaluated, so texts are scored once.
+    With a ``grid`` of classifier settings, fits stop when the holdout AUC has not
+    improved ``patience`` times; the predictions of the best and of the last fit are
+    both written. Without, one fit is both.
     """
     train, valid = split_essays(read_essays(spark, data_dir), frac, seed)
     train, valid = (d.withColumn("text", add_question("text")) for d in (train, valid))
-    model = fit_detector(train, **fit)
-    scored = materialize(score(model, valid).select("id", "logit"), "scores")
-    report = evaluate(scored, valid.select("id", "generated"))
-    write_predictions(report.results, out_dir, run)
-    return report
+    if grid:
+        found = fit_best(train, valid, grid, patience, **fit)
+        models = {"best": found.model, "last": found.last}
+    else:
+        model = fit_detector(train, **fit)
+        models = {"best": model, "last": model}
+    truths = valid.select("id", "generated")
+    return _report(spark, models, lambda m: score(m, valid), truths, out_dir, run)
 
 
 def pair_texts(essays: DataFrame, seed=42, n: int | None = None) -> DataFrame:
@@ -63,12 +94,29 @@ def pair_texts(essays: DataFrame, seed=42, n: int | None = None) -> DataFrame:
 
 
 def run_ranking(
-    spark: SparkSession, data_dir: str, out_dir: str, run: str, frac: float = 0.99, seed=42, **fit
+    spark: SparkSession,
+    data_dir: str,
+    out_dir: str,
+    run: str,
+    frac: float = 0.99,
+    seed=42,
+    grid: Sequence[dict] | None = None,
+    patience: int = 2,
+    **fit,
 ) -> Evaluation:
     """As ``run_detection``, with a ranker fitted on pairs inside prompts."""
     train, valid = split_essays(read_essays(spark, data_dir), frac, seed)
-    model = fit_ranker(pair_texts(train, seed), **fit)
-    scored = materialize(rank_score(model, valid).select("id", "logit"), "scores")
-    report = evaluate(scored, valid.select("id", "generated"))
-    write_predictions(report.results, out_dir, run)
-    return report
+    pairs = materialize(pair_texts(train, seed), "pair_texts")
+
+    def auc(model):
+        scored = rank_score(model, valid).select("logit", "generated")
+        return roc_auc(scored, "logit", "generated").first()["auc"]
+
+    settings = [{**fit, **g} for g in grid or [{}]]
+    if grid:
+        best, last, _ = early_stopped(lambda s: fit_ranker(pairs, **s), auc, settings, patience)
+    else:
+        best = last = fit_ranker(pairs, **fit)
+    models = {"best": best or last, "last": last}
+    truths = valid.select("id", "generated")
+    return _report(spark, models, lambda m: rank_score(m, valid), truths, out_dir, run)
