@@ -32,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # words of the mix by words there are
 MOST = 2  # times that a text may be taken
 BLOCK = 16  # words
-SHARD = 50_000  # texts
+SHARD = 5_000  # texts
 SEED = 11
 WORD = r"[^\x20\x09-\x0D]+"
 
