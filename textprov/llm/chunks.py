@@ -27,6 +27,7 @@ from textprov.llm.flat import U
 from textprov.session import materialize
 
 MEAN = 2  # one line in so many may end a chunk
+ROWS = 512  # rows whose texts are taken out of a batch at once
 LEAST = 40  # bytes below which a chunk is left alone
 
 
@@ -173,7 +174,7 @@ def remove_repeated_chunks(
     maybe = maybe.select(*plain, "n_lines", "_numbers")
 
     def cut(batches):
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts, numbers = b.column(at).to_pylist(), b.column(len(kept) + 1).to_pylist()
             removed = np.zeros(b.num_rows, np.int64)
             for i, drop in enumerate(numbers):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-PIECE = 2 << 20  # bytes of text worked on at once
+PIECE = 1 << 19  # bytes of text worked on at once; working arrays take 8 times as much each
 U = np.uint64
 
 # The white space that separates words.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprov.llm.archive import archive_keys, build_index, lookup, read_records, write_archive
 from textprov.llm.chat import format_turns, read_back
+from textprov.llm import checks
 from textprov.llm.chunks import remove_repeated_chunks
 from textprov.llm.leaks import find_leaks
 from textprov.llm.licenses import scan_licenses
@@ -31,10 +32,11 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op2_parity_join")
+@query("op2_parity_join", checks.near_duplicates(3, 90, 100))
 def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return similar_groups(docs, rule=Similarity(words=3, num=90, den=100))
+    groups = similar_groups(docs, rule=Similarity(words=3, num=90, den=100))
+    return groups.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op3_license_scan")
@@ -42,7 +44,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op4_warc_index")
+@query("op4_warc_index", checks.ARCHIVE)
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages, index the captures, look every address up and read its records."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -53,12 +55,12 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_suffix_repeats")
+@query("op5_suffix_repeats", checks.REPEATS)
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op6_chat_tokens")
+@query("op6_chat_tokens", checks.CHAT)
 def op6_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are made of control strings."""
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -80,7 +82,7 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_repetition")
+@query("op8_repetition", checks.repetition())
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs)
@@ -99,7 +101,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_source_mix")
+@query("op9_source_mix", checks.mixing())
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
