@@ -4,11 +4,12 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.compare import difference, plan_faults
+from textprov.catalog import ORACLES, QUERIES
 
-ROWS_ONLY = sorted(set(queries()) - set(oracle_sql()))
+ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES))
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, sf, con, name):
     df = queries()[name](spark, sf)
     assert plan_faults(name, df) == []
@@ -22,6 +23,11 @@ def test_has_rows(spark, sf, name):
     assert df.count() > 0
 
 
+def test_entry_names():
+    assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
+    assert set(oracle_sql()) <= set(queries())
+
+
 def test_entry(spark):
     rows = entry(spark).collect()
     assert {r["fold"] for r in rows} == {"train", "valid"}
