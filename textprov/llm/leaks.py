@@ -275,10 +275,10 @@ def find_leaks(
         w = Windows.of(block, window, edits)
         if w is None:
             continue
-        sent = docs.sparkSession.sparkContext.broadcast(w)
+        sent = docs.sparkSession.sparkContext.broadcast(vars(w))
 
         def run(batches, sent=sent):
-            w = sent.value
+            w = Windows(**sent.value)
             for b in batches:
                 for p in flat.pieces(b.column(1)):
                     hits = list(dict.fromkeys(_hits(p, w)))
@@ -313,13 +313,14 @@ def without_leaks(
         w = Windows.of(block, window, edits)
         if w is None:
             continue
-        sent = docs.sparkSession.sparkContext.broadcast(w)
+        sent = docs.sparkSession.sparkContext.broadcast(vars(w))
 
         def run(batches, sent=sent):
+            w = Windows(**sent.value)
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
                 for p in flat.pieces(b.column(at)):
-                    for own, *_ in _hits(p, sent.value):
+                    for own, *_ in _hits(p, w):
                         clean[p.first + own] = False
                 yield b.filter(pa.array(clean))
 

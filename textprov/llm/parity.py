@@ -28,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +44,9 @@ TILE = 512
 LISTED = 64  # keys of a node that travel with it, to report a pair once
 
 
+_bands: dict[tuple[int, int], list[tuple[int, int, int, int, int]]] = {}
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Jaccard similarity of at least ``num / den`` on shingles of ``words`` words."""
@@ -62,17 +64,17 @@ class Similarity:
         """Largest set that can be similar to one of ``size``."""
         return size * self.den // self.num
 
-    @lru_cache(maxsize=None)
     def band(self, k: int) -> tuple[int, int, int, int, int]:
         """First size, first size of the next band, differences, spare parts, parts."""
-        low = self.least
-        for _ in range(k):
-            low = max(low + 1, low * 3 // 2)
-        high = max(low + 1, low * 3 // 2)
-        pair = high - 1 + self.partner(high - 1)
-        d = pair * (self.den - self.num) // (self.den + self.num)
-        spare = 2 + d // (12 if low >= 5 * (d + 1) else 5)
-        return low, high, d, spare, d + 1 + spare
+        known = _bands.setdefault((self.num, self.den), [])
+        while len(known) <= k:
+            low = known[-1][1] if known else self.least
+            high = max(low + 1, low * 3 // 2)
+            pair = high - 1 + self.partner(high - 1)
+            d = pair * (self.den - self.num) // (self.den + self.num)
+            spare = 2 + d // (12 if low >= 5 * (d + 1) else 5)
+            known.append((low, high, d, spare, d + 1 + spare))
+        return known[k]
 
     def bands(self, size: int) -> list[int]:
         """Bands in which a set of this size joins."""
