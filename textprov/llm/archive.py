@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
+from textprov.llm.arrow import lean
 from textprov.session import materialize, run_dir
 
 LEAST = 1000  # bytes of a payload that a revisit may stand for
@@ -186,7 +187,7 @@ def write_archive(
     """
     spark = df.sparkSession
     folder = folder or run_dir(spark, "archive")
-    pages = df.select(
+    pages = lean(df).select(
         F.col(page).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
@@ -349,7 +350,7 @@ def read_records(captures: DataFrame, payload: bool = False) -> DataFrame:
 
     Payloads are checked against their length and digest; a record that fails raises.
     """
-    ordered = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    ordered = lean(captures).repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     ordered = ordered.select("file", "offset", "length")
     schema = [
         ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),

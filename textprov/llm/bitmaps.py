@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from textprov.llm.arrow import lean
 from textprov.llm.flat import U, mix64
 
 BITS = 1 << 25  # 4 MB
@@ -65,7 +66,7 @@ def split(df: DataFrame, column: str, bitmap: Broadcast) -> tuple[DataFrame, Dat
                 hit = marked(bitmap.value, k) & ~b.column(at).is_null().to_numpy(zero_copy_only=False)
                 yield b.filter(pa.array(hit == want))
 
-        return df.mapInArrow(run, df.schema)
+        return lean(df).mapInArrow(run, df.schema)
 
     at = df.columns.index(column)
     return side(False), side(True)

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from textprov.llm.arrow import lean
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 # How texts are cut before byte pairs are merged, as this vocabulary asks for.
@@ -97,7 +99,7 @@ def format_turns(
     of their own; other columns are not looked at; an empty table gives an empty result.
     """
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    rows = df.select(
+    rows = lean(df).select(
         F.col(conv).cast("long"), F.col(turn).cast("long"),
         F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit("")),
     )
@@ -190,7 +192,7 @@ def read_back(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     sent = turns.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     ordered = (
-        turns.select("conv_id", "turn", F.xxhash64("formatted").alias("tie"), "ids", "loss")
+        lean(turns).select("conv_id", "turn", F.xxhash64("formatted").alias("tie"), "ids", "loss")
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "tie")
         .select("conv_id", "ids", "loss")

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textprov.llm import flat
+from textprov.llm.arrow import lean
 from textprov.llm.bitmaps import key_bitmap, marked
 from textprov.llm.flat import U
 from textprov.session import materialize
@@ -99,7 +100,7 @@ def repeated_chunks(
     df: DataFrame, id: str = "doc_id", text: str = "text", mean: int = MEAN, least: int = LEAST
 ) -> DataFrame:
     """``doc, numbers``: which chunks of a row are removed; ``doc`` is ``flat.row_key``."""
-    texts = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    texts = lean(df).select(F.col(id).alias("id"), F.col(text).alias("text"))
     twice = (
         _chunks(texts, mean, least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("digest")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textprov.llm import flat
+from textprov.llm.arrow import lean
 from textprov.llm.flat import BASE, U
 
 Q = 10
@@ -269,7 +270,7 @@ def find_leaks(
         T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
         T.StructField("edits", T.IntegerType()),
     ])
-    texts = docs.select(F.col(id), F.col(text).alias("_text"))
+    texts = lean(docs).select(F.col(id), F.col(text).alias("_text"))
     out = None
     for block in _blocks(benchmark, item_id, item_text):
         w = Windows.of(block, window, edits)
@@ -324,5 +325,5 @@ def without_leaks(
                         clean[p.first + own] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = lean(docs).mapInArrow(run, docs.schema)
     return docs

@@ -35,12 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from textprov.llm import flat
+from textprov.llm.arrow import lean
 from textprov.llm.bitmaps import key_bitmap, marked
 from textprov.llm.components import components
 from textprov.llm.flat import U, mix64
 from textprov.session import materialize
 
 TILE = 512
+PAIRS = 1 << 18  # pairs looked at in one go
+WORDS = 1 << 20  # words of sketches compared in one go
 LISTED = 64  # keys of a node that travel with it, to report a pair once
 
 
@@ -175,12 +178,13 @@ def _nodes(texts: DataFrame, rule: Similarity) -> DataFrame:
 
 
 def _keys(texts: DataFrame, rule: Similarity, only=None) -> DataFrame:
-    """``key, node`` for every part that a text joins on; ``only`` keeps marked keys."""
+    """``key, node`` for every part that a text joins on; ``only`` keeps marked keys, with
+    their ``band``."""
 
     def run(batches):
         for b in batches:
             for p in flat.pieces(b.column(1)):
-                keys, nodes = [], []
+                keys, nodes, bands = [], [], []
                 for s in shingle_sets(p, rule.words):
                     node = node_of(s)
                     for k in rule.bands(len(s)):
@@ -189,13 +193,17 @@ def _keys(texts: DataFrame, rule: Similarity, only=None) -> DataFrame:
                             ks = ks[marked(only.value, ks)]
                         keys.append(ks)
                         nodes.append(np.full(len(ks), node))
+                        bands.append(np.full(len(ks), k, np.int32))
                 if keys:
-                    yield _batch({
+                    cols = {
                         "key": pa.array(np.concatenate(keys), pa.int64()),
                         "node": pa.array(np.concatenate(nodes), pa.int64()),
-                    })
+                    }
+                    if only is not None:
+                        cols["band"] = pa.array(np.concatenate(bands), pa.int32())
+                    yield _batch(cols)
 
-    return texts.mapInArrow(run, "key long, node long")
+    return texts.mapInArrow(run, "key long, node long" + (", band int" if only is not None else ""))
 
 
 def _sketches(texts: DataFrame, rule: Similarity) -> DataFrame:
@@ -292,81 +300,103 @@ def _across(mixed: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFram
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
             "key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"),
-            "mine", "node", "component", "keys",
+            "mine", "node", "band", "component", "keys",
         )
-        .join(sketches, "node")
+        .join(sketches, ["node", "band"])
     )
-    cells = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "band")
+    cells = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
     cells = cells.select(
         "key", "t1", "t2", "band", "mine", "node", "component", "keys", "n", "sketch"
     )
 
-    def compare(rows: pa.Table):
-        if len(rows) < 2:
-            return None
-        t1, t2 = rows.column("t1")[0].as_py(), rows.column("t2")[0].as_py()
-        mine, node, comp, n = (
-            rows.column(c).to_numpy() for c in ("mine", "node", "component", "n")
+    def compare(t: pa.Table):
+        """Near pairs inside the groups of equal key and tiles; the rows are sorted by them."""
+        t = t.combine_chunks()
+        key, t1, t2, mine, node, band, comp, n = (
+            t.column(c).to_numpy()
+            for c in ("key", "t1", "t2", "mine", "node", "band", "component", "n")
         )
-        s = np.array([np.frombuffer(x.as_py(), U) for x in rows.column("sketch")])
-        key, lists = rows.column("key")[0].as_py(), rows.column("keys")
-        held: dict[int, set | None] = {}
-
-        def keys(i: int) -> set | None:
-            if i not in held:
+        new = np.r_[True, (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])]
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        ends = np.r_[first[1:], len(key)][group]
+        apart = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+        count = np.where(apart[group], ends - np.arange(len(key)) - 1, 0)
+        sketches = t.column("sketch")
+        row, place, matrix = np.arange(len(key)), np.zeros(len(key), np.int64), {}
+        for k in np.unique(band[count > 0]):
+            own = row[(band == k) & apart[group]]
+            data = b"".join(x.as_py() for x in sketches.take(pa.array(own)))
+            matrix[k] = np.frombuffer(data, U).reshape(len(own), -1)
+            place[own] = np.arange(len(own))
+        lists, earlier = t.column("keys"), {}
+
+        def before(i: int) -> set | None:
+            """The row's keys below the one it is compared at; None if they are not listed."""
+            if i not in earlier:
                 own = lists[i].as_py()
-                held[i] = None if own is None else {k for k in own if k < key}
-            return held[i]
+                earlier[i] = None if own is None else {k for k in own if k < key[i]}
+            return earlier[i]
 
-        def first(i: int, j: int) -> bool:
-            a, b = keys(i), keys(j)
+        def reported(i: int, j: int) -> bool:
+            a, b = before(i), before(j)
             return a is None or b is None or a.isdisjoint(b)
 
-        out = []
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            ok = comp[j] != comp[i]
-            if t1 != t2:
-                ok &= mine[j] != mine[i]
-            j = j[ok]
-            if len(j):
-                j = j[_near(rule, n[i], s[i], n[j], s[j])]
-                j = np.array([x for x in j.tolist() if first(i, x)], np.int64)
-                out.append(np.c_[np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
-        return np.unique(np.concatenate(out), axis=0) if out else None
+        done = np.r_[0, np.cumsum(count)]
+        lo = 0
+        while lo < len(key):
+            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + PAIRS, side="right")) - 1)
+            i = np.repeat(row[lo:hi], count[lo:hi])
+            j = i + 1 + np.arange(len(i)) - np.repeat(done[lo:hi] - done[lo], count[lo:hi])
+            lo = hi
+            ok = (comp[i] != comp[j]) & ((t1[i] == t2[i]) | (mine[i] != mine[j]))
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            ok &= large * rule.num <= small * rule.den
+            i, j = i[ok], j[ok]
+            near = np.zeros(len(i), bool)
+            for k, s in matrix.items():
+                own = np.flatnonzero(band[i] == k)
+                step = max(1, WORDS // s.shape[1])
+                for at in range(0, len(own), step):
+                    x = own[at : at + step]
+                    far = np.bitwise_count(s[place[i[x]]] ^ s[place[j[x]]]).sum(axis=1, dtype=np.int64)
+                    near[x] = far <= (n[i[x]] + n[j[x]]) * (rule.den - rule.num) // (rule.den + rule.num)
+            pairs = [(x, y) for x, y in zip(i[near].tolist(), j[near].tolist()) if reported(x, y)]
+            if pairs:
+                x, y = np.array(pairs).T
+                yield _batch({
+                    "a": pa.array(np.minimum(node[x], node[y])),
+                    "b": pa.array(np.maximum(node[x], node[y])),
+                })
 
     def run(batches):
-        held: list[pa.Table] = []
+        held = None
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
-            k = np.c_[[t.column(c).to_numpy() for c in ("key", "t1", "t2", "band")]].T
-            cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            ends = [0, *cut.tolist(), len(t)]
-            for lo, hi in zip(ends, ends[1:]):
-                if lo == hi:
-                    continue
-                part = t.slice(lo, hi - lo)
-                if held and any(
-                    held[-1].column(c)[0].as_py() != part.column(c)[0].as_py()
-                    for c in ("key", "t1", "t2", "band")
-                ):
-                    if (r := compare(pa.concat_tables(held))) is not None and len(r):
-                        yield _batch({"a": pa.array(r[:, 0]), "b": pa.array(r[:, 1])})
-                    held = []
-                held.append(part)
-        if held and (r := compare(pa.concat_tables(held))) is not None and len(r):
-            yield _batch({"a": pa.array(r[:, 0]), "b": pa.array(r[:, 1])})
+            t = t if held is None else pa.concat_tables([held, t])
+            last = [t.column(c)[len(t) - 1].as_py() for c in ("key", "t1", "t2")]
+            ours = np.ones(len(t), bool)
+            for c, v in zip(("key", "t1", "t2"), last):
+                ours &= t.column(c).to_numpy() == v
+            cut = int(np.argmax(ours))  # the last group may go on in the next batch
+            if cut:
+                yield from compare(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None:
+            yield from compare(held)
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
 def _apart(held: DataFrame, comps: DataFrame) -> DataFrame:
-    """``key, node, component, keys`` of the keys whose nodes lie in several components.
+    """``key, node, band, component, keys`` of the keys whose nodes lie in several components.
 
     ``keys`` lists the node's keys of this kind, if there are at most ``LISTED``.
     """
-    rows = held.select("key", "node").join(comps, "node", "left")
-    rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"))
+    rows = held.select("key", "node", "band").join(comps, "node", "left")
+    rows = rows.select("key", "node", "band", F.coalesce("component", "node").alias("component"))
     split = (
         rows.groupBy("key")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -395,7 +425,7 @@ def similar_groups(
     smallest id that is not null, or null without one; other columns are not looked at;
     an empty table gives an empty result.
     """
-    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = lean(df).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     nodes = materialize(_nodes(texts, rule), "nodes")
     met = (
         _keys(texts, rule)

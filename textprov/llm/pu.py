@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textprov.functions.draws import uniform
 from textprov.llm import flat
+from textprov.llm.arrow import lean
 from textprov.llm.features import WIDTH, text_features
 
 SAMPLE = 20_000  # rows of either sample, about; the documented bound of the fit
@@ -137,7 +138,7 @@ def _features(df: DataFrame, text: str, flag: str) -> DataFrame:
                     names=["_draw", flag, "features"],
                 )
 
-    return df.select("_draw", flag, text).mapInArrow(
+    return lean(df).select("_draw", flag, text).mapInArrow(
         run, f"_draw double, {flag} boolean, features binary"
     )
 
@@ -212,7 +213,7 @@ def score_texts(
                     names=[*kept, name],
                 )
 
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return lean(df).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def held_out(id: Column, parts: int = 5) -> Column:

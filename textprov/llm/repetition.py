@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textprov.llm import flat
+from textprov.llm.arrow import lean
 
 #: The largest share of characters inside repeated windows of n words.
 LIMITS: Mapping[int, float] = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
@@ -108,7 +109,7 @@ def repetition(
                     [*rest, *[pa.array(m[c], pa.int64()) for c in names]], names=[*kept, *names]
                 )
 
-    return carried.mapInArrow(run, schema)
+    return lean(carried).mapInArrow(run, schema)
 
 
 def quality_rules(

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from textprov.llm import flat
+from textprov.llm.arrow import lean
 from textprov.llm.bitmaps import key_bitmap, marked
 from textprov.llm.flat import U
 from textprov.session import materialize
@@ -412,7 +413,7 @@ def repeated_passages(
     ids like others; other columns are not looked at; an empty table gives an empty result.
     """
     gram = min(gram, length)
-    texts = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    texts = lean(df).select(F.col(id).alias("id"), F.col(text).alias("text"))
     found = materialize(_pieces(texts, length, gram), "pieces")
     twice = (
         found.groupBy("anchor")
@@ -482,7 +483,7 @@ def remove_repeats(
     Every byte inside a string of ``length`` bytes that also starts elsewhere is removed,
     judged on the texts as they come in. ``kept_sha256`` is the digest of the bytes left.
     """
-    texts = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    texts = lean(df).select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def base(batches):
         for b in batches:
