@@ -143,7 +143,8 @@ FROM padded"""
 def _padded(spark, sf, side):
     rows = materialize(encoded(spark, sf), "encoded").drop("attention_mask")
     batches = B.assign_batches(rows.select("id"), BS, 42)
-    out = K.pad_batch(B.fetch_rows(batches, rows), SP.pad_id, side)
+    plan = materialize(K.plan_padding(batches, rows), "plan")
+    out = K.pad_batch(B.fetch_rows(plan, rows), SP.pad_id, side)
     return out.select(
         "batch_id", "slot", "id", "padded_length",
         _list("input_ids").alias("input_ids"), _list("attention_mask").alias("attention_mask"),

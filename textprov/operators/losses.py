@@ -91,11 +91,11 @@ def ranking_loss(
 def _similarity_sums(tau: float):
     """Per pair of tiles: each anchor's two sums over the texts of the other tile."""
 
-    def sums(key, table):
+    def sums(table):
         import numpy as np
         import pyarrow as pa
 
-        a, b = key[1].as_py(), key[2].as_py()
+        a, b = table["a"][0].as_py(), table["b"][0].as_py()
         tile = table["tile"].to_numpy()
         label = table["label"].to_numpy()
         flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -129,6 +129,34 @@ def _similarity_sums(tau: float):
     return sums
 
 
+def _each_group(keys: tuple[str, ...], fn):
+    """Call ``fn`` for every run of equal keys in sorted rows; a run may span batches."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            rows = rows.combine_chunks()
+            cut = np.zeros(len(rows), bool)
+            for k in keys:
+                c = rows.column(k).to_numpy()
+                cut[1:] |= c[1:] != c[:-1]
+            starts = [0, *np.flatnonzero(cut).tolist()]
+            for lo, hi in zip(starts, starts[1:]):
+                yield from fn(rows.slice(lo, hi - lo)).to_batches()
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield from fn(held).to_batches()
+
+    return run
+
+
 def supcon_loss(
     df: DataFrame,
     by: str = "batch_id",
@@ -141,7 +169,7 @@ def supcon_loss(
     """Supervised contrastive loss of each batch: ``by, n, loss``.
 
     Masking is by multiplication: entries that do not count, the anchor itself among
-    them, add exp(0) = 1 to the sum they are masked from. Every anchor needs all
+    them, add exp(0) = 1 to the sum they are masked from. Rows without a batch are left out. Every anchor needs all
     texts of its batch, so batches are cut into tiles by draw and each pair of tiles
     is one task-sized matrix product that returns sums, not pairs. A batch of usual
     size is a single tile.
@@ -151,7 +179,7 @@ def supcon_loss(
         F.col(id).alias("id"),
         F.col(label).cast("bigint").alias("label"),
         F.col(vec).alias("vec"),
-    )
+    ).where("batch is not null")
     tiles = F.ceil(F.count(F.lit(1)) / F.lit(float(tile_rows))).alias("tiles")
     sizes = rows.groupBy("batch").agg(tiles)
     part = F.floor(
@@ -167,7 +195,10 @@ def supcon_loss(
     out = copies.select(
         "batch", "id", F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg")
     ).schema
-    sums = copies.groupBy("batch", "a", "b").applyInArrow(_similarity_sums(float(tau)), out)
+    cell = ("batch", "a", "b")
+    # Sorted rows stream through a task, so many small batches share an Arrow batch.
+    cells = copies.repartition(*cell).sortWithinPartitions(*cell)
+    sums = cells.mapInArrow(_each_group(cell, _similarity_sums(float(tau))), out)
     anchors = sums.groupBy("batch", "id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return anchors.groupBy(F.col("batch").alias(by)).agg(
         F.count(F.lit(1)).alias("n"),

@@ -7,11 +7,13 @@ see ``prefix``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from textprov.operators.prefix import number_rows, running, step_cells
+from textprov.operators.prefix import running, step_cells
 from textprov.operators.skew import null_safe_join
 
+CELL_BITS = 16
+
 
 def running_mean(
     df: DataFrame, run: str = "run", step: str = "step", value: str = "metric", weight: str | None = None
@@ -40,21 +42,41 @@ def best_and_patience(
 
     A row is best if no earlier one beats it, ties included; patience counts the
     rows since the last best one. That row is the latest holder of the running
-    extreme, so one scan finds it.
+    extreme. Rows are scanned once inside cells of ``2**CELL_BITS`` steps, of which only the
+    row count and the leader go on to the other cells.
     """
     sign = 1 if mode == "max" else -1
-    cells = step_cells(F.col(step))
-    numbered = number_rows(df, [step], cells, by=[run], name="_at")
+    cell = [run, "_cell"]
+    inside = (
+        Window.partitionBy(*cell).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    # Inside a cell: the place of a row, and the latest holder of the extreme so far.
+    local = df.withColumn("_cell", F.shiftright(F.col(step).cast("bigint"), CELL_BITS)).withColumn(
+        "_at", F.row_number().over(inside).cast("bigint")
+    )
     leader = F.struct((F.col(metric) * sign).alias("value"), F.col("_at").alias("at"))
-    led = running(numbered, [step], cells, {"_lead": ("max", leader)}, by=[run])
-    since = F.col("_at") - F.col("_lead.at")
-    return led.withColumns(
-        {
-            "best": F.col("_lead.value") * sign,
-            "is_best": since == 0,
-            "patience": since,
-        }
-    ).drop("_at", "_lead")
+    local = local.withColumn("_lead", F.max(leader).over(inside))
+    # Over cells: how many rows came before, and the leader among them.
+    totals = local.groupBy(*cell).agg(F.max("_at").alias("_rows"), F.max("_lead").alias("_best"))
+    before = (
+        Window.partitionBy(run).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    moved = lambda lead: F.struct(
+        F.col(lead)["value"].alias("value"), (F.col(lead)["at"] + F.col("_before")).alias("at")
+    )
+    totals = totals.withColumn("_carry", F.max(moved("_best")).over(before))
+    judged = null_safe_join(local, totals.select(*cell, "_before", "_carry"), cell)
+    # ``greatest`` passes over a null carry, as the first cell has it.
+    lead = F.greatest("_carry", moved("_lead"))
+    judged = judged.withColumn("_lead", lead)
+    since = F.col("_at") + F.col("_before") - F.col("_lead")["at"]
+    return judged.select(
+        *df.columns,
+        (F.col("_lead")["value"] * sign).alias("best"),
+        (since == 0).alias("is_best"),
+        since.alias("patience"),
+    )
 
 
 def early_stop(judged: DataFrame, patience: int, run: str = "run", step: str = "step") -> DataFrame:

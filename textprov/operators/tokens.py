@@ -263,6 +263,21 @@ def pad_length(
     )
 
 
+def plan_padding(
+    plan: DataFrame,
+    rows: DataFrame,
+    multiple: int = T.PAD_MULTIPLE,
+    batch: str = "batch_id",
+    id: str = "id",
+) -> DataFrame:
+    """The plan with each batch's ``padded_length``; only ids and lengths move.
+
+    ``rows`` has ``id, input_length``. Lists fetched by this plan are shuffled once.
+    """
+    lengths = plan.join(rows.select(id, "input_length"), id)
+    return plan.join(pad_length(lengths, multiple, batch), batch)
+
+
 def pad_batch(
     df: DataFrame,
     pad_id: int,
@@ -274,12 +289,14 @@ def pad_batch(
 ) -> DataFrame:
     """Pad the lists of a batch to one length; labels are always padded on the left.
 
-    The longest list comes from a narrow aggregate, so the rows are shuffled once;
-    store the tokenized table first, with its ``input_length``, to keep it narrow.
+    A plan made by ``plan_padding`` brings the length along, and no row is moved here.
+    Otherwise the longest list comes from a narrow aggregate, so the rows are shuffled
+    once; store the tokenized table first, with its ``input_length``, to keep it narrow.
     """
-    n = F.col("input_length") if "input_length" in df.columns else F.size(ids)
-    lengths = pad_length(df.select(batch, n.alias("_n")), multiple, batch, "_n")
-    padded = df.join(lengths, batch).withColumns(
+    if "padded_length" not in df.columns:
+        n = F.col("input_length") if "input_length" in df.columns else F.size(ids)
+        df = df.join(pad_length(df.select(batch, n.alias("_n")), multiple, batch, "_n"), batch)
+    padded = df.withColumns(
         {
             "attention_mask": T.attention_mask(ids, "padded_length", side),
             ids: T.pad(ids, "padded_length", pad_id, side),

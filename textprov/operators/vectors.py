@@ -247,8 +247,8 @@ def knn_approx(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
-    planes: int = 4,
-    tables: int = 8,
+    planes: int = 3,
+    tables: int = 14,
     vec: str = "vec",
     id: str = "id",
     exclude_self: bool = True,
