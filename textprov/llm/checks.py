@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textprov.catalog.registry import sql_draw
+from textprov.llm.licenses import PHRASES, SHARE as LICENSE_SHARE, SLACK, TEMPLATES
 from textprov.llm.mixing import BLOCK, MOST, SEED, SHARD, SHARE, WEIGHTS
 from textprov.llm.repetition import LIMITS, LINE_LIMIT, SYMBOL_LIMIT
 
@@ -36,6 +37,49 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS
 FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.node = d.doc_id"""
 
 
+def licenses() -> str:
+    """Pairs of neighbouring words joined to the templates', counted by diagonal."""
+    rows = ", ".join(
+        f"({i}, '{label}', {str(i < len(PHRASES)).lower()}, string_split('{text}', ' '))"
+        for i, (text, label) in enumerate([*PHRASES.items(), *TEMPLATES.items()])
+    )
+    return rf"""WITH given(template, label, exact, w) AS (VALUES {rows}),
+grams AS (
+  SELECT template, label, exact, size, at_, w[at_ + 1] AS x, w[at_ + 2] AS y
+  FROM (SELECT *, len(w) - 1 AS size, unnest(range(len(w) - 1)) AS at_ FROM given)),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+toks AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM docs),
+pairs AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM toks),
+votes AS (
+  SELECT doc_id, template, label, exact, size, i - at_ AS diagonal, list(DISTINCT at_) AS held,
+         min(i) AS start, max(i) AS last
+  FROM pairs JOIN grams ON t = x AND u = y GROUP BY ALL),
+steps AS (
+  SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS step FROM votes),
+marked AS (
+  SELECT *, sum((exact OR step IS NULL OR step > {SLACK})::INTEGER)
+              OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM steps),
+merged AS (
+  SELECT doc_id, template, label, exact, size, part, min(start) AS start,
+         CASE WHEN max(last) - min(start) < 2 * max(size) THEN len(list_distinct(flatten(list(held))))
+              ELSE max(len(held)) END AS n
+  FROM marked GROUP BY ALL),
+found AS (
+  SELECT *, n / size::DOUBLE AS score FROM merged
+  WHERE n = size OR (NOT exact AND n / size::DOUBLE >= {LICENSE_SHARE}::DOUBLE)),
+named AS (
+  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word,
+         max(start) FILTER (exact) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM found GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM docs d LEFT JOIN named n ON n.doc_id = d.doc_id"""
+
+
 ARCHIVE = """WITH each AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
          sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages),
