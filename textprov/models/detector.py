@@ -6,9 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, NGram, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 
@@ -44,17 +44,26 @@ def classifier(reg: float = 1e-3, max_iter: int = 50) -> LogisticRegression:
     )
 
 
-def prepare(features: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
-    """Stored ``features`` and kept columns; fits read them many times, texts once."""
-    return materialize(features.transform(df).select("features", *keep), "features")
+def hashed(df: DataFrame, n_features: int, *keep: str) -> DataFrame:
+    """Stored hashed counts and kept columns: texts are split once, fits read the counts."""
+    counts = PipelineModel(stages=feature_stages(n_features)[:-1])
+    return materialize(counts.transform(df).select("_tf", *keep), "counts")
+
+
+def weighted(counts: DataFrame, n_features: int) -> tuple[PipelineModel, IDFModel]:
+    """The feature pipeline whose weights come from stored counts, and its last stage."""
+    *head, idf = feature_stages(n_features)
+    fitted = idf.fit(counts)
+    return PipelineModel(stages=[*head, fitted]), fitted
 
 
 def fit_detector(
     train: DataFrame, n_features: int = N_FEATURES, reg: float = 1e-3, max_iter: int = 50
 ) -> PipelineModel:
     """Fit on ``text, generated``. The driver holds one weight per feature, no rows."""
-    features = Pipeline(stages=feature_stages(n_features)).fit(train.select("text"))
-    ready = prepare(features, train, "generated")
+    counts = hashed(train, n_features, "generated")
+    features, idf = weighted(counts, n_features)
+    ready = idf.transform(counts).select("features", "generated")
     return PipelineModel(stages=[features, classifier(reg, max_iter).fit(ready)])
 
 
@@ -103,12 +112,13 @@ def fit_best(
 ) -> Search:
     """Fit the grid in order until the holdout AUC has not improved ``patience`` times.
 
-    Features are made once and stored. The log has a row per fit with ``best, is_best,
+    Counts are made once and stored. The log has a row per fit with ``best, is_best,
     patience``; the model is the latest best one.
     """
     spark = train.sparkSession
-    features = Pipeline(stages=feature_stages(n_features)).fit(train.select("text"))
-    ready, held = (prepare(features, d, "generated") for d in (train, valid))
+    counts, other = (hashed(d, n_features, "generated") for d in (train, valid))
+    features, idf = weighted(counts, n_features)
+    ready, held = (idf.transform(d).select("features", "generated") for d in (counts, other))
     model, last, rows = early_stopped(
         lambda params: classifier(**params).fit(ready),
         lambda fitted: roc_auc(score(fitted, held), "predictions", "generated").first()["auc"],
