@@ -273,6 +273,71 @@ def test_chunks_of_a_passage_do_not_depend_on_what_is_before_it():
     assert sum(x.count(b"\n") + 1 for x in common) > 30
 
 
+def without_runs(rows, least):
+    """Text left and lines removed of every row, from all runs of lines of all texts."""
+    cut = [(r[1] or "").encode().split(b"\n") for r in rows]
+    place = [
+        (r[0] is not None, r[0] or 0, flat.row_key(r[0], (r[1] or "").encode())) for r in rows
+    ]
+    first = {}
+    for own, at in zip(cut, place):
+        for i in range(len(own)):
+            for j in range(i + 2, len(own) + 1):
+                run = b"\n".join(own[i:j])
+                if len(run) >= least:
+                    first[run] = min(first.get(run, (*at, i)), (*at, i))
+    out = []
+    for r, own, at in zip(rows, cut, place):
+        gone = set()
+        for i in range(len(own)):
+            for j in range(i + 2, len(own) + 1):
+                run = b"\n".join(own[i:j])
+                if len(run) >= least and first[run] != (*at, i):
+                    gone.update(range(i, j))
+        text = b"\n".join(x for i, x in enumerate(own) if i not in gone).decode()
+        out.append((r[0], None if r[1] is None else text, len(gone)))
+    return Counter(out)
+
+
+def test_every_repeated_run_of_lines_goes(spark, docs, rows, none):
+    got = chunks.remove_repeated_runs(docs).collect()
+    assert Counter((x["doc_id"], x["text"], x["n_removed_lines"]) for x in got) == without_runs(
+        rows, chunks.LEAST
+    )
+    r = random.Random(12)
+    few = [sentence(r, 1 + i % 4) for i in range(30)] + ["", "", "a", "b"]
+    odd = [(i, "\n".join(r.choice(few) for _ in range(r.randrange(1, 14)))) for i in range(60)]
+    odd += [(60 + m, f"{sentence(r, 6)}\n{sentence(r, 7)}\nfirst line of a passage\nand its second line\n"
+             f"{sentence(r, 6)}") for m in range(5)]
+    odd += [(80, "x\n" * 90), (81, "\n" * 100), (82, "y" * 50 + ("\n" + "y" * 50) * 4), odd[3], (None, odd[4][1])]
+    df = spark.createDataFrame(odd, "doc_id long, text string").repartition(4)
+    for least in (1, chunks.LEAST, 90):
+        out = chunks.remove_repeated_runs(df, least=least).collect()
+        assert Counter((x["doc_id"], x["text"], x["n_removed_lines"]) for x in out) == without_runs(odd, least)
+        lines = lambda texts: {x for t in texts for x in t.split("\n")}
+        assert lines(t for _, t in odd) - {""} == lines(x["text"] for x in out) - {""}
+    assert chunks.remove_repeated_runs(none).count() == 0
+
+
+def test_queries_remove_two_shared_lines(spark, tmp_path):
+    from textprov.llm.queries import op7_line_chunks
+
+    r = random.Random(13)
+    shared = [sentence(r, 8) + "\n" + sentence(r, 9) for _ in range(20)]
+    own = lambda: "\n".join(sentence(r, 7) for _ in range(3))
+    texts = [f"{own()}\n{s}\n{own()}" for s in shared * 2]
+    df = spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: 0 if i < 20 else 2 for i in range(40)}
+    got = op7_line_chunks(spark, str(tmp_path)).collect()
+    assert {x["doc_id"]: x["n_removed_lines"] for x in got} == want
+    cut = corpus_pipeline.lines(spark, df, str(tmp_path)).collect()
+    assert {x["doc_id"]: 7 - x["text"].count("\n") for x in cut} == want
+
+
 def targets(rows, weights=(5, 2, 1), share=1.5, most=2):
     size = defaultdict(int)
     for r in rows:

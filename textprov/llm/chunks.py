@@ -1,14 +1,20 @@
-"""Repeated runs of lines, cut where their content says so.
+"""Repeated runs of lines.
 
-Every line is hashed; where the hash rolled over two lines falls on one of ``MEAN``
-values, a chunk may end. Borders depend on nearby lines alone, so a passage that stands in
-two texts is cut alike in both, whatever lines come before it. A chunk has two lines or
-more; texts of a single line have none.
+``remove_repeated_runs`` finds every run. A run has two lines and ``LEAST`` bytes or more.
+From every line the shortest run that starts there is taken, and to every line the shortest
+that ends there: two windows a line at most, and any longer run is a union of them. So a
+line goes if it lies in any run that stands at an earlier place too (least id, then place),
+wherever the run begins and whatever is around it. The first place of a line is never
+after that of a run it lies in, so every line still stands somewhere.
 
-A chunk that occurs more than once in the corpus stays where it occurs first (least id,
-then place) and is removed elsewhere. Digests find candidates: a pre-aggregated count
-of narrow rows. Then the bytes decide: the chunks whose digests repeat are grouped by
-their bytes, and only what is equal byte by byte is removed.
+Digests find candidates: a pre-aggregated count of narrow rows. Then the bytes decide: the
+windows whose digests repeat are grouped by their bytes, and only what is equal byte by
+byte is removed.
+
+``remove_repeated_chunks`` compares less: only chunks that do not overlap, cut where their
+content says so. Every line is hashed; where the hash rolled over two lines falls on one of
+``MEAN`` values, a chunk may end. Borders depend on nearby lines alone. A chunk has two
+lines or more; passages of few lines that hold no whole chunk are missed.
 
 Texts travel only if they may lose something; a bitmap of fixed size lets the others
 pass in place.
@@ -16,20 +22,22 @@ pass in place.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textprov.llm import flat
-from textprov.llm.arrow import lean
+from textprov.llm.arrow import BATCH_BYTES, lean
 from textprov.llm.bitmaps import key_bitmap, marked
 from textprov.llm.flat import U
 from textprov.session import materialize
 
 MEAN = 2  # one line in so many may end a chunk
 ROWS = 512  # rows whose texts are taken out of a batch at once
-LEAST = 40  # bytes below which a chunk is left alone
+LEAST = 40  # bytes below which a chunk or run is left alone
 
 
 def chunk_spans(p: flat.Piece, mean: int = MEAN):
@@ -57,6 +65,96 @@ def chunk_spans(p: flat.Piece, mean: int = MEAN):
     return starts, ends, owner, np.r_[first, n]
 
 
+def window_spans(p: flat.Piece, least: int = LEAST):
+    """Line starts, line ends, their texts, and first and last line of each window.
+
+    Windows are the shortest runs of two lines and ``least`` bytes or more that start, or
+    end, at each line; in the order of their lines, each once.
+    """
+    starts, ends, owner = flat.lines(p)
+    n = len(starts)
+    line = np.arange(n)
+    to = np.maximum(np.searchsorted(ends, starts + least, "left"), line + 1)
+    back = np.minimum(np.searchsorted(starts, ends - least, "right"), line) - 1
+    on, off = to < n, back >= 0
+    on[on] = owner[to[on]] == owner[on]
+    off[off] = owner[back[off]] == owner[off]
+    both = np.r_[line[on] * n + to[on], back[off] * n + line[off]]
+    first, last = np.divmod(np.unique(both), max(n, 1))
+    return starts, ends, owner, first, last
+
+
+def _windows(texts: DataFrame, least: int, kind: str, only=None) -> DataFrame:
+    """``digest`` of each window; with ``only`` of the marked, with ``check``, ``doc, number``.
+
+    ``kind`` "digests" gives no more, "places" the rest, "bytes" also ``id`` and ``bytes``.
+    """
+    schema = "digest long"
+    if kind != "digests":
+        schema += ", check long, doc long, number long"
+    if kind == "bytes":
+        schema += f", id {texts.schema['id'].dataType.simpleString()}, bytes binary"
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for p in flat.pieces(b.column(1)):
+                starts, ends, owner, first, last = window_spans(p, least)
+                own, lo, hi = owner[first], starts[first], ends[last]
+                view = memoryview(p.data)
+                digest = np.array(
+                    [xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(lo, hi)], U
+                ).view(np.int64)
+                if kind == "digests":
+                    yield pa.RecordBatch.from_arrays([pa.array(digest)], names=["digest"])
+                    continue
+                every = np.flatnonzero(marked(only.value, digest))
+                number = np.arange(len(own)) - np.searchsorted(own, own)
+                docs = {i: flat.row_key(ids[p.first + i], p.text(i)) for i in set(own[every].tolist())}
+                # Windows overlap, so their bytes may be many times the text's.
+                size = np.cumsum((hi - lo)[every]) // BATCH_BYTES
+                for at in np.split(every, np.flatnonzero(size[1:] != size[:-1]) + 1):
+                    span = list(zip(lo[at], hi[at]))
+                    check = [xxhash.xxh3_64_intdigest(view[s:e], 1) for s, e in span]
+                    cols = {
+                        "digest": pa.array(digest[at]),
+                        "check": pa.array(np.array(check, U).view(np.int64)),
+                        "doc": pa.array([docs[i] for i in own[at].tolist()], pa.int64()),
+                        "number": pa.array(number[at]),
+                    }
+                    if kind == "bytes":
+                        cols["id"] = b.column(0).take(pa.array(p.first + own[at]))
+                        cols["bytes"] = pa.array([view[s:e].tobytes() for s, e in span], pa.binary())
+                    yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return texts.mapInArrow(run, schema)
+
+
+def repeated_windows(
+    df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST
+) -> DataFrame:
+    """``doc, numbers``: which windows of a row stand earlier too; ``doc`` is ``flat.row_key``."""
+    texts = lean(df).select(F.col(id).alias("id"), F.col(text).alias("text"))
+    twice = (
+        _windows(texts, least, "digests").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("digest")
+    )
+    bitmap = key_bitmap(materialize(twice, "digests"), "digest")
+    same = _windows(texts, least, "bytes", bitmap).groupBy("digest", "check", "bytes").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "doc", "number")).alias("keep")
+    )
+    # One group of bytes for both digests, or else the window is left alone.
+    alone = same.groupBy("digest", "check").agg(
+        F.count(F.lit(1)).alias("groups"), F.max("n").alias("n"), F.first("keep").alias("keep")
+    ).where("groups = 1 and n > 1").select(
+        "digest", "check", F.col("keep.doc").alias("_doc"), F.col("keep.number").alias("_number")
+    )
+    alone = materialize(alone, "windows")
+    met = _windows(texts, least, "places", key_bitmap(alone, "digest"))
+    gone = met.join(alone, ["digest", "check"]).where("doc <> _doc or number <> _number")
+    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+
+
 def _chunks(texts: DataFrame, mean: int, least: int, only=None) -> DataFrame:
     """``digest, check, id, doc, number`` of each chunk; with ``only`` the marked, with bytes."""
     kind = texts.schema["id"].dataType.simpleString()
@@ -121,25 +219,21 @@ def repeated_chunks(
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
-def remove_repeated_chunks(
-    df: DataFrame,
-    id: str = "doc_id",
-    text: str = "text",
-    mean: int = MEAN,
-    least: int = LEAST,
-) -> DataFrame:
-    """All rows and columns, repeated chunks cut out of ``text``; adds counts of lines.
+def _chunk_lines(p: flat.Piece, mean: int):
+    starts, ends, _, first = chunk_spans(p, mean)
+    return starts, ends, first[:-1], first[1:] - 1
 
-    ``n_lines`` counts the lines of the text that came in, ``n_removed_lines`` those
-    removed. The lines left are joined again by line feeds.
 
-    Defined results: a null text stays null and has no lines; an empty one has one; rows
-    equal in id and text are the same place, so a chunk that occurs first there stays in
-    all of them; a null id comes before all others; columns keep their names and values,
-    but for those named like a result, which hold the result; an empty table gives an
-    empty result.
+def _window_lines(p: flat.Piece, least: int):
+    starts, ends, _, first, last = window_spans(p, least)
+    return starts, ends, first, last
+
+
+def _cut_out(df: DataFrame, gone: DataFrame, id: str, text: str, spans) -> DataFrame:
+    """All rows and columns of ``df`` without the spans of lines that ``gone`` numbers.
+
+    ``spans`` gives line starts, line ends, first and last line of each span of a text.
     """
-    gone = materialize(repeated_chunks(df, id, text, mean, least), "gone")
     bitmap = key_bitmap(gone, "doc")
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed_lines")]
     at, who = kept.index(text), kept.index(id)
@@ -182,10 +276,8 @@ def remove_repeated_chunks(
                 if not drop:
                     continue
                 p = next(flat.pieces(pa.array([texts[i]], pa.string())))
-                starts, ends, _, first = chunk_spans(p, mean)
-                out = np.zeros(len(starts), bool)
-                for c in drop:
-                    out[first[c] : first[c + 1]] = True
+                starts, ends, first, last = spans(p)
+                out = flat.covered(first[drop], last[drop] + 1, len(starts))
                 data = p.data.tobytes()
                 texts[i] = b"\n".join(
                     data[s:e] for s, e in zip(starts[~out], ends[~out])
@@ -202,3 +294,37 @@ def remove_repeated_chunks(
     return both.select(
         *[F.col(p).alias(c) for p, c in zip(plain, kept)], "n_lines", "n_removed_lines"
     )
+
+
+def remove_repeated_chunks(
+    df: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    mean: int = MEAN,
+    least: int = LEAST,
+) -> DataFrame:
+    """All rows and columns, repeated chunks cut out of ``text``; adds counts of lines.
+
+    ``n_lines`` counts the lines of the text that came in, ``n_removed_lines`` those
+    removed. The lines left are joined again by line feeds.
+
+    Defined results: a null text stays null and has no lines; an empty one has one; rows
+    equal in id and text are the same place, so a chunk that occurs first there stays in
+    all of them; a null id comes before all others; columns keep their names and values,
+    but for those named like a result, which hold the result; an empty table gives an
+    empty result.
+    """
+    gone = materialize(repeated_chunks(df, id, text, mean, least), "gone")
+    return _cut_out(df, gone, id, text, partial(_chunk_lines, mean=mean))
+
+
+def remove_repeated_runs(
+    df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST
+) -> DataFrame:
+    """All rows and columns, every repeated run of lines cut out of ``text``; adds counts of lines.
+
+    Columns and defined results are those of ``remove_repeated_chunks``. A run that repeats
+    inside one text, also with an overlap, stays at its first place there.
+    """
+    gone = materialize(repeated_windows(df, id, text, least), "gone")
+    return _cut_out(df, gone, id, text, partial(_window_lines, least=least))

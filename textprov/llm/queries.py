@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textprov.llm.archive import archive_keys, build_index, lookup, read_records, write_archive
 from textprov.llm.chat import format_turns, read_back
 from textprov.llm import checks
-from textprov.llm.chunks import remove_repeated_chunks
+from textprov.llm.chunks import remove_repeated_runs
 from textprov.llm.leaks import find_leaks
 from textprov.llm.licenses import scan_licenses
 from textprov.llm.mixing import mix
@@ -75,7 +75,7 @@ def op6_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_line_chunks")
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_chunks(docs).select(
+    return remove_repeated_runs(docs).select(
         "doc_id", "n_lines", "n_removed_lines",
         F.length("text").cast("long").alias("kept_chars"),
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
