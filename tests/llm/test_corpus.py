@@ -448,6 +448,26 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
 
 
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_duplicates_are_dropped_by_row_not_by_id(spark, tmp_path):
+    r = random.Random(14)
+    text = [sentence(r, 60) for _ in range(4)]
+    rows = [
+        (1, text[0]), (2, text[0] + " more"), (2, text[1]),  # one row of id 2 is clean
+        (3, text[2]), (3, text[2] + " more"), (3, text[2]), (4, text[2]),  # the least id twice
+        (5, text[3]), (6, None), (6, ""), (7, ""),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCUMENT).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
+    assert got.columns == corpus_pipeline.COLUMNS
+    got = Counter((x["doc_id"], x["text"]) for x in got.collect())
+    third = [x for x in got if x[0] == 3]
+    assert len(third) == 1 and third[0] in rows
+    assert got == Counter([(1, text[0]), (2, text[1]), (5, text[3]), (6, None), (6, ""), (7, ""), *third])
+
+
 def test_archive(spark, tmp_path):
     from textprov.llm import archive
 

@@ -72,10 +72,11 @@ def split(df: DataFrame, column: str, bitmap: Broadcast) -> tuple[DataFrame, Dat
     return side(False), side(True)
 
 
-def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is not in ``keys.column``; nulls stay.
+def without(df: DataFrame, keys: DataFrame, column: str, *also: str) -> DataFrame:
+    """Rows whose ``column``, with ``also`` if given, is not in ``keys``; nulls stay.
 
     Only rows that the bitmap marks are moved to meet the keys.
     """
     clear, maybe = split(df, column, key_bitmap(keys, column))
-    return clear.unionByName(maybe.join(keys.select(column).distinct(), column, "left_anti"))
+    by = [column, *also]
+    return clear.unionByName(maybe.join(keys.select(*by).distinct(), by, "left_anti"))

@@ -26,7 +26,7 @@ band, and a text that could pair with a smaller one from the band below joins th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,8 +161,8 @@ def _batch(cols: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def _nodes(texts: DataFrame, rule: Similarity) -> DataFrame:
-    """``id, n_shingles, node`` of every text."""
+def _nodes(texts: DataFrame, rule: Similarity, carry: Sequence[str] = ()) -> DataFrame:
+    """``id, n_shingles, node`` of every text, and its ``carry``."""
 
     def run(batches):
         for b in batches:
@@ -172,9 +172,11 @@ def _nodes(texts: DataFrame, rule: Similarity) -> DataFrame:
                     "id": b.column(0).slice(p.first, p.n),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                    **{c: b.column(c).slice(p.first, p.n) for c in carry},
                 })
 
-    return texts.mapInArrow(run, "id long, n_shingles long, node long")
+    longs = "".join(f", `{c}` long" for c in carry)
+    return texts.mapInArrow(run, "id long, n_shingles long, node long" + longs)
 
 
 def _keys(texts: DataFrame, rule: Similarity, only=None) -> DataFrame:
@@ -411,11 +413,16 @@ def _apart(held: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def similar_groups(
-    df: DataFrame, id: str = "doc_id", text: str = "text", rule: Similarity = Similarity()
+    df: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    rule: Similarity = Similarity(),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``id, n_shingles, component_id, n_links`` for every row.
+    """``id, n_shingles, component_id, n_links, component`` for every row, and its ``carry``.
 
-    ``component_id`` is the smallest id reachable by links, the row's own included;
+    ``component`` is the same number for all rows of a group, null for an empty text;
+    ``carry`` names long columns that tell rows of one id apart. ``component_id`` is the smallest id reachable by links, the row's own included;
     ``n_links`` counts the verified links of the row's set that the search needed. Two
     texts link when their sets are equal or reach the similarity.
 
@@ -426,7 +433,10 @@ def similar_groups(
     an empty table gives an empty result.
     """
     texts = lean(df).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    nodes = materialize(_nodes(texts, rule), "nodes")
+    named = texts if not carry else lean(df).select(
+        F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *carry
+    )
+    nodes = materialize(_nodes(named, rule, carry), "nodes")
     met = (
         _keys(texts, rule)
         .groupBy("key")
@@ -494,7 +504,7 @@ def similar_groups(
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = placed.join(named, "component").select("node", "component_id", "n_links")
+    found = placed.join(named, "component").select("node", "component_id", "n_links", "component")
     return nodes.join(found, "node", "left").select(
         F.col("id").alias(id),
         "n_shingles",
@@ -502,4 +512,6 @@ def similar_groups(
             "component_id"
         ),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "component",
+        *carry,
     )
