@@ -468,6 +468,35 @@ def test_duplicates_are_dropped_by_row_not_by_id(spark, tmp_path):
     assert got == Counter([(1, text[0]), (2, text[1]), (5, text[3]), (6, None), (6, ""), (7, ""), *third])
 
 
+def test_copies_without_an_id(spark, tmp_path):
+    r = random.Random(15)
+    text = [sentence(r, 60) for _ in range(4)]
+    rows = [
+        (1, text[0]), (None, text[0]), (None, text[0] + " more"), (None, text[1]), (None, text[1]),
+        (None, text[1] + " more"), (None, text[2]), (None, text[2]), (None, None), (None, None), (None, ""),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCUMENT).repartition(3)
+    got = Counter((x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    second = [x for x in got if (x[1] or "").startswith(text[1])]
+    assert len(second) == 1 and second[0] in rows
+    assert got == Counter([(1, text[0]), (None, text[2]), (None, None), (None, ""), *second])
+
+
+def test_repeated_rows_meet_one_row_of_the_mix(spark):
+    r = random.Random(16)
+    text = [sentence(r, 40) for _ in range(3)]
+    rows = [(None, text[0], "a")] * 6 + [(1, text[1], "a")] * 4 + [(1, text[1], "b"), (2, text[2], "b")]
+    df = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], DOCUMENT).repartition(3)
+    got = corpus_pipeline.mixing(spark, df, "")
+    assert got.columns == [*corpus_pipeline.COLUMNS, "size", "source_size", "target", "taken"]
+    got = got.collect()
+    want = mix(df).where("taken > 0").collect()
+    total = lambda rows: Counter(
+        (x["doc_id"], x["source"], x["source_size"], x["size"], x["taken"]) for x in rows
+    )
+    assert total(got) == total(want) and len(got) <= len(rows)
+
+
 def test_archive(spark, tmp_path):
     from textprov.llm import archive
 

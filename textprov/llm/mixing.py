@@ -125,12 +125,14 @@ def mix(
     block: int = BLOCK,
     shard_texts: int = SHARD,
     seed: int = SEED,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``id, key, size, source, source_size, target, taken`` of every row.
+    """``id, key, size, source, source_size, target, taken`` of every row, and its ``carry``.
 
     ``size`` counts the words of a text, ``target`` is what its source should give, and
     ``taken`` how many words the mix takes of this text, repeats counted. ``key`` is a
-    digest of the text, to join the texts back. Draws are digests of ids: reruns agree.
+    digest of the text, to join the texts back; where rows may repeat, ``carry`` names
+    columns that tell them apart. Draws are digests of ids: reruns agree.
 
     Defined results: a null or empty text has size 0 and gives 0; a null source is a
     source, the last by name; null ids are ids like others; rows that repeat are rows of
@@ -138,7 +140,7 @@ def mix(
     """
     sizes = df.select(
         F.col(id).alias("id"), F.col(source).alias("source"),
-        size_of(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"),
+        size_of(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), *carry,
     )
     sizes = materialize(sizes, "sizes")
     targets = materialize(source_targets(sizes, "source", "size", weights, share, most), "targets")
@@ -186,4 +188,5 @@ def mix(
             + inside(F.col("from"), F.col("to"))
             + inside(F.lit(0), F.col("around"))
         ).cast("long").alias("taken"),
+        *carry,
     )
