@@ -81,6 +81,22 @@ def test_licenses(docs, rows, none):
     assert scan_licenses(none).count() == 0
 
 
+def test_licence_query_returns_every_row(spark, docs, rows, tmp_path, monkeypatch):
+    from textprov.llm import licenses
+    from textprov.llm.queries import op3_license_scan
+
+    monkeypatch.setattr(licenses, "REPEATS", 3)
+    more = [(70, "cc by cc by", None, None, None)] * 7 + [(None, None, None, None, None)] * 4
+    every = docs.select("doc_id", "text").unionByName(
+        spark.createDataFrame([r[:2] for r in more], "doc_id long, text string")
+    )
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_license_scan(spark, str(tmp_path)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"
+    ).collect()
+    assert by_row(got) == Counter((r[0], *licence(r[1])) for r in [*rows, *more])
+
+
 def test_licence_with_a_word_put_in(spark):
     text = "x y licensed under really the apache license version 2 0 z"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -27,6 +27,7 @@ from textprov.session import materialize
 K = 2  # words of a window
 SLACK = 3  # diagonals that may lie between two that are merged
 SHARE = 0.6  # of a template's windows that a span must hold
+REPEATS = 1 << 16  # equal rows listed at once
 
 # Phrases that count wherever their words stand one after the other.
 PHRASES: Mapping[str, str] = {
@@ -86,8 +87,8 @@ def templates(
 def hits(df: DataFrame, id: str, text: str, grams: DataFrame) -> DataFrame:
     """``id, key, n_words, template, at, size, label, exact, place`` of every window that stands in a template.
 
-    Each text also keeps one row, with null ``template`` if nothing else, so that no text
-    is lost. ``key`` tells texts of one id apart.
+    Each text also has one row of null ``place``, so that no text is lost and equal rows
+    can be counted. ``key`` tells texts of one id apart.
     """
     own = df.select(
         F.col(id).alias("id"),
@@ -101,9 +102,11 @@ def hits(df: DataFrame, id: str, text: str, grams: DataFrame) -> DataFrame:
             lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1)),
         ),
     )
-    every = own.select("id", "key", "w", F.posexplode_outer(windows).alias("place", "gram"))
+    windows = F.concat(F.array(F.lit(None).cast("long")), F.coalesce(windows, F.array().cast("array<bigint>")))
+    every = own.select("id", "key", "w", F.posexplode(windows).alias("place", "gram"))
+    every = every.withColumn("place", F.when(F.col("place") > 0, F.col("place") - 1))
     met = every.join(F.broadcast(grams), "gram", "left").where(
-        F.col("template").isNotNull() | (F.coalesce("place", F.lit(0)) == 0)
+        F.col("template").isNotNull() | F.col("place").isNull()
     )
     # The words themselves decide, not their hash.
     same = (F.element_at("w", F.col("place") + 1) == F.col("first")) & (
@@ -163,6 +166,7 @@ def scan_licenses(
     text: str = "text",
     phrases: Mapping[str, str] = PHRASES,
     statements: Mapping[str, str] = TEMPLATES,
+    each_row: bool = False,
 ) -> DataFrame:
     """``id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every text.
 
@@ -172,7 +176,7 @@ def scan_licenses(
     Phrases and statements need at least two words.
 
     Defined results: a null or empty text has no words, no labels, null places and score
-    0; rows equal in id and text are one document; null ids are kept; other columns are
+    0; rows equal in id and text are one document, or with ``each_row`` one each; null ids are kept; other columns are
     not looked at; an empty table gives an empty result.
     """
     grams = templates(df.sparkSession, phrases, statements)
@@ -190,9 +194,17 @@ def scan_licenses(
         )
         .withColumnsRenamed({"id": "_id", "key": "_key"})
     )
-    rows = found.groupBy("id", "key").agg(F.first("n_words").alias("n_words"))
+    rows = found.groupBy("id", "key").agg(
+        F.first("n_words").alias("n_words"), F.count(F.when(F.col("place").isNull(), 1)).alias("rows")
+    )
     same = (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
-    return rows.join(verified, same, "left").select(
+    out = rows.join(verified, same, "left")
+    if each_row:  # in two steps, so that no list is longer than REPEATS
+        start = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"), F.lit(REPEATS).cast("long")))
+        out = out.withColumn("from", start)
+        upto = F.least(F.col("rows"), F.col("from") + (REPEATS - 1))
+        out = out.withColumn("row", F.explode(F.sequence("from", upto)))
+    return out.select(
         F.col("id").alias(id),
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),

@@ -41,7 +41,8 @@ def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_license_scan", checks.licenses())
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs, each_row=True)
 
 
 @query("op4_warc_index", checks.ARCHIVE)
