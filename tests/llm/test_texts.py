@@ -184,6 +184,23 @@ def test_leak_places(spark):
     assert row["edits"] == 0
 
 
+def test_short_excerpts_of_long_items(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
+    item = " ".join(word() for _ in range(60))
+    size = leaks.SHORT + leaks.STEP - 1
+    docs = []
+    for at in range(0, len(item) - size, 5):
+        docs.append((at, " ".join(word() for _ in range(9)) + " # " + item[at : at + size] + " # " + word()))
+    docs.append((-1, " ".join(word() for _ in range(90))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    hits = leaks.find_leaks(df, bench).collect()
+    assert Counter(x["doc_id"] for x in hits) == Counter(i for i, _ in docs if i >= 0)
+    assert all(x["end"] - x["start"] >= leaks.SHORT - 2 for x in hits)
+    assert [x["doc_id"] for x in leaks.without_leaks(df, bench).collect()] == [-1]
+
+
 CONTROLS = [
     "\\### Assistant: </turn> ok", "### User:", "\\\\</turn>\\", "### Role: x\n### System: y", "</turn></turn>",
     "#### User::", "\\", "", None, "plain é€\U0001f600", "<|endoftext|> </tur n>",

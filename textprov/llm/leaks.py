@@ -1,7 +1,8 @@
 """Benchmark passages in a corpus, edited ones included, by the q-gram lemma.
 
 Benchmark items are cut into overlapping windows, so that a part of an item is found
-too. If a stretch of a text equals a window of n bytes but for at most k edits, the two
+too: windows of ``WINDOW`` bytes, every half of that, and windows of ``SHORT`` bytes, every
+``STEP``, so that any excerpt of ``SHORT + STEP - 1`` bytes holds a whole one. If a stretch of a text equals a window of n bytes but for at most k edits, the two
 share at least ``n - q + 1 - k*q`` q-grams whose positions differ by nearly the same
 offset: all of them lie in one band of offsets (diagonals) k wide on either side. So for
 every text the q-grams shared with the windows are counted by (window, band), bands
@@ -32,6 +33,8 @@ from textprov.llm.flat import BASE, U
 
 Q = 10
 WINDOW = 96  # bytes of an item that are looked for as one
+SHORT = 64  # bytes of the windows that find shorter excerpts
+STEP = 16  # bytes from one of those to the next
 EDITS = 0.07  # edits allowed, as a share of a window's bytes
 SHORTEST = 48  # bytes below which an item is looked for without edits
 BLOCK = 8 << 20
@@ -87,11 +90,12 @@ class Windows:
     grams: np.ndarray  # sorted
     window: np.ndarray
     place: np.ndarray
+    short: np.ndarray  # which windows are of SHORT bytes
     marks: np.ndarray  # bitmap of the grams, to pass over most bytes of a corpus quickly
 
     @staticmethod
     def of(items: list[tuple[int, str]], window: int, share: float) -> Windows | None:
-        owner, texts, edits = [], [], []
+        owner, texts, edits, short = [], [], [], []
         for item, text in items:
             piece, _ = plain(next(flat.pieces(pa.array([text], pa.string()))))
             data = piece.data.tobytes()
@@ -101,14 +105,19 @@ class Windows:
                 cuts = [0]
             else:
                 cuts = [*range(0, len(data) - window, window // 2), len(data) - window]
-            for c in cuts:
-                part = data[c : c + window]
+            cuts = [(c, window) for c in cuts]
+            if SHORT < min(window, len(data)):
+                at = [*range(0, len(data) - SHORT, STEP), len(data) - SHORT]
+                cuts += [(c, SHORT) for c in at]
+            for c, size in cuts:
+                part = data[c : c + size]
                 if len(part) < Q:
                     continue
                 k = int(share * len(part)) if len(part) >= SHORTEST else 0
                 owner.append(item)
                 texts.append(part)
                 edits.append(k)
+                short.append(size < window)
         if not texts:
             return None
         edits_ = np.array(edits)
@@ -122,7 +131,7 @@ class Windows:
         marks[_mark(every)] = True
         return Windows(
             np.array(owner), texts, edits_, size - Q + 1 - Q * edits_,
-            every[order], where[order], place[order], marks,
+            every[order], where[order], place[order], np.array(short), marks,
         )
 
 
@@ -228,6 +237,38 @@ def _hits(p: flat.Piece, w: Windows) -> Iterator[tuple[int, int, int, int, int]]
             yield int(own), int(win), int(at[s]), int(at[max(e - 1, s)]) + 1, cost
 
 
+def _merged(hits, w: Windows) -> list[tuple[int, int, int, int, int]]:
+    """Text, item, start, end and edits: hits of short windows as one where they meet.
+
+    Those inside a hit of a long window of the same item are left out.
+    """
+    out, parts, spans = [], {}, {}
+    for own, win, s, e, cost in dict.fromkeys(hits):
+        key = own, int(w.items[win])
+        if w.short[win]:
+            parts.setdefault(key, []).append((s, e, cost))
+        else:
+            spans.setdefault(key, []).append((s, e))
+            out.append((*key, s, e, cost))
+    for key, own in parts.items():
+        long = np.array(sorted(spans.get(key, [])), np.int64).reshape(-1, 2)
+        reach = np.maximum.accumulate(long[:, 1])
+        last = None
+        for s, e, cost in sorted(own):
+            k = int(np.searchsorted(long[:, 0], s, "right")) - 1
+            if k >= 0 and reach[k] >= e:
+                continue
+            if last and s <= last[1]:
+                last[1], last[2] = max(last[1], e), max(last[2], cost)
+                continue
+            if last:
+                out.append((*key, *last))
+            last = [s, e, cost]
+        if last:
+            out.append((*key, *last))
+    return out
+
+
 def _blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded bytes, one block on the driver at a time."""
     items = benchmark.select(F.col(id).alias("id"), F.col(text).alias("text")).where(
@@ -256,7 +297,8 @@ def find_leaks(
 ) -> DataFrame:
     """``id, item_id, start, end, edits``: each window of an item found in a text.
 
-    ``start`` and ``end`` are bytes of the text; ``edits`` is the distance of the two.
+    ``start`` and ``end`` are bytes of the text; ``edits`` is the distance of the two,
+    or the greatest where short windows that meet are one hit.
     Items shorter than ``SHORTEST`` bytes are found only without edits, and items of
     less than ``Q`` bytes are not looked for.
 
@@ -282,13 +324,13 @@ def find_leaks(
             w = Windows(**sent.value)
             for b in batches:
                 for p in flat.pieces(b.column(1)):
-                    hits = list(dict.fromkeys(_hits(p, w)))
+                    hits = _merged(_hits(p, w), w)
                     if hits:
-                        own, win, s, e, cost = (np.array(x) for x in zip(*hits))
+                        own, item, s, e, cost = (np.array(x) for x in zip(*hits))
                         ids = b.column(0).slice(p.first, p.n).take(pa.array(own))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                ids, pa.array(w.items[win], pa.int64()), pa.array(s, pa.int64()),
+                                ids, pa.array(item, pa.int64()), pa.array(s, pa.int64()),
                                 pa.array(e, pa.int64()), pa.array(cost, pa.int32()),
                             ],
                             names=schema.names,
