@@ -245,6 +245,22 @@ def test_chat(spark):
     assert chat.read_back(chat.format_turns(df.where("false"))).count() == 0
 
 
+def test_conversations_come_in_bounded_chunks(spark):
+    rows = [(c, t if t else None, ["user", "assistant"][t % 2], f"said {c} {t}") for c in (1, None) for t in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    turns = chat.format_turns(df)
+    longest = max(len(r["ids"]) for r in turns.collect())
+    whole = {r["conv_id"]: r for r in chat.conversations(turns).collect()}
+    got = sorted(chat.conversations(turns, limit=30).collect(), key=lambda r: r["chunk"])
+    assert len(got) > 10 and max(len(r["ids"]) for r in got) < 30 + longest
+    for c, one in whole.items():
+        own = [r for r in got if r["conv_id"] == c]
+        for k in ("ids", "loss", "formatted"):
+            joined = "".join(r[k] for r in own) if k == "formatted" else [x for r in own for x in r[k]]
+            assert joined == one[k]
+        assert one["formatted"].count("said") == 40
+
+
 def test_vocabulary_must_not_reach_reserved_ids():
     data = base64.b64encode(b"a") + b" %d" % chat.FIRST_ID
     with pytest.raises(ValueError):

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textprov.llm.arrow import lean
+from textprov.operators.prefix import running, step_cells
+from textprov.session import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -43,6 +45,7 @@ CONTROL = re.compile(r"### (?:System|User|Assistant|Role):|</turn>")
 ESCAPED = re.compile(r"\\(### (?:System|User|Assistant|Role):|</turn>)")
 
 TURN = "conv_id long, turn long, ids array<int>, loss array<tinyint>, formatted string"
+CHUNK = 1 << 16  # ids that a chunk of a conversation starts turns in
 
 
 def escape(text: str) -> str:
@@ -143,17 +146,24 @@ def format_turns(
     return rows.mapInArrow(run, TURN)
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """``conv_id, ids, loss, formatted``: a conversation as one training example.
+def conversations(turns: DataFrame, limit: int = CHUNK) -> DataFrame:
+    """``conv_id, chunk, ids, loss, formatted``: a conversation as one training example.
 
-    A conversation is one row here, so it has to fit a task; ``read_back`` does not ask
-    for that.
+    It comes in chunks, whole but bounded: a chunk starts turns in ``limit`` ids at most, and
+    the last of them may end beyond. Numbers of chunks rise along the conversation; a turn
+    of more than ``limit`` ids leaves some out.
     """
-    tie = F.xxhash64("formatted").alias("tie")
-    each = F.sort_array(F.collect_list(F.struct("turn", tie, "formatted", "ids", "loss")))
-    whole = turns.groupBy("conv_id").agg(each.alias("turns"))
+    rows = materialize(turns.withColumn("tie", F.xxhash64("formatted")), "turns")
+    size = F.size("ids").cast("long")
+    placed = running(
+        rows, ["turn", "tie"], step_cells(F.col("turn")), {"_before": ("sum", size)}, by=["conv_id"],
+        inclusive=False,
+    )
+    each = F.sort_array(F.collect_list(F.struct("turn", "tie", "formatted", "ids", "loss")))
+    chunk = F.floor(F.col("_before") / F.lit(limit)).cast("long")
+    whole = placed.groupBy("conv_id", chunk.alias("chunk")).agg(each.alias("turns"))
     return whole.select(
-        "conv_id",
+        "conv_id", "chunk",
         F.flatten("turns.ids").alias("ids"), F.flatten("turns.loss").alias("loss"),
         F.array_join("turns.formatted", "").alias("formatted"),
     )
