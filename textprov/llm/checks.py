@@ -5,6 +5,7 @@ from __future__ import annotations
 from textprov.catalog.registry import sql_draw
 from textprov.llm.licenses import PHRASES, SHARE as LICENSE_SHARE, SLACK, TEMPLATES
 from textprov.llm.mixing import BLOCK, MOST, SEED, SHARD, SHARE, WEIGHTS
+from textprov.llm.prints import FACTORS, K, ORDER, PLACES, SHORT, UNIT, W
 from textprov.llm.repetition import LIMITS, LINE_LIMIT, SYMBOL_LIMIT
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -239,3 +240,65 @@ SELECT doc_id, source, size, source_size, target,
         + greatest(least(before + size, least((first + rest) * {BLOCK}, shard_size)) - greatest(before, first * {BLOCK}), 0)
         + greatest(least(before + size, greatest(first + rest - blocks, 0) * {BLOCK}) - before, 0))::BIGINT AS taken
 FROM cut"""
+
+
+#: CRC-32 by its table, which follows from the polynomial. ``{table}`` is a CTE, ``{crc}`` the value
+#: of a text ``t`` beside it.
+CRC_TABLE = """(SELECT list(v ORDER BY b) AS tab FROM (SELECT b,
+    list_reduce(list_concat([b], range(8)), lambda c, z: CASE WHEN c & 1 = 1
+      THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS b)))"""
+
+
+def crc(t: str) -> str:
+    """SQL for the CRC-32 of the text ``t``, beside a column ``tab``."""
+    octets = f"list_transform(range(length(hex({t})) // 2), lambda i: ('0x' || hex({t})[2 * i + 1:2 * i + 2])::BIGINT)"
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {octets}),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"""
+
+
+def fingerprints() -> str:
+    """Every gram and every window listed, the least of each window by a sort."""
+    gram = f"(({FACTORS[2]} * ({FACTORS[1]} * a + b)) + ({FACTORS[1]} * c + d))"
+    return rf"""WITH crcs AS {CRC_TABLE},
+base AS (SELECT row_number() OVER (ORDER BY doc_id DESC) AS r, doc_id, coalesce(text, '') AS text FROM documents),
+ends AS (SELECT count(*) AS n FROM base),
+pairs AS (
+  SELECT x.r, x.doc_id, x.text, length(x.text)::BIGINT AS n_chars,
+         left(x.text, length(x.text) - length(x.text) // 3) || left(y.text, length(x.text) // 3) AS edited
+  FROM base x, ends JOIN base y ON y.r = x.r % n + 1),
+texts AS (SELECT r, 0 AS side, text AS t FROM pairs UNION ALL SELECT r, 1, edited FROM pairs),
+units AS (
+  SELECT r, side, unnest(u) AS u, unnest(range(len(u))) AS i
+  FROM (SELECT r, side, regexp_extract_all(t, '{UNIT}') AS u FROM texts)),
+codes AS (SELECT u, {crc("u")} + 1 AS code FROM (SELECT DISTINCT u FROM units), crcs),
+rows_ AS (SELECT r, side, i, code FROM units JOIN codes USING (u)),
+grams AS (
+  SELECT r, side, i, {gram} AS h, count(*) OVER (PARTITION BY r, side) - {K - 1} AS m
+  FROM (SELECT r, side, i, code AS a, lead(code) OVER o AS b, lead(code, 2) OVER o AS c, lead(code, 3) OVER o AS d
+        FROM rows_ WINDOW o AS (PARTITION BY r, side ORDER BY i))),
+few AS (
+  SELECT r, side, 0 AS i, list_reduce(list_concat([0::BIGINT], list(code ORDER BY i)),
+         lambda h, c: (h * {FACTORS[1]} + c) & {SHORT}) AS h, 1 AS m
+  FROM rows_ GROUP BY r, side HAVING count(*) < {K}),
+all_ AS (SELECT * FROM grams WHERE h IS NOT NULL UNION ALL SELECT * FROM few),
+least_ AS (
+  SELECT r, side, i, m,
+         min((h & {ORDER}) * 2147483648 + ({PLACES} - i)) OVER (PARTITION BY r, side ORDER BY i
+           ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS v FROM all_),
+chosen AS (
+  SELECT DISTINCT r, side, {PLACES} - v % 2147483648 AS place FROM least_ WHERE i = 0 OR i <= m - {W}),
+prints AS (
+  SELECT r, side, list(hex(h) || '@' || place ORDER BY place) AS p, list(DISTINCT h) AS s
+  FROM chosen JOIN (SELECT r, side, i AS place, h FROM all_) USING (r, side, place) GROUP BY r, side),
+full_ AS (
+  SELECT t.r, t.side, coalesce(array_to_string(p, ' '), '') AS p, coalesce(s, []) AS s
+  FROM texts t LEFT JOIN prints q ON q.r = t.r AND q.side = t.side),
+like_ AS (
+  SELECT a.r, a.p, b.p AS q, len(list_intersect(a.s, b.s)) AS e, len(a.s) + len(b.s) AS eu,
+         len(list_intersect(a.s, c.s)) AS f, len(a.s) + len(c.s) AS fu
+  FROM full_ a JOIN full_ b ON a.r = b.r AND a.side = 0 AND b.side = 1, ends
+  JOIN full_ c ON c.side = 0 AND c.r = a.r % n + 1)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, p AS fingerprint, q AS edited_fingerprint,
+       CASE WHEN eu = 0 THEN 1.0::DOUBLE ELSE e / (eu - e) END AS near_edited,
+       CASE WHEN fu = 0 THEN 1.0::DOUBLE ELSE f / (fu - f) END AS near_next
+FROM like_ JOIN pairs USING (r)"""

@@ -12,6 +12,7 @@ from textprov.llm.leaks import find_leaks
 from textprov.llm.licenses import scan_licenses
 from textprov.llm.mixing import mix
 from textprov.llm.parity import Similarity, similar_groups
+from textprov.llm.prints import edited_prints, print_text
 from textprov.llm.pu import fit_pu, held_out, score_texts, trusted
 from textprov.llm.registry import ORACLES, QUERIES, query, table
 from textprov.llm.repetition import quality_rules
@@ -106,3 +107,16 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query("op13_winnow_prints", checks.fingerprints())
+def op13_winnow_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of the same texts with another end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edited_prints(docs).select(
+        "doc_id", "n_chars",
+        F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+        print_text(F.col("chosen")).alias("fingerprint"),
+        print_text(F.col("edited_chosen")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
