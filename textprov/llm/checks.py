@@ -302,3 +302,38 @@ SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, p AS fingerprint, q AS
        CASE WHEN eu = 0 THEN 1.0::DOUBLE ELSE e / (eu - e) END AS near_edited,
        CASE WHEN fu = 0 THEN 1.0::DOUBLE ELSE f / (fu - f) END AS near_next
 FROM like_ JOIN pairs USING (r)"""
+
+
+def trie() -> str:
+    """Every prefix of every conversation listed and grouped; subtrees by joining all ancestors."""
+    return f"""WITH crcs AS {CRC_TABLE},
+given AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                            md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id::VARCHAR AS name, {crc("name")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS name FROM given), crcs),
+turns AS (
+  SELECT c.conv_id, g.pos, 0 AS part, g.role, g.text
+  FROM convs c JOIN given g ON g.conv_id = c.conv_id - c.conv_id % 100 AND g.pos <= h
+  UNION ALL
+  SELECT c.conv_id, g.pos, 1, g.role, g.text FROM convs c JOIN given g ON g.conv_id = c.conv_id AND g.pos > h),
+lists AS (
+  SELECT conv_id, list({{'r': role, 't': text}} ORDER BY part, pos) AS w FROM turns GROUP BY 1
+  UNION ALL SELECT conv_id, [] FROM convs WHERE conv_id NOT IN (SELECT conv_id FROM turns)),
+prefixes AS (SELECT conv_id, len(w) AS n, d, w[1:d] AS p FROM (SELECT *, unnest(range(len(w) + 1)) AS d FROM lists)),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv, count(*) AS n,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE length(p[d].t) END AS chars
+  FROM prefixes GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT n.*, coalesce(k, 0) AS k FROM nodes n LEFT JOIN kids USING (d, p)),
+sums AS (
+  SELECT u AS d, p[1:u] AS p, sum((n - 1) * chars) AS saved, count(*) FILTER (k = 0) AS leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS u FROM full_) GROUP BY ALL)
+SELECT f.conv AS conv_id, f.d AS depth, up.conv AS parent_conv_id, f.n AS n_convs, f.k AS n_children,
+       s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_ f JOIN sums s USING (d, p) LEFT JOIN nodes up ON up.d = f.d - 1 AND up.p = f.p[1:f.d - 1]"""

@@ -17,6 +17,7 @@ from textprov.llm.pu import fit_pu, held_out, score_texts, trusted
 from textprov.llm.registry import ORACLES, QUERIES, query, table
 from textprov.llm.repetition import quality_rules
 from textprov.llm.suffixes import remove_repeats
+from textprov.llm.trie import rebuilt_trie
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -120,3 +121,9 @@ def op13_winnow_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
         print_text(F.col("edited_chosen")).alias("edited_fingerprint"),
         "near_edited", "near_next",
     )
+
+
+@query("op12_truncation_peel", checks.trie())
+def op12_truncation_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt to share their first turns."""
+    return rebuilt_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
