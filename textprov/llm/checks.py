@@ -337,3 +337,23 @@ sums AS (
 SELECT f.conv AS conv_id, f.d AS depth, up.conv AS parent_conv_id, f.n AS n_convs, f.k AS n_children,
        s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
 FROM full_ f JOIN sums s USING (d, p) LEFT JOIN nodes up ON up.d = f.d - 1 AND up.p = f.p[1:f.d - 1]"""
+
+
+#: All postings of all terms, joined to the items' terms.
+SEARCH = rf"""WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT row_number() OVER () AS r, doc_id, w AS list_, len(w) AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM sized),
+posts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(list_) AS term FROM sized) GROUP BY ALL),
+items AS (SELECT item_id, row_number() OVER () AS i, unnest(list_distinct(regexp_extract_all(
+         translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+dfs AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w
+        FROM posts, totals WHERE term IN (SELECT term FROM items) GROUP BY term, nn),
+scores AS (
+  SELECT item_id, i, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score
+  FROM items JOIN dfs USING (term) JOIN posts USING (term) JOIN sized USING (r), totals
+  GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+  FROM scores JOIN sized USING (r) WHERE score > 0) WHERE rank <= 10"""

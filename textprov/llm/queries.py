@@ -16,6 +16,7 @@ from textprov.llm.prints import edited_prints, print_text
 from textprov.llm.pu import fit_pu, held_out, score_texts, trusted
 from textprov.llm.registry import ORACLES, QUERIES, query, table
 from textprov.llm.repetition import quality_rules
+from textprov.llm.search import search_items
 from textprov.llm.suffixes import remove_repeats
 from textprov.llm.trie import rebuilt_trie
 
@@ -127,3 +128,10 @@ def op13_winnow_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_truncation_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, rebuilt to share their first turns."""
     return rebuilt_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query("op11_fp_tree_search", checks.SEARCH)
+def op11_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each item of the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search_items(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
