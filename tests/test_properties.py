@@ -1,13 +1,15 @@
 """Properties over larger or lopsided tables, against brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textprov.functions.tokens import words
 from textprov.operators import (
-    batches as B, groups as G, losses as L, metrics as M, pairs as P, prefix as R, sampling as S,
-    series, tokens as K, vectors as X,
+    batches as B, groups as G, losses as L, metrics as M, neighbours as N, pairs as P, prefix as R,
+    sampling as S, series, tokens as K, vectors as X,
 )
 from textprov.operators.skew import salted_join
 from textprov.session import materialize
@@ -110,13 +112,33 @@ def test_id_lists_are_whole_and_bounded(hot):
     assert sorted(i for r in rows for i in r["ids"]) == list(range(3000))
 
 
-def test_pairs_use_each_text_once(hot):
-    rows = P.human_ai_pairs(hot, 1).collect()
-    assert len({r["ai_id"] for r in rows}) == len(rows) == len({r["human_id"] for r in rows})
-    sizes = hot.groupBy("prompt_id").agg(
-        F.least(F.sum("generated"), F.sum(1 - F.col("generated"))).alias("n")
-    )
-    assert len(rows) == sizes.agg(F.sum("n")).first()[0]
+def test_pairs_use_every_text_evenly(hot, monkeypatch):
+    """The larger class once each, the smaller one's uses differ by one at most."""
+    def uses():
+        rows = P.human_ai_pairs(hot, 1).collect()
+        return Counter(r["human_id"] for r in rows), Counter(r["ai_id"] for r in rows), sorted(map(tuple, rows))
+
+    human, ai, rows = uses()
+    of = {r["id"]: (r["prompt_id"], r["generated"]) for r in hot.collect()}
+    sizes = Counter(of.values())
+    both = {p for p, _ in sizes if sizes[p, 0] and sizes[p, 1]}
+    assert len(rows) == sum(max(sizes[p, 0], sizes[p, 1]) for p in both)
+    for used, label in ((human, 0), (ai, 1)):
+        assert set(used) == {i for i, (p, y) in of.items() if y == label and p in both}
+        for p in both:
+            most, n = max(sizes[p, 0], sizes[p, 1]), sizes[p, label]
+            assert {used[i] for i in used if of[i][0] == p} <= {most // n, -(-most // n)}
+    monkeypatch.setattr(P, "RING_ROWS", 1)  # every round of the ring is a block of its own
+    assert uses()[2] == rows
+
+
+def test_one_human_text_is_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "RING_ROWS", 50)
+    df = spark.range(2001).select("id", F.lit(1).alias("prompt_id"), (F.col("id") > 0).cast("int").alias("generated"))
+    pairs = P.human_ai_pairs(df, 1)
+    assert pairs.select("human_id").distinct().count() == 1 and pairs.count() == 2000
+    keys = pairs.select(F.floor(F.col("rank") / 50).alias("b")).groupBy("b").count().collect()
+    assert len(keys) == 40 and max(k["count"] for k in keys) == 50
 
 
 def test_auc_of_negated_scores(hot):
@@ -164,23 +186,54 @@ def test_knn_broadcast_and_tiles(spark, limit, text_ids):
     assert {(name(r["query_id"]), r["rank"]): name(r["id"]) for r in got} == expected
 
 
-def test_knn_approx(spark):
+def _vectors(spark, v):
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<float>")
+
+
+def test_all_cells_are_exact(spark):
     v = _unit(300, 8, 3)
-    v[100:200] = v[0]  # a third of the texts are copies, all in one bucket
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<float>")
+    v[100:200] = v[0]  # a third of the texts are copies, all in one cell
+    df = _vectors(spark, v)
     exact = X.knn(df, df, 4)
-    # One bucket: everything is compared, in tiles.
-    everything = X.knn_approx(df, df, 4, planes=0, tables=1, tile_rows=64)
+    index = N.fit_index(df, n_cells=7, probes=7)
+    everything = N.knn_approx(df, df, 4, index, tile_rows=64)
     assert X.knn_recall(everything, exact).first()["recall"] == 1.0
-    some = X.knn_approx(df, df, 4, planes=2, tables=4, tile_rows=64)
-    row = X.knn_recall(some, exact).first()
-    assert row["n"] == 1200 and 0.6 < row["recall"] <= 1.0
+    assert sorted(map(tuple, everything.collect())) == sorted(map(tuple, exact.collect()))
+    some = N.knn_approx(df, df, 4, index._replace(probes=2), tile_rows=16)
     v = v.astype("float32").astype("float64")
     for r in some.collect():
         assert r["query_id"] != r["id"]
         assert r["sim"] == pytest.approx(v[r["query_id"]] @ v[r["id"]], abs=1e-8)
 
 
+def test_cells_do_less_work_as_vectors_grow(spark):
+    """Vectors in groups: few cells are enough, and a smaller share of more vectors."""
+    shares = []
+    for n in (1000, 4000):
+        r = np.random.default_rng(4)
+        v = r.normal(size=(n // 20, 16))[r.integers(0, n // 20, n)] + 0.15 * r.normal(size=(n, 16))
+        df = _vectors(spark, v / np.linalg.norm(v, axis=1, keepdims=True))
+        index = N.fit_index(df, 5)
+        found = N.knn_approx(df, df, 5, index)
+        assert X.knn_recall(found, X.knn(df, df, 5)).first()["recall"] >= 0.95
+        shares.append(N.knn_work(df, df, index).first()["share"])
+    assert shares[1] < shares[0] < 0.25 and shares[1] < 0.1
+
+
+def test_cells_are_the_same_on_any_partitioning(spark):
+    df = _vectors(spark, _unit(400, 8, 6))
+    one, many = N.fit_index(df.coalesce(1)), N.fit_index(df.repartition(9))
+    assert (one.centroids == many.centroids).all() and one.probes == many.probes
+
+
+def test_neighbours_of_nothing(spark):
+    df = _vectors(spark, _unit(20, 4, 1))
+    empty = df.where("false")
+    assert N.knn_approx(df, empty, 3).count() == 0
+    assert N.knn_approx(empty, df, 3).count() == 0
+    assert N.knn_work(empty, empty, N.fit_index(empty)).first()["products"] == 0
+
+
 def test_supcon_tiles_agree(spark):
     v = _unit(90, 6, 5)
     df = spark.createDataFrame(

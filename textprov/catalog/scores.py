@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from textprov.catalog.batches import SQL_PAIRS, sql_batches
 from textprov.catalog.inputs import SQL_SCORED, scored, table
-from textprov.catalog.registry import query, sql_position, sql_uniform
+from textprov.catalog.registry import query, sql_draw, sql_position, sql_uniform
 from textprov.functions import vectors as V
-from textprov.operators import batches as B, losses as L, metrics as M, pairs as P, vectors as X
+from textprov.operators import (
+    batches as B, losses as L, metrics as M, neighbours as N, pairs as P, vectors as X,
+)
+from textprov.operators.neighbours import PER_CELL, QUERIES, ROUNDS, SCALE
 from textprov.plans.detect import fold_auc
 
 
@@ -103,16 +106,90 @@ def knn_topk(spark, sf):
     return X.knn(v, v, 5).withColumn("sim", F.round("sim", 6))
 
 
-@query("knn_approx")
+def _sql_cells(rounds: int) -> str:
+    """k-means in whole numbers: each round's cells follow from the one before."""
+    nearest = lambda points, cells: (
+        f"""(SELECT id, q, arg_min(cell, (-list_dot_product(q, c), cell)) AS cell
+        FROM {points} CROSS JOIN {cells} GROUP BY id, q)"""
+    )
+    steps = "".join(
+        f"""
+own{i} AS {nearest("sample", f"cells{i - 1}")},
+sums{i} AS (
+  SELECT cell, list(s ORDER BY d) AS s FROM (
+    SELECT cell, d, sum(x) AS s FROM (
+      SELECT cell, unnest(q) AS x, unnest(range(len(q))) AS d FROM own{i}) GROUP BY cell, d) GROUP BY cell),
+cells{i} AS (
+  SELECT o.cell, CASE WHEN s IS NULL THEN o.c
+                      ELSE list_transform(s, lambda x: floor({SCALE} * x / sqrt(list_dot_product(s, s)) + 0.5)) END AS c
+  FROM cells{i - 1} o LEFT JOIN sums{i} USING (cell)),"""
+        for i in range(1, rounds + 1)
+    )
+    drawn = lambda seed: sql_draw(seed, "id")
+    return f"""points AS (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS v,
+         list_transform(embedding::DOUBLE[], lambda x: floor(x * {SCALE} + 0.5)) AS q FROM embeddings),
+sizes AS (SELECT n, ceil(sqrt(n)) AS m FROM (SELECT count(*) AS n FROM points)),
+sample AS (
+  SELECT id, q, {drawn("0:cells")} AS draw FROM points, sizes
+  WHERE {PER_CELL} * m >= n OR {drawn("0:cells")} < floor(4503599627370496.0::DOUBLE * {PER_CELL} * m / n)),
+cells0 AS (
+  SELECT cell, c FROM (SELECT q AS c, row_number() OVER (ORDER BY draw, id) - 1 AS cell FROM sample), sizes
+  WHERE cell < m),{steps}
+placed AS (
+  SELECT id, v, cell, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(q, c) DESC, cell) AS place
+  FROM points CROSS JOIN cells{rounds}),
+sims AS (
+  SELECT a.id AS query_id, b.id, round(list_dot_product(a.v, b.v), 9) AS sim
+  FROM points a JOIN points b ON a.id <> b.id),
+exact AS (
+  SELECT query_id, id FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM sims) WHERE rank <= 5),
+needed AS (
+  SELECT p.place, row_number() OVER (ORDER BY p.place) AS i, count(*) OVER () AS n
+  FROM exact e JOIN placed b ON b.id = e.id AND b.place = 1
+  JOIN placed p ON p.id = e.query_id AND p.cell = b.cell, sizes
+  WHERE sizes.n <= {QUERIES} OR {sql_draw("0:ask", "e.query_id")} < floor(4503599627370496.0::DOUBLE * {QUERIES} / sizes.n)),
+probes AS (SELECT place AS p FROM needed WHERE i = ceil(0.95::DOUBLE * n)),
+met AS (
+  SELECT a.id AS query_id, b.id AS id FROM placed a JOIN placed b ON a.cell = b.cell AND b.place = 1, probes
+  WHERE a.place <= p),
+approx AS (
+  SELECT * FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY sim DESC, s.id)::INTEGER AS rank
+    FROM sims s JOIN met USING (query_id, id)) WHERE rank <= 5)"""
+
+
+@query(
+    "knn_approx",
+    f"WITH {_sql_cells(ROUNDS)} SELECT query_id, id, round(sim, 6) AS sim, rank FROM approx",
+)
 def knn_approx(spark, sf):
     v = _vectors(spark, sf)
-    return X.knn_approx(v, v, 5)
+    return N.knn_approx(v, v, 5).withColumn("sim", F.round("sim", 6))
 
 
-@query("knn_recall")
+@query(
+    "knn_recall",
+    f"""WITH {_sql_cells(ROUNDS)}
+SELECT count(*) AS n, avg(CASE WHEN a.id IS NULL THEN 0 ELSE 1 END)::DOUBLE AS recall
+FROM exact e LEFT JOIN approx a USING (query_id, id)""",
+)
 def knn_recall(spark, sf):
     v = _vectors(spark, sf)
-    return X.knn_recall(X.knn_approx(v, v, 5), X.knn(v, v, 5))
+    return X.knn_recall(N.knn_approx(v, v, 5), X.knn(v, v, 5))
+
+
+@query(
+    "knn_work",
+    f"""WITH {_sql_cells(ROUNDS)}
+SELECT m::INTEGER AS cells, p::INTEGER AS probes, (SELECT count(*) FROM met) AS products,
+       (SELECT count(*) FROM met) / (n * n)::DOUBLE AS share FROM sizes, probes""",
+)
+def knn_work(spark, sf):
+    """Products that ``knn_approx`` compares, of all pairs."""
+    v = _vectors(spark, sf)
+    return N.knn_work(v, v, N.fit_index(v, 5))
 
 
 @query("sigmoid", f"WITH {SQL_SCORED} SELECT id, logit, round(p, 9) AS p FROM probs")

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from textprov.operators.prefix import shuffled_positions
 from textprov.session import materialize
 
+RING_ROWS = 4096  # least pairs of a prompt that are joined together
+
 
 def attach_truth(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     """``id, predictions, truths``, matched by id and never by row order."""
@@ -20,7 +22,9 @@ def human_ai_pairs(df: DataFrame, seed, id: str = "id") -> DataFrame:
 
     Columns ``prompt_id, rank, human_id, ai_id``. Every text of a prompt that has both
     classes is in a pair: the larger class once each, the smaller one going round as
-    often as it takes. A prompt of one class has no pairs.
+    often as it takes. A prompt of one class has no pairs. A prompt with very many texts of
+    one class and few of the other is joined in blocks of ``RING_ROWS`` pairs for each of
+    these few, so it is spread over the tasks.
     """
     rows = df.where(F.col("prompt_id").isNotNull()).select(id, "prompt_id", "generated")
 
@@ -35,14 +39,20 @@ def human_ai_pairs(df: DataFrame, seed, id: str = "id") -> DataFrame:
     human = materialize(ranked(0, "human_id").join(sizes, "prompt_id"), "ranks")
     ai = materialize(ranked(1, "ai_id").join(sizes, "prompt_id"), "ranks")
 
-    def matched(larger: DataFrame, smaller: DataFrame, n: str) -> DataFrame:
-        asked = larger.withColumn("_turn", F.col("rank") % F.col(n))
-        other = smaller.withColumnRenamed("rank", "_turn").drop("n0", "n1")
-        return asked.join(other, ["prompt_id", "_turn"]).select(
+    def matched(larger: DataFrame, smaller: DataFrame, n: str, of: str) -> DataFrame:
+        # The ring of the smaller class goes once to each block of the larger one. A block
+        # is as long as the ring at least, so the copies are no more than the pairs.
+        block = F.greatest(F.col(n), F.lit(RING_ROWS))
+        asked = larger.withColumns({"_turn": F.col("rank") % F.col(n), "_block": F.floor(F.col("rank") / block)})
+        blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(of) - 1) / block))
+        ring = smaller.withColumnRenamed("rank", "_turn").withColumn("_block", F.explode(blocks)).drop("n0", "n1")
+        return asked.join(ring, ["prompt_id", "_block", "_turn"]).select(
             "prompt_id", "rank", "human_id", "ai_id"
         )
 
-    return matched(human.where("n0 >= n1"), ai, "n1").union(matched(ai.where("n1 > n0"), human, "n0"))
+    return matched(human.where("n0 >= n1"), ai.where("n0 >= n1"), "n1", "n0").union(
+        matched(ai.where("n1 > n0"), human.where("n1 > n0"), "n0", "n1")
+    )
 
 
 def preference_ids(scored: DataFrame, score: str = "score", id: str = "id") -> DataFrame:

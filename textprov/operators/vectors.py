@@ -147,7 +147,7 @@ def knn(
     corpus is read in place, without a shuffle. If not, both sides are cut into
     tiles and each pair of tiles is one matrix product. Either way a task returns
     ``k`` rows per query, never the pairs. The tiles of a large query side are all pairs
-    of both sides: for a whole corpus against itself take ``knn_approx``.
+    of both sides: for a whole corpus against itself take ``neighbours.knn_approx``.
 
     Rows without a vector, or with an empty one, take no part; vectors of another
     length than the rest are an error.
@@ -155,7 +155,7 @@ def knn(
     q, c = _vectors_of(queries, id, vec), _vectors_of(corpus, id, vec)
     out = q.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim")).schema
     n, dim, id_bytes = _extent(q)
-    if n and _extent(c)[1] not in (0, dim):
+    if n and corpus is not queries and _extent(c)[1] not in (0, dim):
         raise ValueError("queries and corpus have vectors of different lengths")
     if n * (dim * 8 + id_bytes) <= broadcast_bytes:
         found = _knn_broadcast(q, c, k, exclude_self, digits, out)
@@ -221,81 +221,6 @@ def _knn_tiles(q, c, k, exclude_self, digits, out, q_rows, c_rows, n_queries):
     return _match(left, right, ["qt", "ct"], k, exclude_self, digits, out)
 
 
-def _signs(directions, tables: int):
-    """Per Arrow batch: one bucket per table, the signs of the table's directions."""
-    _, matrix, _, _ = _top_k(1, False, 9)
-
-    def sign(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            side = matrix(batch.column("vec")) @ directions > 0
-            bits = side.reshape(batch.num_rows, tables, -1)
-            bucket = (bits * (1 << np.arange(bits.shape[2]))).sum(axis=2)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(bucket.astype("int32").tolist(), pa.list_(pa.int32()))],
-                names=[*batch.schema.names, "buckets"],
-            )
-
-    return sign
-
-
-def knn_approx(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    planes: int = 3,
-    tables: int = 14,
-    vec: str = "vec",
-    id: str = "id",
-    exclude_self: bool = True,
-    digits: int = 9,
-    tile_rows: int = 4096,
-    seed: int = 0,
-) -> DataFrame:
-    """Near neighbours among the texts that share a bucket in any table.
-
-    A bucket is the signs of ``planes`` random directions. Similarities are exact; a
-    neighbour is missed if no table puts both texts in one bucket, so measure
-    ``knn_recall``. Buckets are cut into tiles by their counts, so one that holds a
-    third of all texts is many tasks; its texts are all compared.
-    """
-    import numpy as np
-
-    if tables << planes > 1 << 16:
-        raise ValueError("too many buckets to send their counts to every task")
-    q, c = _vectors_of(queries, id, vec), _vectors_of(corpus, id, vec)
-    dim = _extent(c)[1]
-    if not dim:
-        raise ValueError("the corpus is empty")
-    directions = np.random.default_rng(seed).normal(size=(dim, tables * planes))
-
-    def placed(df: DataFrame) -> DataFrame:
-        schema = df.withColumn("buckets", F.lit(None).cast("array<int>")).schema
-        signed = df.mapInArrow(_signs(directions, tables), schema)
-        return signed.select("id", "vec", F.posexplode("buckets").alias("table", "bucket"))
-
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        tiles = F.ceil(F.count(F.lit(1)) / F.lit(float(tile_rows))).cast("int")
-        return df.groupBy("table", "bucket").agg(tiles.alias(name))
-
-    left, right = placed(q), placed(c)
-    # At most one row per bucket, and the number of buckets is bounded above.
-    tiles = F.broadcast(sizes(left, "qts").join(sizes(right, "cts"), ["table", "bucket"]))
-    left = left.join(tiles, ["table", "bucket"]).select(
-        "id", "vec", "table", "bucket", _tile("query", F.col("qts")).alias("qt"), _each(F.col("cts")).alias("ct")
-    )
-    right = right.join(tiles, ["table", "bucket"]).select(
-        "id", "vec", "table", "bucket", _tile("corpus", F.col("cts")).alias("ct"), _each(F.col("qts")).alias("qt")
-    )
-    out = q.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim")).schema
-    found = _match(left, right, ["table", "bucket", "qt", "ct"], k, exclude_self, digits, out)
-    return _ranked(found.groupBy("query_id", "id").agg(F.max("sim").alias("sim")), k)
-
-
 def knn_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """``n, recall``: the share of exact neighbours that were found."""
     hits = found.select("query_id", "id", F.lit(1).alias("hit"))
