@@ -4,18 +4,21 @@ import json
 import os
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textprov.catalog.inputs import essays, human_essays, texts
 from textprov.functions.text import add_question, clean_response
-from textprov.models.detector import fit_best, fit_detector, score
+from textprov.models.detector import fit_best, fit_detector, hashed, score
 from textprov.models.embedder import embed, fit_embedder
 from textprov.models.ranker import fit_ranker, rank_score
+from textprov.models.sparse import VALUE, WEIGHT, LinearModel, Trainer, _gradient_sums, logistic
 from textprov.operators.infer import batch_infer
 from textprov.operators.metrics import roc_auc
 from textprov.operators.pairs import human_ai_pairs
 from textprov.operators.rows import drop_null_text
+from textprov.operators.series import best_and_patience
 from textprov.operators.vectors import knn
 from textprov.plans.detect import pair_texts, run_detection, run_ranking, split_essays
 from textprov.plans.generate import run_generation
@@ -135,35 +138,77 @@ def test_neighbours_without_a_vector(spark):
 
 def test_detector_beats_chance_and_survives_saving(spark, sf, tmp_path):
     train, valid = split_essays(essays(spark, sf), 0.8)
-    model = fit_detector(train, 1 << 14, max_iter=10)
+    model = fit_detector(train, 1 << 14, steps=10)
     out = score(model, valid)
     assert roc_auc(out, "predictions", "generated").first()["auc"] > 0.6
     unlabelled = score(model, texts(spark, sf))
     assert unlabelled.where("predictions is null").count() == 0
-    model.write().save(f"{tmp_path}/model")
-    from pyspark.ml import PipelineModel
-
-    again = score(PipelineModel.load(f"{tmp_path}/model"), valid)
+    model.save(spark, f"{tmp_path}/model")
+    again = score(LinearModel.load(spark, f"{tmp_path}/model"), valid)
     assert {tuple(r) for r in again.select("id", "predictions").collect()} == {
         tuple(r) for r in out.select("id", "predictions").collect()
     }
 
 
-def test_search_stops_early(spark, sf):
+def test_weights_do_not_depend_on_partitions(spark, sf):
+    train, valid = split_essays(essays(spark, sf), 0.8)
+    few, many = (fit_detector(train.repartition(n), 1 << 10, steps=4) for n in (1, 8))
+    assert (few.weights == many.weights).all() and few.weights.any()
+    one, eight = (
+        {tuple(r) for r in score(few, valid.repartition(n)).select("id", "predictions").collect()} for n in (1, 8)
+    )
+    assert one == eight
+
+
+def test_gradient_is_that_of_the_loss(spark):
+    """A whole-number gradient against differences of the mean loss."""
+    rows = [(f"word{i % 7} common word{i % 3}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "text string, generated int")
+    trainer = Trainer(hashed(df, 64, "generated").repartition(3), 64, [{}, {"reg": 0.1}], "generated", logistic)
+    trainer.step([0, 1])
+    trainer.step([0])
+    w = trainer.whole([0])
+    sums, loss = _gradient_sums(trainer.rows, w, "generated", logistic)
+    for f in np.flatnonzero(sums[:, 0])[:5]:
+        step = np.zeros_like(w)
+        step[f] = WEIGHT // 256
+        up, down = (_gradient_sums(trainer.rows, w + d, "generated", logistic)[1][0] for d in (step, -step))
+        assert (up - down) * 128 == pytest.approx(sums[f, 0] / (VALUE * WEIGHT), abs=1e-2)
+    assert not np.array_equal(trainer.weights[:, 0], trainer.weights[:, 1])
+
+
+def test_search_trains_all_settings_and_stops_each(spark, sf):
     train, valid = split_essays(essays(spark, sf), 0.8)
-    grid = [{"reg": r, "max_iter": 3} for r in (1e-3, 50.0, 60.0, 1e-2, 1e-1)]
-    found = fit_best(train, valid, grid, 1, 1 << 12)
-    log = found.log.orderBy("step").collect()
-    assert len(log) < 5 and log[-1]["patience"] == 1
+    grid = [{"reg": 0.0, "rate": 0.1}, {"reg": 1000.0, "rate": 0.1}]
+    found = fit_best(train, valid, grid, 1, 1 << 12, steps=8, every=2)
+    log = found.log.orderBy("run", "step").collect()
+    judged = best_and_patience(found.log.select("run", "step", "metric"))
+    assert sorted(map(tuple, log)) == sorted(map(tuple, judged.select(found.log.columns).collect()))
+    for name in {r["run"] for r in log}:
+        own = [r for r in log if r["run"] == name]
+        assert all(r["patience"] < 1 for r in own[:-1])  # nothing is trained after it has stopped
+        assert own[-1]["patience"] == 1 or own[-1]["step"] == 8
     best = max(r["metric"] for r in log)
-    auc = roc_auc(score(found.model, valid), "predictions", "generated").first()["auc"]
+    auc = roc_auc(score(found.model, valid), "logit", "generated").first()["auc"]
     assert auc == best
+    alone = fit_best(train, valid, grid[:1], 1, 1 << 12, steps=8, every=2)
+    assert (alone.model.weights == found.model.weights).all()
+
+
+def test_texts_without_words(spark):
+    rows = [(1, None, 1), (2, "", 0), (3, " \t", 1), (4, "one", 0), (5, "one", 1)]
+    df = spark.createDataFrame(rows, "id long, text string, generated int")
+    model = fit_detector(df, 16, steps=3)
+    got = {r["id"]: r["logit"] for r in score(model, df).collect()}
+    assert got[1] == got[2] == got[3] and got[4] == got[5]
+    assert fit_detector(df.where("false"), 16, steps=1).weights.any() == np.False_
+    assert score(model, df.where("false")).count() == 0
 
 
 def test_ranker_orders_its_pairs(spark, sf):
     e = essays(spark, sf)
     pairs = pair_texts(e)
-    model = fit_ranker(pairs, 256, max_iter=15)
+    model = fit_ranker(pairs, 1 << 16, steps=15)
     human = rank_score(model, pairs.select("pair_id", F.col("human").alias("text"))).select(
         "pair_id", F.col("logit").alias("h")
     )
@@ -181,7 +226,7 @@ def test_embeddings_have_unit_length(spark, sf):
     assert vectors.where(F.abs(norm - 1.0) > 1e-9).count() == 0
 
 
-@pytest.mark.parametrize("job, fit", [(run_detection, {"n_features": 4096, "max_iter": 5}), (run_ranking, {"n_features": 64, "max_iter": 5})])
+@pytest.mark.parametrize("job, fit", [(run_detection, {"n_features": 4096, "steps": 5}), (run_ranking, {"n_features": 64, "steps": 5})])
 def test_training_jobs_write_predictions(spark, sf, tmp_path, job, fit):
     rows = essays(spark, sf).select(F.col("id").cast("string").alias("id"), "text", "generated", "prompt_id")
     W.write_csv(rows, f"{tmp_path}/in/train_essays.csv")
@@ -196,12 +241,13 @@ def test_training_jobs_write_predictions(spark, sf, tmp_path, job, fit):
     assert best.exceptAll(results).count() == 0 and best.count() == results.count()
 
 
-@pytest.mark.parametrize("job, key", [(run_detection, "max_iter"), (run_ranking, "max_iter")])
-def test_training_jobs_stop_early_and_write_the_best(spark, sf, tmp_path, job, key):
+@pytest.mark.parametrize("job", [run_detection, run_ranking])
+def test_training_jobs_stop_early_and_write_the_best(spark, sf, tmp_path, job):
     rows = essays(spark, sf).select(F.col("id").cast("string").alias("id"), "text", "generated", "prompt_id")
     W.write_csv(rows, f"{tmp_path}/in/train_essays.csv")
-    grid = [{"reg": 1e-3, "max_iter": 5}, {"reg": 1e3, "max_iter": 1}, {"reg": 1e4, "max_iter": 1}, {"reg": 1e-3}]
-    report = job(spark, f"{tmp_path}/in", f"{tmp_path}/out", "run1", 0.8, grid=grid, patience=1, n_features=1024)
+    grid = [{"reg": 1e-4}, {"reg": 1e3}]
+    size = {"n_features": 1024, "steps": 8, "every": 2}
+    report = job(spark, f"{tmp_path}/in", f"{tmp_path}/out", "run1", 0.8, grid=grid, patience=1, **size)
     auc = {
         tag: roc_auc(
             R.read_csv(spark, f"{tmp_path}/out/run1/result_df_{tag}").select(
@@ -212,6 +258,9 @@ def test_training_jobs_stop_early_and_write_the_best(spark, sf, tmp_path, job, k
     }
     assert auc["best"] >= auc["last"]
     assert abs(auc["best"] - report.scores.first()["lb"]) < 1e-4
+    # A saved model scores another table without fitting again.
+    model = LinearModel.load(spark, f"{tmp_path}/out/models/run1_best")
+    assert score(model, texts(spark, sf)).where("logit is null").count() == 0
 
 
 def test_generation_job(spark, sf, tmp_path):
@@ -258,7 +307,7 @@ def test_generation_job(spark, sf, tmp_path):
 def test_row_operators_on_a_stream(spark, sf, tmp_path):
     rows = essays(spark, sf).select(F.col("id").cast("string").alias("id"), "text", "generated", "prompt_id")
     rows.repartition(3).write.parquet(f"{tmp_path}/in")
-    model = fit_detector(rows, 1 << 10, max_iter=3)
+    model = fit_detector(rows, 1 << 10, steps=3)
 
     def work(df):
         kept = drop_null_text(df).withColumn("text", add_question("text"))

@@ -1,23 +1,27 @@
-"""Linear text detector: the same target and objective as a fine-tuned classifier,
-on hashed words and word pairs."""
+"""Linear text detector: the same target and objective as a fine-tuned classifier, on
+hashed words and word pairs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, NGram, SQLTransformer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import DataFrame, functions as F
 
 from textprov.functions.tokens import WORD_PATTERN
+from textprov.functions.vectors import sigmoid
+from textprov.models.sparse import (
+    LinearModel, Trainer, add_logit, describe, hashed_rows, logistic, with_logits,
+)
 from textprov.operators.metrics import roc_auc
 from textprov.operators.series import best_and_patience
 from textprov.session import materialize
 
 N_FEATURES = 1 << 18
+STEPS = 30
+EVERY = 5  # steps between two looks at the holdout
+LABEL = "generated"
 
 
 def _words_stage(text: str, out: str) -> SQLTransformer:
@@ -27,80 +31,87 @@ def _words_stage(text: str, out: str) -> SQLTransformer:
     )
 
 
-def feature_stages(n_features: int = N_FEATURES, text: str = "text", out: str = "features") -> list:
-    """Hashed counts of words and word pairs, weighted by inverse document frequency."""
-    return [
-        _words_stage(text, "_words"),
-        NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-        HashingTF(numFeatures=n_features, inputCol="_terms", outputCol="_tf"),
-        IDF(inputCol="_tf", outputCol=out),
-    ]
-
-
-def classifier(reg: float = 1e-3, max_iter: int = 50) -> LogisticRegression:
-    return LogisticRegression(
-        labelCol="generated", featuresCol="features", regParam=reg, maxIter=max_iter
-    )
-
-
-def hashed(df: DataFrame, n_features: int, *keep: str) -> DataFrame:
-    """Stored hashed counts and kept columns: texts are split once, fits read the counts."""
-    counts = PipelineModel(stages=feature_stages(n_features)[:-1])
-    return materialize(counts.transform(df).select("_tf", *keep), "counts")
-
-
-def weighted(counts: DataFrame, n_features: int) -> tuple[PipelineModel, IDFModel]:
-    """The feature pipeline whose weights come from stored counts, and its last stage."""
-    *head, idf = feature_stages(n_features)
-    fitted = idf.fit(counts)
-    return PipelineModel(stages=[*head, fitted]), fitted
+def hashed(df: DataFrame, n_features: int, *keep: str, text: str = "text") -> DataFrame:
+    """Stored sparse rows: texts are split once, every step reads the rows."""
+    return materialize(hashed_rows(df, n_features, text, keep), "rows")
 
 
 def fit_detector(
-    train: DataFrame, n_features: int = N_FEATURES, reg: float = 1e-3, max_iter: int = 50
-) -> PipelineModel:
-    """Fit on ``text, generated``. The driver holds one weight per feature, no rows."""
-    counts = hashed(train, n_features, "generated")
-    features, idf = weighted(counts, n_features)
-    ready = idf.transform(counts).select("features", "generated")
-    return PipelineModel(stages=[features, classifier(reg, max_iter).fit(ready)])
+    train: DataFrame, n_features: int = N_FEATURES, reg: float = 1e-5, rate: float = 0.1, steps: int = STEPS
+) -> LinearModel:
+    """Fit on ``text, generated``: cross-entropy, one scan of the stored rows a step.
 
+    The driver holds a few numbers per feature, no rows. The weights are the same on any
+    partitioning. A null text is empty.
+    """
+    trainer = Trainer(
+        hashed(train, n_features, LABEL), n_features, [{"reg": reg, "rate": rate}], LABEL, logistic
+    )
+    for _ in range(steps):
+        trainer.step([0])
+    return trainer.model(0)
 
-def score(model, df: DataFrame) -> DataFrame:
+
+def score(model: LinearModel, df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``predictions`` (probability of generated) and ``logit``; no label is needed."""
-    out = model.transform(df)
-    return out.select(
-        *df.columns,
-        vector_to_array("probability")[1].alias("predictions"),
-        vector_to_array("rawPrediction")[1].alias("logit"),
-    )
+    scored = add_logit(model, df, text)
+    return scored.select(*df.columns, sigmoid("logit").alias("predictions"), "logit")
 
 
 class Search(NamedTuple):
-    model: PipelineModel
+    model: LinearModel
     log: DataFrame
-    last: PipelineModel
+    last: LinearModel
 
 
-def early_stopped(fit: Callable, auc: Callable, grid: Sequence[dict], patience: int):
-    """Fit the grid in order until ``auc`` has not improved ``patience`` times.
+def search(
+    trainer: Trainer, metric: Callable, steps: int = STEPS, every: int = EVERY, patience: int = 2
+) -> Search:
+    """Train all settings at once; each stops when ``metric`` has not risen ``patience`` times.
 
-    Returns the latest best model, the last one, and a log row for each fit. One number
-    per fit reaches the driver.
+    A step is one scan for all settings that are left. ``metric`` takes the weights of these
+    settings and gives a number for each, every ``every`` steps. The model is that of the
+    greatest number, the latest of equal ones of a setting and the first of equal settings;
+    ``last`` is the last that was looked at. The log has a row per look, with ``best, is_best,
+    patience``.
     """
-    rows, best, chosen, last, waited = [], None, None, None, 0
-    for step, params in enumerate(grid):
-        last = fit(params)
-        reached = auc(last)
-        rows.append(("search", step, str(params), reached))
-        if reached is not None and (best is None or reached >= best):
-            best, chosen, waited = reached, last, 0
-        else:
-            waited += 1
-        if waited >= patience:
-            break
-    return chosen, last, rows
+    left, rows = list(range(len(trainer.grid))), []
+    best: dict[int, tuple] = {}
+    waited = dict.fromkeys(left, 0)
+    chosen = last = None
+    while left and trainer.steps < steps:
+        trainer.step(left)
+        if trainer.steps % every and trainer.steps < steps:
+            continue
+        reached = metric(trainer.whole(left))
+        for s, value in zip(list(left), reached):
+            last = trainer.model(s)
+            rows.append((describe(trainer.grid[s]), trainer.steps, value))
+            if value is not None and (s not in best or value >= best[s][0]):
+                best[s], waited[s] = (value, last), 0
+            else:
+                waited[s] += 1
+            if waited[s] >= patience:
+                left.remove(s)
+    for value, model in best.values():
+        if chosen is None or value > chosen[0]:
+            chosen = (value, model)
+    log = trainer.rows.sparkSession.createDataFrame(rows, "run string, step long, metric double")
+    last = last or trainer.model(0)
+    return Search(chosen[1] if chosen else last, best_and_patience(log), last)
+
+
+def auc_of(held: DataFrame, label: str = LABEL) -> Callable:
+    """AUC of each column of weights on stored sparse rows: one scan for all."""
+    def metric(weights):
+        names = [f"s{s}" for s in range(weights.shape[1])]
+        wide = with_logits(held.select(label, "_idx", "_val"), weights, names)
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("run"), F.col(n).alias("logit")) for s, n in enumerate(names)]))
+        scored = wide.select(label, each.alias("x")).select(label, "x.*")
+        found = {r["run"]: r["auc"] for r in roc_auc(scored, "logit", label, by=["run"]).collect()}
+        return [found.get(s) for s in range(len(names))]
+
+    return metric
 
 
 def fit_best(
@@ -109,25 +120,10 @@ def fit_best(
     grid: Sequence[dict],
     patience: int = 2,
     n_features: int = N_FEATURES,
+    steps: int = STEPS,
+    every: int = EVERY,
 ) -> Search:
-    """Fit the grid in order until the holdout AUC has not improved ``patience`` times.
-
-    Counts are made once and stored. The log has a row per fit with ``best, is_best,
-    patience``; the model is the latest best one.
-    """
-    spark = train.sparkSession
-    counts, other = (hashed(d, n_features, "generated") for d in (train, valid))
-    features, idf = weighted(counts, n_features)
-    ready, held = (idf.transform(d).select("features", "generated") for d in (counts, other))
-    model, last, rows = early_stopped(
-        lambda params: classifier(**params).fit(ready),
-        lambda fitted: roc_auc(score(fitted, held), "predictions", "generated").first()["auc"],
-        grid,
-        patience,
-    )
-    log = spark.createDataFrame(rows, "run string, step long, params string, metric double")
-
-    def whole(fitted) -> PipelineModel:
-        return PipelineModel(stages=[features] + ([fitted] if fitted is not None else []))
-
-    return Search(whole(model), best_and_patience(log), whole(last))
+    """Fit a grid of ``reg`` and ``rate`` at once and pick by holdout AUC: see ``search``."""
+    rows, held = (hashed(d, n_features, LABEL) for d in (train, valid))
+    trainer = Trainer(rows, n_features, grid, LABEL, logistic)
+    return search(trainer, auc_of(held), steps, every, patience)

@@ -2,60 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
 
-from textprov.models.detector import _words_stage
+from pyspark.sql import DataFrame
+
+from textprov.models.detector import EVERY, STEPS, Search, auc_of, hashed, search
+from textprov.models.sparse import LinearModel, Trainer, add_logit, difference_rows, margin_of
+from textprov.operators.losses import MARGIN
 from textprov.session import materialize
 
-RANK_FEATURES = 512
+RANK_FEATURES = 1 << 18
 
 
-def _features(n: int) -> list:
-    return [
-        _words_stage("text", "_words"),
-        HashingTF(numFeatures=n, inputCol="_words", outputCol="_tf"),
-        IDF(inputCol="_tf", outputCol="features"),
-    ]
+def _trainer(pairs: DataFrame, n_features: int, grid: Sequence[dict], margin: float) -> Trainer:
+    rows = materialize(difference_rows(pairs, n_features, "ai", "human"), "gaps")
+    return Trainer(rows, n_features, grid, None, margin_of(margin))
 
 
 def fit_ranker(
-    pairs: DataFrame, n_features: int = RANK_FEATURES, reg: float = 1e-2, max_iter: int = 30
-) -> PipelineModel:
-    """Fit on ``pair_id, human, ai`` texts: a hinge on feature differences, both signs, no intercept."""
-    sides = F.explode(
-        F.array(
-            F.struct(F.col("ai").alias("text"), F.lit(1).alias("side")),
-            F.struct(F.col("human").alias("text"), F.lit(0).alias("side")),
-        )
-    )
-    texts = materialize(pairs.select("pair_id", sides.alias("t")).select("pair_id", "t.*"), "pairs")
-    features = Pipeline(stages=_features(n_features)).fit(texts.select("text"))
-    sided = features.transform(texts).select("pair_id", "side", vector_to_array("features").alias("x"))
-    gaps = sided.groupBy("pair_id").agg(
-        F.max_by("x", "side").alias("a"), F.min_by("x", "side").alias("h")
-    )
-    gap = F.zip_with("a", "h", lambda a, h: a - h)
-    signed = F.explode(
-        F.array(
-            F.struct(F.lit(1.0).alias("label"), gap.alias("gap")),
-            F.struct(F.lit(0.0).alias("label"), F.transform(gap, lambda x: -x).alias("gap")),
-        )
-    )
-    train = materialize(
-        gaps.select(signed.alias("s")).select(
-            "s.label", array_to_vector("s.gap").alias("features")
-        ),
-        "gaps",
-    )
-    svc = LinearSVC(fitIntercept=False, regParam=reg, maxIter=max_iter).fit(train)
-    return PipelineModel(stages=[features, svc])
-
-
-def rank_score(model: PipelineModel, df: DataFrame) -> DataFrame:
+    pairs: DataFrame,
+    n_features: int = RANK_FEATURES,
+    reg: float = 1e-5,
+    rate: float = 0.1,
+    steps: int = STEPS,
+    margin: float = MARGIN,
+) -> LinearModel:
+    """Fit on ``human, ai`` texts: the mean of ``max(0, margin - (ai - human))`` of their logits.
+
+    A pair is one sparse row, the difference of its texts, made where the texts are read.
+    """
+    trainer = _trainer(pairs, n_features, [{"reg": reg, "rate": rate}], margin)
+    for _ in range(steps):
+        trainer.step([0])
+    return trainer.model(0)
+
+
+def fit_best_ranker(
+    pairs: DataFrame,
+    valid: DataFrame,
+    grid: Sequence[dict],
+    patience: int = 2,
+    n_features: int = RANK_FEATURES,
+    steps: int = STEPS,
+    every: int = EVERY,
+    margin: float = MARGIN,
+) -> Search:
+    """Fit a grid at once and pick by the AUC on ``text, generated`` of ``valid``."""
+    held = hashed(valid, n_features, "generated")
+    return search(_trainer(pairs, n_features, grid, margin), auc_of(held), steps, every, patience)
+
+
+def rank_score(model: LinearModel, df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``logit``: higher means more likely generated."""
-    out = model.transform(df)
-    return out.select(*df.columns, vector_to_array("rawPrediction")[1].alias("logit"))
+    return add_logit(model, df, text)

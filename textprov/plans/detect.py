@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprov.functions.text import add_question, py_strip
 from textprov.functions.vectors import sigmoid
-from textprov.models.detector import early_stopped, fit_best, fit_detector, score
-from textprov.models.ranker import fit_ranker, rank_score
+from textprov.models.detector import fit_best, fit_detector, score
+from textprov.models.ranker import fit_best_ranker, fit_ranker, rank_score
 from textprov.operators.metrics import Evaluation, evaluate, roc_auc
 from textprov.operators.pairs import human_ai_pairs
 from textprov.operators.rows import by_fold, drop_null_text
@@ -48,6 +48,7 @@ def _report(spark, models: dict, scores, truths: DataFrame, out_dir: str, run: s
             scored = materialize(scores(model).select("id", "logit"), "scores")
             reports[id(model)] = evaluate(scored, truths)
         write_predictions(reports[id(model)].results, out_dir, run, tag)
+        model.save(spark, f"{out_dir}/models/{run}_{tag}")
     return reports[id(models["best"])]
 
 
@@ -64,9 +65,9 @@ def run_detection(
 ) -> Evaluation:
     """Read, split, fit on the train fold, score and write the valid fold.
 
-    With a ``grid`` of classifier settings, fits stop when the holdout AUC has not
-    improved ``patience`` times; the predictions of the best and of the last fit are
-    both written. Without, one fit is both.
+    With a ``grid`` of settings, all are trained on the same scans, and each stops when its
+    holdout AUC has not improved ``patience`` times; the predictions of the best and of the
+    last model are both written, and so are the models, below ``out_dir``. Without, one fit is both.
     """
     train, valid = split_essays(read_essays(spark, data_dir), frac, seed)
     train, valid = (d.withColumn("text", add_question("text")) for d in (train, valid))
@@ -107,16 +108,11 @@ def run_ranking(
     """As ``run_detection``, with a ranker fitted on pairs inside prompts."""
     train, valid = split_essays(read_essays(spark, data_dir), frac, seed)
     pairs = materialize(pair_texts(train, seed), "pair_texts")
-
-    def auc(model):
-        scored = rank_score(model, valid).select("logit", "generated")
-        return roc_auc(scored, "logit", "generated").first()["auc"]
-
-    settings = [{**fit, **g} for g in grid or [{}]]
     if grid:
-        best, last, _ = early_stopped(lambda s: fit_ranker(pairs, **s), auc, settings, patience)
+        found = fit_best_ranker(pairs, valid, grid, patience, **fit)
+        models = {"best": found.model, "last": found.last}
     else:
-        best = last = fit_ranker(pairs, **fit)
-    models = {"best": best or last, "last": last}
+        model = fit_ranker(pairs, **fit)
+        models = {"best": model, "last": model}
     truths = valid.select("id", "generated")
     return _report(spark, models, lambda m: rank_score(m, valid), truths, out_dir, run)
