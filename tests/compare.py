@@ -62,7 +62,8 @@ def difference(df, con, sql) -> str | None:
 ARROW = {
     "tokenize", "tokenize_cut", "decode", "preview", "mask_augment", "pad_batch",
     "pad_batch_right", "mask_labels", "mask_labels_cut", "mask_labels_compat",
-    "knn_topk", "knn_approx", "knn_recall", "text_neighbours", "supcon_loss", "contrastive_losses",
+    "knn_topk", "knn_approx", "knn_recall", "knn_work", "text_neighbours", "supcon_loss", "contrastive_losses",
+    "pair_tokens", "detector_scores", "detector_search", "ranker_scores", "embedder_log",
     "batch_map", "batch_infer", "records_json",
 }
 

@@ -14,11 +14,12 @@ from textprov.models.detector import fit_best, fit_detector, hashed, score
 from textprov.models.embedder import embed, fit_embedder
 from textprov.models.ranker import fit_ranker, rank_score
 from textprov.models.sparse import VALUE, WEIGHT, LinearModel, Trainer, _gradient_sums, logistic
-from textprov.operators.infer import batch_infer
+from textprov.operators.infer import batch_infer, map_columns
 from textprov.operators.metrics import roc_auc
 from textprov.operators.pairs import human_ai_pairs
 from textprov.operators.rows import drop_null_text
 from textprov.operators.series import best_and_patience
+from textprov.operators.tokens import tokenize_pairs
 from textprov.operators.vectors import knn
 from textprov.plans.detect import pair_texts, run_detection, run_ranking, split_essays
 from textprov.plans.generate import run_generation
@@ -321,3 +322,27 @@ def test_row_operators_on_a_stream(spark, sf, tmp_path):
     assert {tuple(r) for r in got.select(columns).collect()} == {
         tuple(r) for r in want.select(columns).collect()
     }
+
+
+def test_functions_of_columns(spark):
+    """Set up once for each task, whole columns at a time, nulls kept."""
+    def load():
+        import pyarrow.compute as pc
+
+        return lambda a, b: pc.add(a, b)
+
+    df = spark.createDataFrame([(1, 2), (None, 3), (4, 5)], "a long, b long")
+    got = map_columns(df, load, ["a", "b"], "sum", "long").collect()
+    assert [tuple(r) for r in got] == [(1, 2, 3), (None, 3, None), (4, 5, 9)]
+    assert map_columns(df.where("false"), load, ["a", "b"], "sum", "long").collect() == []
+
+
+def test_pair_tokens(spark):
+    rows = [(1, "a b c d", "x"), (2, None, "a a"), (3, "b", ""), (4, "zebra a", "b zebra")]
+    pairs = spark.createDataFrame(rows, "pair_id long, human string, ai string")
+    vocab = spark.createDataFrame([(t, 1, i + 3) for i, t in enumerate("abcdx")], "tok string, n long, tok_id int")
+    got = {r["pair_id"]: (r["input_ids"], r["ai_input_ids"]) for r in tokenize_pairs(pairs, vocab, max_len=5).collect()}
+    assert got == {
+        1: ([1, 3, 4, 5, 2], [1, 7, 2]), 2: ([1, 2], [1, 3, 3, 2]), 3: ([1, 4, 2], [1, 2]),
+        4: ([1, 0, 3, 2], [1, 4, 0, 2]),
+    }

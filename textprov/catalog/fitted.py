@@ -10,12 +10,12 @@ from textprov.catalog.registry import query, sql_draw, sql_uniform, sql_words
 from textprov.catalog.scores import _sql_auc as sql_auc, sql_ranking
 from textprov.catalog.strings import SQL_WHITE
 from textprov.functions.text import add_question
+from textprov.models.contrast import embed_learned, fit_contrastive
 from textprov.models.detector import fit_best, fit_detector, score
-from textprov.models.embedder import embed, fit_embedder
 from textprov.models.ranker import fit_ranker, rank_score
 from textprov.models.sparse import BETA1, BETA2, COUNT, EPSILON, PAIR, PART, VALUE, WEIGHT, describe
-from textprov.operators.infer import batch_infer, map_batched
-from textprov.operators.vectors import knn
+from textprov.operators.infer import batch_infer, map_columns
+from textprov.operators.neighbours import knn_approx
 from textprov.plans.contrast import contrastive_losses, ranking_losses
 from textprov.plans.detect import pair_texts, split_essays
 from textprov.session import materialize
@@ -170,10 +170,18 @@ def ranker_scores(spark, sf):
 
 @query("text_neighbours")
 def text_neighbours(spark, sf):
-    """The essays most like each essay, by fitted text vectors."""
+    """The essays most like each essay, by text vectors trained on the labelled ones."""
+    model, _ = fit_contrastive(essays(spark, sf), 1 << 12, 16, batch_size=4, steps=6)
     t = corpus(spark, sf).select("id", "text")
-    vectors = materialize(embed(fit_embedder(t, 128), t).drop("text"), "vectors")
-    return knn(vectors, vectors, 3)
+    vectors = materialize(embed_learned(model, t).drop("text"), "vectors")
+    return knn_approx(vectors, vectors, 3)
+
+
+@query("embedder_log")
+def embedder_log(spark, sf):
+    """The mean contrastive loss before each step of training."""
+    _, log = fit_contrastive(essays(spark, sf), 1 << 12, 16, batch_size=4, steps=6)
+    return spark.createDataFrame(log, "step long, loss double").withColumn("loss", F.round("loss", 6))
 
 
 @query("contrastive_losses")
@@ -197,10 +205,16 @@ def ranking(spark, sf):
     f"WITH {SQL_TEXTS} SELECT id, text || '|' || length(text)::VARCHAR AS text FROM texts",
 )
 def batch_map(spark, sf):
-    def with_length(batch):
-        return batch.assign(text=[f"{t}|{len(t)}" for t in batch["text"]])
+    def load():
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def with_length(text):
+            return pc.binary_join_element_wise(text, pc.utf8_length(text).cast(pa.string()), "|")
+
+        return with_length
 
-    return map_batched(texts(spark, sf).select("id", "text"), with_length, "id long, text string")
+    return map_columns(texts(spark, sf).select("id", "text"), load, ["text"], "text", "string")
 
 
 @query(

@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from textprov.catalog.batches import BS, sql_batches
-from textprov.catalog.inputs import SQL_ANSWERS, SQL_TEXTS, answers, corpus, table, texts
+from textprov.catalog.batches import BS, SQL_PAIRS, sql_batches
+from textprov.catalog.inputs import SQL_ANSWERS, SQL_ESSAYS, SQL_TEXTS, answers, corpus, essays, table, texts
 from textprov.catalog.registry import query, sql_draw, sql_words
-from textprov.catalog.strings import SQL_SOURCE
+from textprov.catalog.strings import SQL_SOURCE, SQL_WHITE
 from textprov.functions import tokens as T
 from textprov.functions.text import format_source
 from textprov.operators import batches as B, tokens as K
+from textprov.plans.detect import pair_texts
 from textprov.session import materialize
 
 SP = K.Specials()  # <unk> 0, <s> 1, </s> 2; padding is <unk>
@@ -96,6 +97,38 @@ def tokenize_cut(spark, sf):
     return out.select("id", _list("input_ids").alias("input_ids"), "input_length")
 
 
+PAIR_LEN = 64
+
+
+def _sql_side(name: str, of: str) -> str:
+    return f"""{name} AS (
+  SELECT pair_id, [1] || coalesce(list(tok_id ORDER BY i) FILTER (WHERE tok_id IS NOT NULL), []) || [2] AS ids FROM (
+    SELECT pair_id, unnest(list_concat(toks, [NULL])) AS tok, unnest(range(len(toks) + 1)) AS i FROM (
+      SELECT pair_id, list_slice({sql_words("text")}, 1, {PAIR_LEN - 2}) AS toks
+      FROM named JOIN stripped e ON e.id = {of}))
+  LEFT JOIN vocab USING (tok) GROUP BY pair_id)"""
+
+
+@query(
+    "pair_tokens",
+    f"""WITH {SQL_ESSAYS}, {SQL_PAIRS}, {sql_vocab('texts')},
+stripped AS (SELECT id, trim(text, {SQL_WHITE}) AS text FROM essays),
+named AS (SELECT concat_ws('-', human_id, ai_id) AS pair_id, human_id, ai_id FROM pairs),
+{_sql_side("humans", "human_id")}, {_sql_side("ais", "ai_id")}
+SELECT pair_id, array_to_string(h.ids, ',') AS input_ids, len(h.ids)::INTEGER AS n,
+       array_to_string(a.ids, ',') AS ai_input_ids, len(a.ids)::INTEGER AS ai_n
+FROM humans h JOIN ais a USING (pair_id)""",
+)
+def pair_tokens(spark, sf):
+    """Both texts of every pair, tokenized in one pass over the vocabulary."""
+    pairs = pair_texts(essays(spark, sf))
+    out = K.tokenize_pairs(pairs, vocabulary(corpus(spark, sf)), SP, max_len=PAIR_LEN)
+    return out.select(
+        "pair_id", _list("input_ids").alias("input_ids"), F.size("attention_mask").alias("n"),
+        _list("ai_input_ids").alias("ai_input_ids"), F.size("ai_attention_mask").alias("ai_n"),
+    )
+
+
 @query(
     "truncate_left",
     f"""WITH {SQL_TEXTS}, t AS (SELECT id, {sql_words('text')} AS ids FROM texts)

@@ -13,15 +13,19 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from textprov.functions.draws import DRAW_BITS
 from textprov.functions.tokens import words
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not import this package
+
 VALUE = 1 << 12  # of a row's values
 WEIGHT = 1 << 20  # of weights, residuals and losses
 COUNT = 1 << 8  # of the logarithms of counts

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textprov.functions.draws import uniform_int
@@ -23,6 +24,28 @@ def map_batched(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def map_columns(
+    df: DataFrame, load: Callable[[], Callable], columns: Sequence[str], out: str, out_type: str
+) -> DataFrame:
+    """Add ``out``: a function of whole Arrow columns, with its set-up done once per task.
+
+    ``load`` returns a function that takes the Arrow arrays of ``columns`` and gives one of as many
+    values. Only these columns leave the JVM. Nulls reach the function as nulls.
+    """
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        fn = load()
+        for batch in batches:
+            yield fn(*batch)
+
+    def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fn = load()
+        for batch in batches:
+            yield fn(batch)
+
+    made = F.arrow_udf(run_one if len(columns) == 1 else run, out_type)
+    return df.withColumn(out, made(*[F.col(c) for c in columns]))
+
+
 def batch_infer(
     df: DataFrame, load: Callable[[], Callable], out: str = "responses", out_type: str = "array<string>"
 ) -> DataFrame:

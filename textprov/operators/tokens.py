@@ -239,6 +239,55 @@ def tokenize(
     )
 
 
+def tokenize_pairs(
+    pairs: DataFrame,
+    vocab: DataFrame,
+    specials: Specials = Specials(),
+    max_len: int | None = None,
+    human: str = "human",
+    ai: str = "ai",
+    id: str = "pair_id",
+) -> DataFrame:
+    """``id, input_ids, attention_mask, ai_input_ids, ai_attention_mask`` of both texts of each pair.
+
+    Both are cut on the right to ``max_len`` with their begin and end tokens, and looked up
+    in one pass over the vocabulary. A null text is empty.
+    """
+    front = [specials.id_of(specials.bos)] if specials.bos else []
+    back = [specials.id_of(specials.eos_name)] if specials.eos_name else []
+
+    def listed(text: str):
+        toks = T.words(F.coalesce(F.col(text), F.lit("")))
+        return toks if max_len is None else T.truncate_tokens(toks, max_len - len(front) - len(back), "right")
+
+    both = pairs.select(id, listed(human).alias("_human"), listed(ai).alias("_ai"))
+    # The size of the first list travels with the id, so that the found ids can be parted.
+    tagged = both.select(
+        F.struct(F.col(id), F.size("_human").alias("n")).alias("_key"), F.concat("_human", "_ai").alias("_toks")
+    )
+    found = _translate(tagged, vocab, "_toks", "tok", "tok_id", "_key", BROADCAST_BYTES)
+
+    def side(start, n):
+        part = F.slice("_found", start, n)
+        if specials.unk is None:
+            part = F.filter(part, lambda x: x.isNotNull())
+        else:
+            part = F.transform(part, lambda x: F.coalesce(x, F.lit(specials.id_of(specials.unk))))
+        ends = [F.array(*[F.lit(i) for i in e]) if e else None for e in (front, back)]
+        return F.concat(*[p for p in (ends[0], part, ends[1]) if p is not None])
+
+    n = F.col("_key.n")
+    ids = found.select(
+        F.col(f"_key.{id}").alias(id), side(F.lit(1), n).alias("input_ids"),
+        side(n + 1, F.size("_found") - n).alias("ai_input_ids"),
+    )
+    ones = lambda c: F.array_repeat(F.lit(1), F.size(c))
+    return ids.select(
+        id, "input_ids", ones("input_ids").alias("attention_mask"),
+        "ai_input_ids", ones("ai_input_ids").alias("ai_attention_mask"),
+    )
+
+
 def decode(
     df: DataFrame,
     vocab: DataFrame,
