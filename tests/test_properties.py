@@ -106,6 +106,24 @@ def test_requests_for_small_prompts_are_spread(hot, monkeypatch):
     assert drawn() == plain
 
 
+def test_texts_that_many_batches_ask_for(spark, monkeypatch):
+    """A third of the plan asks for one text; its requests are joined in parts."""
+    plan = spark.range(6000).select(
+        F.floor(F.col("id") / 8).alias("batch_id"), (F.col("id") % 8).alias("slot"),
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 700).alias("id"),
+    )
+    rows = spark.range(700).select("id", F.concat(F.lit("text "), "id").alias("text"), F.lit(1).alias("slot"))
+    want = sorted((r["batch_id"], r["slot"], r["id"], f"text {r['id']}") for r in plan.collect())
+    for keys in (100_000, 0):
+        monkeypatch.setattr(B, "SMALL_KEYS", keys)
+        monkeypatch.setattr(B, "REQUESTS_PER_KEY", 100)
+        got = B.fetch_rows(plan, rows)
+        assert sorted(tuple(r) for r in got.select("batch_id", "slot", "id", "text").collect()) == want
+    sizes = got.where("id = 5").groupBy(F.pmod(F.xxhash64("batch_id", "slot"), F.lit(21))).count()
+    assert sizes.agg(F.max("count")).first()[0] < 200
+    assert B.fetch_rows(plan.where("false"), rows).count() == 0
+
+
 def test_id_lists_are_whole_and_bounded(hot):
     rows = G.ids_by_prompt(hot, 64).collect()
     assert max(r["n"] for r in rows) == 64

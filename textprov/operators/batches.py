@@ -38,6 +38,7 @@ def assign_batches(
 # A text of a small prompt is asked for by many batches. Its row is repeated so that
 # about this many requests meet in one join key.
 REQUESTS_PER_KEY = 1000
+SMALL_KEYS = 100_000  # heavy ids that are sent to every task
 
 
 def _copies(requests: int, n_prompts: int, n: Column) -> Column:
@@ -185,7 +186,28 @@ def balanced_batches(
 def fetch_rows(plan: DataFrame, rows: DataFrame, id: str = "id") -> DataFrame:
     """The rows a batch plan names; columns the plan has already are kept from it.
 
-    A text that many batches ask for is repeated in the result as often; adaptive
-    execution splits the requests for it.
+    A text that many batches ask for is repeated in the result as often. Requests are counted
+    on ids alone; a text with more than ``REQUESTS_PER_KEY`` is repeated once for each so many
+    of its requests, and these are joined apart from the rest, so no task meets more of one
+    text. The heavy texts are few: at most the requests divided by that number.
     """
-    return plan.join(rows.drop(*[c for c in plan.columns if c != id]), id)
+    given = rows.drop(*[c for c in plan.columns if c != id])
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(float(REQUESTS_PER_KEY))).cast("int")
+    heavy = plan.groupBy(id).agg(parts.alias("_parts")).where("_parts > 1")
+    heavy = materialize(heavy, "heavy")
+    if heavy.isEmpty():
+        return plan.join(given, id)
+    names = [c for c in plan.columns if c != id]
+    light = plan.join(heavy, id, "left_anti").join(given, id)
+    # Plan rows of one text differ in their batch and slot, so a digest of them spreads them.
+    asked = plan.join(F.broadcast(heavy) if _small(heavy) else heavy, id).withColumn(
+        "_part", F.pmod(F.xxhash64(*names) if names else F.monotonically_increasing_id(), F.col("_parts")).cast("int")
+    )
+    copies = given.join(F.broadcast(heavy) if _small(heavy) else heavy, id)
+    copies = copies.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    met = asked.drop("_parts").join(copies, [id, "_part"]).drop("_part")
+    return light.unionByName(met.select(light.columns))
+
+
+def _small(keys: DataFrame) -> bool:
+    return keys.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS
