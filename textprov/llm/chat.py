@@ -46,6 +46,8 @@ ESCAPED = re.compile(r"\\(### (?:System|User|Assistant|Role):|</turn>)")
 
 TURN = "conv_id long, turn long, ids array<int>, loss array<tinyint>, formatted string"
 CHUNK = 1 << 16  # ids that a chunk of a conversation starts turns in
+LONGEST = 1 << 12  # signs of a run of blanks, or of other signs, that is encoded at once
+_RUN = re.compile(rf"\s{{{LONGEST}}}|\S{{{LONGEST}}}")
 
 
 def escape(text: str) -> str:
@@ -77,6 +79,19 @@ def encoding(vocabulary: bytes):
     return _encodings[name]
 
 
+def encode(code, text: str) -> list[int]:
+    """Ids of a text, in time in proportion to its length.
+
+    A run of more than ``LONGEST`` blanks, or of other signs, is cut every ``LONGEST``: the
+    splitting pattern would go through it again and again. Texts without one are not cut.
+    """
+    cuts = [m.end() for m in _RUN.finditer(text)]
+    ids = []
+    for lo, hi in zip([0, *cuts], [*cuts, len(text)]):
+        ids += code.encode_ordinary(text[lo:hi])
+    return ids
+
+
 def read_vocabulary(path: str = VOCABULARY) -> bytes:
     """The file's bytes, about a megabyte; they go to the tasks, the file need not be there."""
     with open(path, "rb") as f:
@@ -100,6 +115,7 @@ def format_turns(
     conversation is a conversation, a null turn comes first; rows with the same turn
     stand in the order of a digest of their formatted strings, and equal rows are turns
     of their own; other columns are not looked at; an empty table gives an empty result.
+    Texts may be very long; a run of more than ``LONGEST`` blanks or other signs is encoded in pieces.
     """
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     rows = lean(df).select(
@@ -119,11 +135,11 @@ def format_turns(
                     string = MARKS[ROLES[who]]
                 else:
                     name = escape(who)
-                    ids += [OTHER, *code.encode_ordinary(name), NAMED]
+                    ids += [OTHER, *encode(code, name), NAMED]
                     string = MARKS[OTHER] + name + MARKS[NAMED]
                 if who == "assistant":
                     begin.append(len(ids))
-                ids += code.encode_ordinary(said)
+                ids += encode(code, said)
                 if who == "assistant":
                     end.append(len(ids))
                 ids.append(END)
