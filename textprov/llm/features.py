@@ -28,10 +28,12 @@ WIDTH = CLASSES * CLASSES + EXTRA
 
 
 def text_features(p: flat.Piece) -> np.ndarray:
-    """One row of ``WIDTH`` numbers for each text; zeros for an empty one."""
+    """One row of ``WIDTH`` numbers for each text; an empty one has its mark alone."""
     n = p.n
     out = np.zeros((n, WIDTH))
     size = np.diff(p.offsets)
+    x = CLASSES * CLASSES
+    out[:, x + 7] = size == 0
     if len(p.data) == 0:
         return out
     kind = _CLASS[p.data]
@@ -59,7 +61,6 @@ def text_features(p: flat.Piece) -> np.ndarray:
     again = flat.covered(at, at + 5, len(h))
     mean = np.bincount(word_of, weights=length, minlength=n) / many
     square = np.bincount(word_of, weights=length.astype(float) ** 2, minlength=n) / many
-    x = CLASSES * CLASSES
     out[:, x] = np.log1p(count)
     out[:, x + 1] = np.log1p(mean)
     out[:, x + 2] = np.sqrt(np.maximum(square - mean**2, 0)) / (1 + mean)
@@ -69,5 +70,4 @@ def text_features(p: flat.Piece) -> np.ndarray:
         1 + np.log1p(count)
     )
     out[:, x + 6] = np.minimum(count, 10) / 10
-    out[:, x + 7] = size == 0
     return out
