@@ -186,7 +186,7 @@ FROM based"""
 def mixing() -> str:
     """Targets by trying every water level; seats by ranking all quotients."""
     weights = ", ".join(map(str, WEIGHTS))
-    draw = sql_draw(SEED, "coalesce(doc_id::VARCHAR, '')")
+    draw = sql_draw(SEED, "coalesce(doc_id::VARCHAR, '')", "md5(coalesce(text, ''))")
     first = sql_draw(SEED, "'first'", "coalesce(source, '')", "shard")
     return f"""WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,

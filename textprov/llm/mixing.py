@@ -9,7 +9,7 @@ Sainte-Lague, and gives integer quotas that add up. Only quotients near the last
 need comparing: all others are counted in closed form, so a shard costs a few rows
 whatever its quota.
 
-In a shard, texts stand in the order of a digest of their ids and form one stream of
+In a shard, texts stand in the order of a digest of id and text and form one stream of
 words, cut into blocks. A quota of more than all blocks takes the whole shard once for
 each full round; the rest is a run of blocks from a drawn place on, around the end.
 A text is taken by as many words as those blocks hold of it.
@@ -132,7 +132,9 @@ def mix(
     ``size`` counts the words of a text, ``target`` is what its source should give, and
     ``taken`` how many words the mix takes of this text, repeats counted. ``key`` is a
     digest of the text, to join the texts back; where rows may repeat, ``carry`` names
-    columns that tell them apart. Draws are digests of ids: reruns agree.
+    columns that tell them apart. Draws are digests of ids and texts, so reruns agree whatever the
+    partitioning, and rows without an id are spread like others; only rows equal in both may
+    change places.
 
     Defined results: a null or empty text has size 0 and gives 0; a null source is a
     source, the last by name; null ids are ids like others; rows that repeat are rows of
@@ -140,17 +142,17 @@ def mix(
     """
     sizes = df.select(
         F.col(id).alias("id"), F.col(source).alias("source"),
-        size_of(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), *carry,
+        size_of(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"),
+        draw(seed, F.coalesce(F.col(id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("draw"),
+        *carry,
     )
     sizes = materialize(sizes, "sizes")
     targets = materialize(source_targets(sizes, "source", "size", weights, share, most), "targets")
     spread = F.greatest(F.lit(1), F.ceil(F.col("texts") / F.lit(shard_texts)))
-    drawn = draw(seed, F.coalesce(F.col("id").cast("string"), F.lit("")))
     named = targets.withColumnRenamed("source", "_source")
     rows = (
         sizes.join(named, sizes["source"].eqNullSafe(named["_source"]))
         .drop("_source")
-        .withColumn("draw", drawn)
         .withColumn("shard", F.pmod(F.col("draw"), spread).cast("long"))
     )
     shards = rows.groupBy("source", "shard").agg(
@@ -161,7 +163,7 @@ def mix(
     shards = shards.withColumn("target", F.col("source_target") * part)
     given = quotas(shards.select("source", "shard", "shard_size", "target"), block, most)
     given = materialize(given, "quotas").withColumnsRenamed({"source": "_source", "shard": "_shard"})
-    stream = Window.partitionBy("source", "shard").orderBy("draw", "id", "size")
+    stream = Window.partitionBy("source", "shard").orderBy("draw", "id", "key")
     placed = rows.withColumn(
         "before",
         F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"),
