@@ -22,6 +22,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from textprov.llm.prints import let
 from textprov.session import materialize
 
 K = 2  # words of a window
@@ -90,31 +91,33 @@ def hits(df: DataFrame, id: str, text: str, grams: DataFrame) -> DataFrame:
     Each text also has one row of null ``place``, so that no text is lost and equal rows
     can be counted. ``key`` tells texts of one id apart.
     """
+    def windows(w: Column) -> Column:
+        """The number of words and, for each window, its place, hash and words."""
+        at = lambda i: F.struct(
+            i.alias("place"), F.xxhash64(F.get(w, i), F.get(w, i + 1)).alias("gram"),
+            F.get(w, i).alias("one"), F.get(w, i + 1).alias("two"),
+        )
+        listed = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - K, F.lit(0))), at)
+        none = F.lit(None).cast("struct<place: int, gram: bigint, one: string, two: string>")
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.when(F.size(w) >= K, F.concat(F.array(none), listed)).otherwise(F.array(none)).alias("windows"),
+        )
+
+    # A window takes only its own words along, so the work is in proportion to a text's length.
     own = df.select(
         F.col(id).alias("id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"),
-        words(F.col(text)).alias("w"),
-    )
-    windows = F.when(
-        F.size("w") >= K,
-        F.transform(
-            F.sequence(F.lit(1), F.size("w") - K + 1),
-            lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1)),
-        ),
-    )
-    windows = F.concat(F.array(F.lit(None).cast("long")), F.coalesce(windows, F.array().cast("array<bigint>")))
-    every = own.select("id", "key", "w", F.posexplode(windows).alias("place", "gram"))
-    every = every.withColumn("place", F.when(F.col("place") > 0, F.col("place") - 1))
+        let(words(F.col(text)), windows).alias("x"),
+    ).select("id", "key", F.col("x.n_words").alias("n_words"), F.explode("x.windows").alias("w"))
+    every = own.select("id", "key", "n_words", "w.place", "w.gram", "w.one", "w.two")
     met = every.join(F.broadcast(grams), "gram", "left").where(
         F.col("template").isNotNull() | F.col("place").isNull()
     )
     # The words themselves decide, not their hash.
-    same = (F.element_at("w", F.col("place") + 1) == F.col("first")) & (
-        F.element_at("w", F.col("place") + 2) == F.col("second")
-    )
-    same = F.coalesce(same, F.lit(False))
+    same = F.coalesce((F.col("one") == F.col("first")) & (F.col("two") == F.col("second")), F.lit(False))
     return met.select(
-        "id", "key", F.size("w").cast("long").alias("n_words"),
+        "id", "key", "n_words",
         *[F.when(same, F.col(c)).alias(c) for c in ("template", "at", "size", "label", "exact")],
         F.col("place").cast("long").alias("place"),
     )
@@ -177,7 +180,7 @@ def scan_licenses(
 
     Defined results: a null or empty text has no words, no labels, null places and score
     0; rows equal in id and text are one document, or with ``each_row`` one each; null ids are kept; other columns are
-    not looked at; an empty table gives an empty result.
+    not looked at; an empty table gives an empty result. Time is in proportion to a text's words.
     """
     grams = templates(df.sparkSession, phrases, statements)
     found = materialize(hits(df, id, text, grams), "hits")
