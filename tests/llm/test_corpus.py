@@ -547,7 +547,7 @@ def test_contract_columns(spark):
     base = "/root/testdata/sf0.001"
     count = lambda t: duckdb.sql(f"select count(*) from '{base}/{t}.parquet'").fetchall()[0][0]
     named = {k: v for k, v in queries().items() if k.startswith("op")}
-    assert sorted(int(k[2:].split("_")[0]) for k in named) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in named) == list(range(1, 14))
     want = {
         1: ("documents", "doc_id bigint held_out boolean score double predicted int"),
         2: ("documents", "doc_id bigint n_shingles bigint component_id bigint"),
@@ -561,6 +561,11 @@ def test_contract_columns(spark):
         8: ("documents", "doc_id bigint n_words bigint word_chars bigint n_symbols bigint "
             "n_dup_lines bigint n_repeat_words bigint base_failed boolean kept boolean"),
         9: ("documents", "doc_id bigint size bigint source_size bigint target double taken bigint"),
+        11: (None, "item_id bigint rank int doc_id bigint score bigint"),
+        12: (None, "conv_id bigint depth bigint parent_conv_id bigint n_convs bigint n_children bigint "
+             "n_leaves bigint saved_tokens bigint ends_sha256 string"),
+        13: ("documents", "doc_id bigint n_chars bigint edited_sha256 string fingerprint string "
+             "edited_fingerprint string near_edited double near_next double"),
     }
     for name, fn in named.items():
         n = int(name[2:].split("_")[0])
