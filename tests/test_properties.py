@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textprov.functions.draws import permutation_keys, permuted
 from textprov.functions.tokens import words
 from textprov.operators import (
     batches as B, groups as G, losses as L, metrics as M, neighbours as N, pairs as P, prefix as R,
@@ -106,6 +107,23 @@ def test_requests_for_small_prompts_are_spread(hot, monkeypatch):
     assert drawn() == plain
 
 
+def test_drawn_permutations(spark):
+    """Every permutation is whole, and those of two batches meet like random ones."""
+    df = spark.createDataFrame([(b, n) for b in range(40) for n in (1, 2, 7, 100)], "b long, n long")
+    keys = permutation_keys(F.col("n"), 1, F.col("b"))
+    each = df.withColumn("keys", keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = each.withColumn("to", permuted(F.col("i"), F.col("n"), F.col("keys"), 1, F.col("b"))).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r["b"], r["n"]), {})[r["i"]] = r["to"]
+    assert all(sorted(m.values()) == list(range(n)) for (_, n), m in got.items())
+    first = [{got[b, 100][i] for i in range(10)} for b in range(40)]
+    met = [len(a & c) for i, a in enumerate(first) for c in first[i + 1 :]]
+    assert 0.7 < sum(met) / len(met) < 1.3  # one of ten is expected
+    steps = [(got[b, 100][i + 1] - got[b, 100][i]) % 100 for b in range(40) for i in range(99)]
+    assert max(Counter(steps).values()) < 100  # neighbours do not stay neighbours
+
+
 def test_texts_that_many_batches_ask_for(spark, monkeypatch):
     """A third of the plan asks for one text; its requests are joined in parts."""
     plan = spark.range(6000).select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from textprov.catalog.inputs import (
     SQL_ESSAYS, SQL_SCORED, SQL_TEXTS, corpus, essays, scored, texts,
 )
-from textprov.catalog.registry import query, sql_position, sql_uniform, sql_words
+from textprov.catalog.registry import query, sql_permuted, sql_position, sql_uniform, sql_words
 from textprov.functions.tokens import words
 from textprov.functions.vectors import sigmoid
 from textprov.operators import batches as B, groups as G, pairs as P, tokens as K
@@ -38,19 +38,20 @@ chosen AS (
          AND {sql_uniform(42, "'swap'", "0", "batch_id")} < 0.8::DOUBLE AS swap
   FROM epoch GROUP BY batch_id),
 picked AS (
-  SELECT c.batch_id, c.k, p.prompt_id, p.n,
-         floor({sql_uniform('42:0', "'offset'", "c.batch_id")} * p.n)::BIGINT AS start
+  SELECT c.batch_id, c.k, p.prompt_id, p.n
   FROM chosen c JOIN prompts p ON p.prompt_no = floor(
     {sql_uniform('42:0', "'pick'", "c.batch_id")} * (SELECT count(*) FROM prompts))::BIGINT
   WHERE c.swap),
-plan AS (SELECT *, unnest(range(k)) AS slot FROM picked),
+plan AS (
+  SELECT *, {sql_permuted('slot', 'n', '42:0', 'batch_id')} AS rank
+  FROM (SELECT *, unnest(range(k)) AS slot FROM picked)),
 ranked AS (SELECT id, prompt_id, {sql_position('42:rank', 'id', by='prompt_id')} AS rank FROM {source}),
 mixed_batches AS (
   SELECT e.batch_id, e.slot, e.id, false AS replaced
   FROM epoch e JOIN chosen c ON c.batch_id = e.batch_id WHERE NOT c.swap
   UNION ALL
   SELECT p.batch_id, p.slot, r.id, true FROM plan p
-  JOIN ranked r ON r.prompt_id = p.prompt_id AND r.rank = (p.start + p.slot) % p.n)"""
+  JOIN ranked r ON r.prompt_id = p.prompt_id AND r.rank = p.rank)"""
 
 
 @query(
@@ -58,7 +59,7 @@ mixed_batches AS (
     f"WITH {SQL_TEXTS}, {sql_prompt_batches('texts')} SELECT * FROM mixed_batches",
 )
 def prompt_batches(spark, sf):
-    # The pick and offset draws are keyed by seed and epoch.
+    # The pick and permutation draws are keyed by seed and epoch.
     return B.prompt_batches(texts(spark, sf), BS, 42)
 
 
@@ -79,15 +80,15 @@ halves AS (
   SELECT batch_id, prompt_id, 1 AS generated, n_pos AS n FROM picked
   UNION ALL SELECT batch_id, prompt_id, 0, n_neg FROM picked),
 plan AS (
-  SELECT *, floor({sql_uniform(42, "'offset'", "generated", "batch_id")} * n)::BIGINT AS start,
-         unnest(range(2)) AS i FROM halves),
+  SELECT *, {sql_permuted('i', 'n', 42, 'generated', 'batch_id')} AS rank
+  FROM (SELECT *, unnest(range(2)) AS i FROM halves)),
 ranked AS (
   SELECT id, prompt_id, generated, {sql_position('42:rank', 'id', by='prompt_id, generated')} AS rank
   FROM essays)
 SELECT p.batch_id, CASE WHEN p.generated = 1 THEN p.i ELSE p.i + 2 END AS slot,
        p.prompt_id, p.generated, r.id
 FROM plan p JOIN ranked r ON r.prompt_id = p.prompt_id AND r.generated = p.generated
-                         AND r.rank = (p.start + p.i) % p.n""",
+                         AND r.rank = p.rank""",
 )
 def balanced_batches(spark, sf):
     return B.balanced_batches(essays(spark, sf), 4, 42)

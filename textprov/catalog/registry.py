@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textprov.functions.draws import ROUNDS
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +42,16 @@ def sql_position(seed, id: str, by: str = "", first: str = "") -> str:
     return f"(row_number() OVER ({part}ORDER BY {lead}{sql_draw(seed, id)}, {id}) - 1)"
 
 
+def sql_permuted(i: str, n: str, seed, *parts: str) -> str:
+    """SQL twin of ``permuted``."""
+    other = f"(({sql_draw(seed, repr('key'), *parts, 'r')} % {n} + {n} - x) % {n})"
+    digest = f"md5(concat_ws(':', '{seed}', 'swap', {', '.join(parts)}, r, greatest(x, {other})))"
+    return (
+        f"list_reduce(list_concat([({i})::BIGINT], range({ROUNDS})), "
+        f"lambda x, r: CASE WHEN substr({digest}, 1, 1) >= '8' THEN {other} ELSE x END)"
+    )
+
+
 SQL_WORDS = (
     r"regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\p{{Z}}\p{{Cc}}]')"
 )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textprov.functions.draws import uniform
+from textprov.functions.draws import permutation_keys, permuted, uniform
 from textprov.operators.prefix import shuffled_positions
 from textprov.operators.skew import salted_join
 from textprov.session import materialize
@@ -59,16 +59,16 @@ def _pick(batches: DataFrame, prompts: DataFrame, n_prompts: int, seed) -> DataF
 
 
 def _fill(picked: DataFrame, k: Column, ranked: DataFrame, group: list[str], seed, *tag) -> DataFrame:
-    """The texts of each picked block: ``k`` consecutive ranks of a ring of ``n`` texts,
-    from a drawn start. ``picked`` and the group sizes hold ``n`` and ``copies``."""
-    start = F.floor(uniform(seed, "offset", *tag, F.col("batch_id")) * F.col("n")).cast("bigint")
+    """``k`` drawn texts of each picked group of ``n``: the first places of a permutation of
+    its ranks that belongs to the batch. ``picked`` and the group sizes hold ``n`` and ``copies``."""
+    parts = [*tag, F.col("batch_id")]
     asked = picked.select(
         "batch_id", *group, "n", "copies",
-        start.alias("_start"),
+        permutation_keys(F.col("n"), seed, *parts).alias("_keys"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("i"),
     ).select(
         "batch_id", *group, "i",
-        F.pmod(F.col("_start") + F.col("i"), F.col("n")).alias("rank"),
+        permuted(F.col("i"), F.col("n"), F.col("_keys"), seed, *parts).alias("rank"),
         F.pmod(F.xxhash64("batch_id"), F.col("copies")).cast("int").alias("copy"),
     )
     return asked.join(ranked, [*group, "rank", "copy"])
