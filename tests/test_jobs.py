@@ -346,3 +346,23 @@ def test_pair_tokens(spark):
         1: ([1, 3, 4, 5, 2], [1, 7, 2]), 2: ([1, 2], [1, 3, 3, 2]), 3: ([1, 4, 2], [1, 2]),
         4: ([1, 0, 3, 2], [1, 4, 0, 2]),
     }
+
+
+def test_unreadable_values_are_counted(spark, tmp_path):
+    rows = [("a", "t", "1", "3"), ("b", "t", "0.7", "x"), ("c", "t", "1.0", "NA"), ("d", "t", "", None)]
+    raw = spark.createDataFrame(rows, "id string, text string, generated string, prompt_id string")
+    got = {r["id"]: (r["generated"], r["prompt_id"]) for r in R.conform(raw, R.ESSAYS).collect()}
+    assert got == {"a": (1, 3), "b": (None, None), "c": (1, None), "d": (None, None)}
+    assert R.unreadable(raw, R.ESSAYS).first().asDict() == {"id": 0, "text": 0, "generated": 1, "prompt_id": 1}
+    W.write_csv(raw, f"{tmp_path}/train_essays.csv")
+    assert R.read_essays(spark, str(tmp_path)).count() == 4
+    with pytest.raises(ValueError, match="generated"):
+        R.read_essays(spark, str(tmp_path), strict=True)
+
+
+def test_too_many_tokens_to_suppress(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr("textprov.plans.generate.SUPPRESS_BYTES", 20)
+    W.write_csv(human_essays(spark, sf).drop("id").withColumnRenamed("text", "full_text"), f"{tmp_path}/essays.csv")
+    banned = spark.createDataFrame([("zebra",), ("ant",)], "tok string")
+    with pytest.raises(ValueError, match="suppress"):
+        run_generation(spark, f"{tmp_path}/essays.csv", f"{tmp_path}/out", lambda suppress: None, n=3, suppress=banned)

@@ -17,6 +17,8 @@ from textprov.sources.writers import write_records
 RECORD_KNOBS = ["temperature", "top_k", "guidance_scale", "penalty_alpha"]
 
 
+SUPPRESS_BYTES = 16 << 20
+
 def records(generated: DataFrame) -> DataFrame:
     """One record per draw from ``generated`` rows (one decoded ``response`` each).
 
@@ -68,11 +70,15 @@ def run_generation(
     essays and seed give the same records, however the input is cut into files.
     ``suppress`` is a table of tokens (column ``tok``, a part of a model's vocabulary as
     ``out_of_corpus`` gives it) that must not be generated: ``load(suppress=[...])``
-    gets them as a sorted list.
+    gets them as a sorted list. It may hold ``SUPPRESS_BYTES``; more is an error, since the
+    list goes to every task.
     """
     essays = materialize(with_content_id(read_human_essays(spark, essays_path)), "essays")
     plan = generation_plan(essays, n, n_gen, seed, lo, hi, spec)
     if suppress is not None:
+        size = suppress.agg(F.coalesce(F.sum(F.octet_length("tok") + 16), F.lit(0))).first()[0]
+        if size > SUPPRESS_BYTES:
+            raise ValueError(f"{size} bytes of tokens to suppress; at most {SUPPRESS_BYTES} go to every task")
         load = partial(load, suppress=[r[0] for r in suppress.select("tok").orderBy("tok").collect()])
     generated = materialize(batch_infer(plan, load, "response", "string"), "generated")
     write_records(records(generated), out_path)

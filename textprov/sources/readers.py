@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from textprov.functions.text import null_words
 from textprov.operators.rows import drop_if_present
@@ -49,21 +49,37 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def _read(df: DataFrame, field: T.StructField, words_are_null: bool) -> tuple[Column, Column]:
+    """A column as it stands, null words apart, and as the type of ``field``."""
+    given = F.col(field.name)
+    if words_are_null and dict(df.dtypes)[field.name] == "string":
+        given = null_words(given)
+    if field.dataType == T.StringType():
+        return given, given.cast("string")
+    number = given.try_cast("double")
+    if isinstance(field.dataType, T.IntegralType):
+        number = F.when(number == F.floor(number), number)  # 0.7 is no label
+    return given, number.try_cast(field.dataType)
+
+
 def conform(df: DataFrame, schema: T.StructType, words_are_null: bool = True) -> DataFrame:
-    """The columns of ``schema`` that ``df`` has, by name; unreadable numbers become null."""
-    columns = []
+    """The columns of ``schema`` that ``df`` has, by name.
+
+    What is no number becomes null, and so does a fraction where a whole number is asked
+    for; ``unreadable`` counts them.
+    """
+    fields = [f for f in schema if f.name in df.columns]
+    return df.select(*[_read(df, f, words_are_null)[1].alias(f.name) for f in fields])
+
+
+def unreadable(df: DataFrame, schema: T.StructType, words_are_null: bool = True) -> DataFrame:
+    """One row: for each column of ``schema`` that ``df`` has, how many values ``conform`` loses."""
+    counts = []
     for field in schema:
-        if field.name not in df.columns:
-            continue
-        c = F.col(field.name)
-        if words_are_null and dict(df.dtypes)[field.name] == "string":
-            c = null_words(c)
-        if field.dataType != T.StringType():
-            c = c.try_cast("double").try_cast(field.dataType)
-        else:
-            c = c.cast("string")
-        columns.append(c.alias(field.name))
-    return df.select(*columns)
+        if field.name in df.columns:
+            given, read = _read(df, field, words_are_null)
+            counts.append(F.count_if(given.isNotNull() & read.isNull()).alias(field.name))
+    return df.agg(*counts)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -72,15 +88,24 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_essays(
-    spark: SparkSession, data_dir: str, name: str = "train_essays", fmt: str = "auto"
+    spark: SparkSession, data_dir: str, name: str = "train_essays", fmt: str = "auto", strict: bool = False
 ) -> DataFrame:
-    """Essays from ``{name}.csv``, or from ``{name}.parquet`` if there is no CSV."""
+    """Essays from ``{name}.csv``, or from ``{name}.parquet`` if there is no CSV.
+
+    With ``strict``, values that cannot be read as their column's type are an error; it takes
+    a pass more.
+    """
     base = f"{data_dir.rstrip('/')}/{name}"
     if fmt == "auto":
         fmt = "csv" if path_exists(spark, f"{base}.csv") else "parquet"
+    raw = read_csv(spark, f"{base}.csv") if fmt == "csv" else spark.read.parquet(f"{base}.parquet")
+    if strict:
+        lost = {c: n for c, n in unreadable(raw, ESSAYS, fmt == "csv").first().asDict().items() if n}
+        if lost:
+            raise ValueError(f"values that cannot be read, by column: {lost}")
     if fmt == "csv":
-        return spread(conform(read_csv(spark, f"{base}.csv"), ESSAYS), "id")
-    return conform(spark.read.parquet(f"{base}.parquet"), ESSAYS, words_are_null=False)
+        return spread(conform(raw, ESSAYS), "id")
+    return conform(raw, ESSAYS, words_are_null=False)
 
 
 def read_split(spark: SparkSession, data_dir: str) -> DataFrame:
