@@ -6,7 +6,7 @@ import time
 import pytest
 
 from tests.llm.fixtures import SCHEMA
-from textprov.llm import chat
+from textprov.llm import chat, leaks
 from textprov.llm.features import WIDTH, text_features
 from textprov.llm.flat import pieces
 from textprov.llm.licenses import scan_licenses
@@ -79,3 +79,16 @@ def test_licences_of_texts_with_few_words(spark):
     rows = [(1, None, None, None, 1), (2, "", None, None, 1), (3, "one", None, None, 1), (4, "cc by", None, None, 1)]
     got = {r["doc_id"]: (r["n_words"], r["n_base"]) for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (2, 1)}
+
+
+def test_leaks_in_texts_that_repeat_themselves(spark, monkeypatch):
+    """Slices and remembered alignments change nothing; memory stays bounded."""
+    items = [(1, "a" * 120), (2, "ab " * 60), (3, "some words of an item that stand only once in any of the texts here")]
+    texts = ["a" * 3000, "ab " * 900, "x " + items[2][1] + " y", "aab " * 300, ""]
+    w = leaks.Windows.of(items, leaks.WINDOW, leaks.EDITS)
+    p, = pieces(pa.array(texts))
+    whole = sorted(set(leaks._hits(p, w)))
+    monkeypatch.setattr(leaks, "PAIRS", 2000)
+    monkeypatch.setattr(leaks, "KNOWN", 2)
+    assert sorted(set(leaks._hits(p, w))) == whole
+    assert {(own, int(w.items[win])) for own, win, *_ in whole} == {(0, 1), (1, 2), (2, 3)}

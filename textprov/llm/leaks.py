@@ -37,7 +37,9 @@ SHORT = 64  # bytes of the windows that find shorter excerpts
 STEP = 16  # bytes from one of those to the next
 EDITS = 0.07  # edits allowed, as a share of a window's bytes
 SHORTEST = 48  # bytes below which an item is looked for without edits
-BLOCK = 8 << 20
+BLOCK = 1 << 20  # bytes of items whose index goes to the tasks, about 150 times as much
+KNOWN = 1 << 12  # alignments that are remembered
+PAIRS = 1 << 20  # places of a text times places of windows that are looked at together
 SPREAD = 0x9E3779B97F4A7C15
 
 HIT = "start long, end long, edits int"
@@ -92,6 +94,8 @@ class Windows:
     place: np.ndarray
     short: np.ndarray  # which windows are of SHORT bytes
     marks: np.ndarray  # bitmap of the grams, to pass over most bytes of a corpus quickly
+    by_window: np.ndarray  # entries of the index by window,
+    first: np.ndarray  # and where each window's begin
 
     @staticmethod
     def of(items: list[tuple[int, str]], window: int, share: float) -> Windows | None:
@@ -132,6 +136,7 @@ class Windows:
         return Windows(
             np.array(owner), texts, edits_, size - Q + 1 - Q * edits_,
             every[order], where[order], place[order], np.array(short), marks,
+            np.argsort(where[order], kind="stable"), np.r_[0, np.cumsum([len(g) for g in grams])],
         )
 
 
@@ -179,62 +184,113 @@ def _align(pattern: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
     return int(start[at]) - k, n + at - k, int(cost[at])
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``lo[i] .. lo[i] + n[i] - 1`` for every i, one after the other."""
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def _hits(p: flat.Piece, w: Windows) -> Iterator[tuple[int, int, int, int, int]]:
-    """Text, window, start, end (bytes of the text) and edits of every hit in a piece."""
+    """Text, window, start, end (bytes of the text) and edits of every hit in a piece.
+
+    A window is looked at in a text only if enough of its q-grams stand anywhere in it,
+    each q-gram of the text counted once. Then places are multiplied by the window's, in
+    slices of at most about ``PAIRS``, so a text that repeats itself takes no more memory.
+    """
     clean, at = plain(p)
     grams = _grams(clean.data)
     if not len(grams):
         return
     seen = np.flatnonzero(w.marks[_mark(grams)])
+    owner = clean.owner(seen)
+    seen = seen[seen + Q <= clean.offsets[owner + 1]]
     lo = np.searchsorted(w.grams, grams[seen], "left")
     n = np.searchsorted(w.grams, grams[seen], "right") - lo
-    pos = np.repeat(seen, n)
-    if not len(pos):
+    seen, lo, n = seen[n > 0], lo[n > 0], n[n > 0]
+    if not len(seen):
+        return
+    owner = clean.owner(seen)
+    order = np.lexsort((lo, owner))
+    own, low = owner[order], lo[order]
+    once = order[np.r_[True, (own[1:] != own[:-1]) | (low[1:] != low[:-1])]]
+    cell = np.repeat(owner[once], n[once]) * len(w.texts) + w.window[_ranges(lo[once], n[once])]
+    cell, shared = np.unique(cell, return_counts=True)
+    cell = cell[shared >= np.maximum(w.least[cell % len(w.texts)], 1)]
+    known: dict = {}
+    for own in np.unique(cell // len(w.texts)):
+        windows = cell[cell // len(w.texts) == own] % len(w.texts)
+        entry = np.sort(w.by_window[_ranges(w.first[windows], w.first[windows + 1] - w.first[windows])])
+        places = seen[np.searchsorted(owner, own) : np.searchsorted(owner, own, "right")]
+        for some, low, high in _slices(places, grams, w, entry, windows):
+            yield from _banded(int(own), clean, at, grams, places, w, some, low, high, known)
+
+
+def _slices(places, grams, w: Windows, entry: np.ndarray, windows: np.ndarray):
+    """Entries of the index and a range of bands whose pairs are few enough at once."""
+    keys = w.grams[entry]
+    pairs = np.searchsorted(keys, grams[places], "right") - np.searchsorted(keys, grams[places], "left")
+    if pairs.sum() <= PAIRS or not len(places):
+        yield entry, None, None
         return
-    entry = np.repeat(lo, n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
-    window, place = w.window[entry], w.place[entry]
-    owner = np.repeat(clean.owner(seen), n)
-    # A band cannot share more q-grams than the text does, so most windows end here.
-    cell = owner * len(w.texts) + window
-    _, where, count = np.unique(cell, return_inverse=True, return_counts=True)
-    some = (count[where] >= w.least[window]) & (pos + Q <= clean.offsets[owner + 1])
-    if not some.any():
+    for win in windows:
+        own = entry[w.window[entry] == win]
+        step = 2 * int(w.edits[win]) + 1
+        first, last = int(places[0]) - len(w.texts[win]), int(places[-1])
+        bands = max(1, PAIRS // len(own) // step)
+        for low in range(first // step - 1, last // step + 1, bands):
+            yield own, low, low + bands
+
+
+def _banded(own: int, clean: flat.Piece, at, grams, places, w: Windows, entry, low, high, known: dict):
+    """Hits of one text among the bands ``low`` to ``high - 1``, or all bands."""
+    if low is not None:
+        win = int(w.window[entry[0]])
+        step = 2 * int(w.edits[win]) + 1
+        upto = (high + 1) * step + len(w.texts[win])
+        places = places[np.searchsorted(places, low * step) : np.searchsorted(places, upto)]
+    keys = w.grams[entry]
+    lo = np.searchsorted(keys, grams[places], "left")
+    n = np.searchsorted(keys, grams[places], "right") - lo
+    met = entry[_ranges(lo, n)]
+    if not len(met):
         return
-    pos, window, place, owner = pos[some], window[some], place[some], owner[some]
+    pos, window, place = np.repeat(places, n), w.window[met], w.place[met]
     # Bands of 4k + 2 diagonals, one every 2k + 1: 2k + 1 diagonals lie whole in one.
     step = 2 * w.edits[window] + 1
-    diagonal = pos - place + len(clean.data)
-    band = diagonal // step
-    both = lambda x, y: np.concatenate([x, y])
-    key = np.c_[both(owner, owner), both(window, window), both(band, band - 1)]
-    gram = both(place, place)
-    order = np.lexsort((gram, key[:, 2], key[:, 1], key[:, 0]))
-    key, gram = key[order], gram[order]
-    new = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
-    first = np.r_[True, (gram[1:] != gram[:-1])] | new  # a q-gram of the window counts once
-    group = np.cumsum(new) - 1
-    shared = np.bincount(group, weights=first).astype(int)
-    heads = key[new]
-    for g in np.flatnonzero(shared >= np.maximum(w.least[heads[:, 1]], 1)):
-        own, win, b = heads[g]
+    band = (pos - place) // step
+    # One number for window, band and place; a q-gram of the window counts once in a band.
+    base = int(band.min()) - 1
+    span, width = int(band.max()) - base + 1, int(place.max()) + 1
+    code = (window * span + band - base) * width + place
+    code = np.unique(np.concatenate([code, code - width]))
+    head, shared = np.unique(code // width, return_counts=True)
+    heads = np.c_[head // span, head % span + base]
+    enough = shared >= np.maximum(w.least[heads[:, 0]], 1)
+    if low is not None:
+        enough &= (heads[:, 1] >= low) & (heads[:, 1] < high)
+    for g in np.flatnonzero(enough):
+        win, b = heads[g]
         k = int(w.edits[win])
         wide = 2 * k + 1
         text = w.texts[win]
-        left = int(b) * wide - len(clean.data) - k
-        right = (int(b) + 2) * wide - len(clean.data) + k + len(text)
-        left = max(left, int(clean.offsets[own]))
-        right = min(right, int(clean.offsets[own + 1]))
+        left = max(int(b) * wide - k, int(clean.offsets[own]))
+        right = min((int(b) + 2) * wide + k + len(text), int(clean.offsets[own + 1]))
         stretch = clean.data[left:right].tobytes()
         exact = stretch.find(text)
         if exact >= 0:
             found = exact, exact + len(text), 0
-        else:
-            found = _align(text, stretch, k) if k else None
+        elif not k:
+            found = None
+        else:  # a text that repeats itself has the same stretch again and again
+            if len(known) >= KNOWN:
+                known.clear()
+            if (win, stretch) not in known:
+                known[win, stretch] = _align(text, stretch, k)
+            found = known[win, stretch]
         if found:
             s, e, cost = found
             s, e = max(left + s, left), min(left + e, right)
             s, e = s + (clean.data[s] == 32), e - (clean.data[e - 1] == 32)
-            yield int(own), int(win), int(at[s]), int(at[max(e - 1, s)]) + 1, cost
+            yield own, int(win), int(at[s]), int(at[max(e - 1, s)]) + 1, cost
 
 
 def _merged(hits, w: Windows) -> list[tuple[int, int, int, int, int]]:
@@ -305,7 +361,8 @@ def find_leaks(
     Defined results: null and empty texts hold nothing, null and empty items are not
     looked for; equal rows give equal hits, once for each row; items with equal texts
     are each reported; ids may be null; an empty table on either side gives an empty
-    result; other columns are not looked at.
+    result; other columns are not looked at. A text may be very long and repeat itself:
+    memory is in proportion to its length and its hits.
     """
     schema = T.StructType([
         T.StructField(id, docs.schema[id].dataType), T.StructField(item_id, T.LongType()),
