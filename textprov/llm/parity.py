@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textprov.llm import flat
 from textprov.llm.arrow import lean
-from textprov.llm.bitmaps import key_bitmap, marked
+from textprov.llm.bitmaps import key_bitmap, marked, split
 from textprov.llm.components import components
 from textprov.llm.flat import U, mix64
 from textprov.session import materialize
@@ -266,7 +266,12 @@ def _sketch_filter(edges: DataFrame, sketches: DataFrame, rule: Similarity) -> D
 
 
 def _verify(edges: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
-    """Edges whose sets reach the similarity, from the texts themselves."""
+    """Edges whose sets reach the similarity, from the texts themselves.
+
+    Texts on no edge stay where they are.
+    """
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    _, texts = split(texts.select("node", "text"), "node", key_bitmap(ends, "node"))
     pairs = (
         edges.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
