@@ -1,38 +1,42 @@
-"""Repeated runs of lines.
-
-``remove_repeated_runs`` finds every run. A run has two lines and ``LEAST`` bytes or more.
-From every line the shortest run that starts there is taken, and to every line the shortest
-that ends there: two windows a line at most, and any longer run is a union of them. So a
-line goes if it lies in any run that stands at an earlier place too (least id, then place),
-wherever the run begins and whatever is around it. The first place of a line is never
-after that of a run it lies in, so every line still stands somewhere.
-
-Digests find candidates: a pre-aggregated count of narrow rows. Then the bytes decide: the
-windows whose digests repeat are grouped by their bytes, and only what is equal byte by
-byte is removed.
-
-``remove_repeated_chunks`` compares less: only chunks that do not overlap, cut where their
-content says so. Every line is hashed; where the hash rolled over two lines falls on one of
-``MEAN`` values, a chunk may end. Borders depend on nearby lines alone. A chunk has two
-lines or more; passages of few lines that hold no whole chunk are missed.
-
-Texts travel only if they may lose something; a bitmap of fixed size lets the others
-pass in place.
+"""Repeated runs of lines, by content-defined chunks.
+
+Every line is hashed; where the hash rolled over two lines falls on one of ``MEAN`` values,
+a chunk of two lines or more may end. Borders depend on nearby lines alone, so a passage is
+cut alike wherever it stands. Chunks that repeat, byte by byte, go from all places but the
+first (least id, then place): ``remove_repeated_chunks``.
+
+A repeated run need not begin and end with a chunk, and a short one may hold none.
+``remove_repeated_runs`` therefore goes on line by line, across the borders of chunks and
+inside chunks that stay. From every line the shortest run of two lines and ``LEAST`` bytes
+that starts there is taken, and to every line the shortest that ends there: two windows a
+line at most, and any longer run is a union of them. Windows inside a chunk that goes are
+left out: their lines go anyway, and the chunk's first place, which is earlier, has them
+too. So a line goes if it lies in any run that stands at an earlier place, wherever the run
+begins, and every line still stands somewhere.
+
+Chunks and windows are found alike. Digests find candidates: a pre-aggregated count of
+narrow rows. Then the bytes decide: the spans whose digests repeat are grouped by their
+bytes, and only what is equal byte by byte is removed.
+
+Texts travel only if they may lose something; bitmaps of fixed size let the others pass in
+place. A bitmap that marks too much only lets more windows be counted.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textprov.llm import flat
 from textprov.llm.arrow import BATCH_BYTES, lean
 from textprov.llm.bitmaps import key_bitmap, marked
-from textprov.llm.flat import U
+from textprov.llm.flat import U, mix64
 from textprov.session import materialize
 
 MEAN = 2  # one line in so many may end a chunk
@@ -84,14 +88,95 @@ def window_spans(p: flat.Piece, least: int = LEAST):
     return starts, ends, owner, first, last
 
 
-def _windows(texts: DataFrame, least: int, kind: str, only=None) -> DataFrame:
-    """``digest`` of each window; with ``only`` of the marked, with ``check``, ``doc, number``.
+class Spans(NamedTuple):
+    """Runs of lines of a piece: their texts, bytes and lines, lines counted from the text's first."""
 
-    ``kind`` "digests" gives no more, "places" the rest, "bytes" also ``id`` and ``bytes``.
+    owner: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    def take(self, at: np.ndarray) -> Spans:
+        return Spans(*(x[at] for x in self))
+
+    def digests(self, p: flat.Piece, seed: int = 0) -> np.ndarray:
+        view = memoryview(p.data)
+        each = [xxhash.xxh3_64_intdigest(view[s:e], seed) for s, e in zip(self.start, self.stop)]
+        return np.array(each, U).view(np.int64)
+
+    def number(self) -> np.ndarray:
+        """One number a run, in the order of their lines; ``lines_of`` reads it."""
+        return self.first << 32 | self.last
+
+
+def lines_of(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return number >> 32, number & 0xFFFFFFFF
+
+
+def _spans(starts, ends, owner, first, last) -> Spans:
+    top = np.searchsorted(owner, owner)  # first line of each line's text
+    return Spans(owner[first], starts[first], ends[last], first - top[first], last - top[first])
+
+
+def chunks_of(p: flat.Piece, mean: int, least: int) -> Spans:
+    """Chunks of two lines and ``least`` bytes or more."""
+    starts, ends, owner, first = chunk_spans(p, mean)
+    every = _spans(starts, ends, owner, first[:-1], first[1:] - 1)
+    return every.take((every.last > every.first) & (every.stop - every.start >= least))
+
+
+def windows_of(p: flat.Piece, least: int) -> Spans:
+    return _spans(*window_spans(p, least))
+
+
+def _docs(ids: list, p: flat.Piece, owner: np.ndarray) -> np.ndarray:
+    """``flat.row_key`` of each span's text."""
+    which, back = np.unique(owner, return_inverse=True)
+    keys = [flat.row_key(ids[p.first + i], p.text(i)) for i in which.tolist()]
+    return np.array(keys, np.int64)[back]
+
+
+def _spots(docs: np.ndarray, spans: Spans) -> np.ndarray:
+    """One number for each place of a span."""
+    return mix64(docs.view(U) ^ mix64(spans.number())).view(np.int64)
+
+
+def _outside(spans: Spans, chunks: Spans) -> np.ndarray:
+    """Which spans lie in none of the chunks; chunks do not overlap and are in order."""
+    if not len(chunks.start):
+        return np.ones(len(spans.start), bool)
+    at = np.searchsorted(chunks.start, spans.start, side="right") - 1
+    return (at < 0) | (spans.stop > chunks.stop[at]) | (spans.owner != chunks.owner[at])
+
+
+class Gone(NamedTuple):
+    """Chunks that go, told apart in tasks: their digest repeats, their place does not stay."""
+
+    repeated: Broadcast
+    staying: Broadcast
+
+    def chunks(self, p: flat.Piece, ids: list, mean: int, least: int) -> Spans:
+        chunks = chunks_of(p, mean, least)
+        chunks = chunks.take(marked(self.repeated.value, chunks.digests(p)))
+        spots = _spots(_docs(ids, p, chunks.owner), chunks)
+        return chunks.take(~marked(self.staying.value, spots))
+
+
+Find = Callable[[flat.Piece, list], Spans]
+
+
+def _rows(texts: DataFrame, find: Find, kind: str, only: Broadcast | None = None) -> DataFrame:
+    """``digest`` of each span; with ``only`` of the marked, with ``check, doc, number``.
+
+    ``kind`` "digests" gives no more, "places" the rest and ``spot``, "bytes" also ``id``
+    and ``bytes``.
     """
     schema = "digest long"
     if kind != "digests":
         schema += ", check long, doc long, number long"
+    if kind == "places":
+        schema += ", spot long"
     if kind == "bytes":
         schema += f", id {texts.schema['id'].dataType.simpleString()}, bytes binary"
 
@@ -99,141 +184,108 @@ def _windows(texts: DataFrame, least: int, kind: str, only=None) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_pylist()
             for p in flat.pieces(b.column(1)):
-                starts, ends, owner, first, last = window_spans(p, least)
-                own, lo, hi = owner[first], starts[first], ends[last]
-                view = memoryview(p.data)
-                digest = np.array(
-                    [xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(lo, hi)], U
-                ).view(np.int64)
+                spans = find(p, ids)
+                digest = spans.digests(p)
                 if kind == "digests":
                     yield pa.RecordBatch.from_arrays([pa.array(digest)], names=["digest"])
                     continue
                 every = np.flatnonzero(marked(only.value, digest))
-                number = np.arange(len(own)) - np.searchsorted(own, own)
-                docs = {i: flat.row_key(ids[p.first + i], p.text(i)) for i in set(own[every].tolist())}
+                spans, digest = spans.take(every), digest[every]
+                docs = _docs(ids, p, spans.owner)
                 # Windows overlap, so their bytes may be many times the text's.
-                size = np.cumsum((hi - lo)[every]) // BATCH_BYTES
-                for at in np.split(every, np.flatnonzero(size[1:] != size[:-1]) + 1):
-                    span = list(zip(lo[at], hi[at]))
-                    check = [xxhash.xxh3_64_intdigest(view[s:e], 1) for s, e in span]
+                size = np.cumsum(spans.stop - spans.start) // BATCH_BYTES
+                for at in np.split(np.arange(len(every)), np.flatnonzero(size[1:] != size[:-1]) + 1):
+                    own = spans.take(at)
                     cols = {
                         "digest": pa.array(digest[at]),
-                        "check": pa.array(np.array(check, U).view(np.int64)),
-                        "doc": pa.array([docs[i] for i in own[at].tolist()], pa.int64()),
-                        "number": pa.array(number[at]),
+                        "check": pa.array(own.digests(p, 1)),
+                        "doc": pa.array(docs[at]),
+                        "number": pa.array(own.number()),
                     }
+                    if kind == "places":
+                        cols["spot"] = pa.array(_spots(docs[at], own))
                     if kind == "bytes":
-                        cols["id"] = b.column(0).take(pa.array(p.first + own[at]))
-                        cols["bytes"] = pa.array([view[s:e].tobytes() for s, e in span], pa.binary())
+                        view = memoryview(p.data)
+                        data = [view[s:e].tobytes() for s, e in zip(own.start, own.stop)]
+                        cols["id"] = b.column(0).take(pa.array(p.first + own.owner))
+                        cols["bytes"] = pa.array(data, pa.binary())
                     yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return texts.mapInArrow(run, schema)
 
 
-def repeated_windows(
-    df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST
-) -> DataFrame:
-    """``doc, numbers``: which windows of a row stand earlier too; ``doc`` is ``flat.row_key``."""
-    texts = lean(df).select(F.col(id).alias("id"), F.col(text).alias("text"))
+def _repeated(texts: DataFrame, find: Find) -> DataFrame:
+    """``digest, check`` of the spans that stand twice, and ``_doc, _number`` of the first place."""
     twice = (
-        _windows(texts, least, "digests").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+        _rows(texts, find, "digests").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("digest")
     )
     bitmap = key_bitmap(materialize(twice, "digests"), "digest")
-    same = _windows(texts, least, "bytes", bitmap).groupBy("digest", "check", "bytes").agg(
+    same = _rows(texts, find, "bytes", bitmap).groupBy("digest", "check", "bytes").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "doc", "number")).alias("keep")
     )
-    # One group of bytes for both digests, or else the window is left alone.
+    # One group of bytes for both digests, or else the span is left alone.
     alone = same.groupBy("digest", "check").agg(
         F.count(F.lit(1)).alias("groups"), F.max("n").alias("n"), F.first("keep").alias("keep")
     ).where("groups = 1 and n > 1").select(
         "digest", "check", F.col("keep.doc").alias("_doc"), F.col("keep.number").alias("_number")
     )
-    alone = materialize(alone, "windows")
-    met = _windows(texts, least, "places", key_bitmap(alone, "digest"))
-    gone = met.join(alone, ["digest", "check"]).where("doc <> _doc or number <> _number")
+    return materialize(alone, "repeated")
+
+
+def _places(texts: DataFrame, find: Find, repeated: DataFrame, bitmap: Broadcast) -> DataFrame:
+    """``doc, number, spot, gone`` of every span that the bitmap marks."""
+    again = F.col("_doc").isNotNull() & ((F.col("doc") != F.col("_doc")) | (F.col("number") != F.col("_number")))
+    met = _rows(texts, find, "places", bitmap).join(repeated, ["digest", "check"], "left")
+    return met.select("doc", "number", "spot", again.alias("gone"))
+
+
+def _by_doc(gone: DataFrame) -> DataFrame:
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
-def _chunks(texts: DataFrame, mean: int, least: int, only=None) -> DataFrame:
-    """``digest, check, id, doc, number`` of each chunk; with ``only`` the marked, with bytes."""
-    kind = texts.schema["id"].dataType.simpleString()
+def _repeated_chunks(texts: DataFrame, mean: int, least: int) -> tuple[DataFrame, Gone]:
+    """``doc, number`` of the chunks that go, and the means to know them in tasks."""
 
-    def run(batches):
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for p in flat.pieces(b.column(1)):
-                starts, ends, owner, first = chunk_spans(p, mean)
-                lines = np.diff(first)
-                own = owner[first[:-1]]
-                lo, hi = starts[first[:-1]], ends[first[1:] - 1]
-                number = np.arange(len(own)) - np.searchsorted(own, own)
-                at = np.flatnonzero((lines > 1) & (hi - lo >= least))
-                view = memoryview(p.data)
-                digest = np.array(
-                    [xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(lo[at], hi[at])], U
-                ).view(np.int64)
-                if only is not None:
-                    keep = marked(only.value, digest)
-                    at, digest = at[keep], digest[keep]
-                if not len(at):
-                    continue
-                docs = {i: flat.row_key(ids[p.first + i], p.text(i)) for i in set(own[at].tolist())}
-                cols = {
-                    "digest": pa.array(digest),
-                    "id": b.column(0).take(pa.array(p.first + own[at])),
-                    "doc": pa.array([docs[i] for i in own[at].tolist()], pa.int64()),
-                    "number": pa.array(number[at]),
-                }
-                if only is not None:
-                    data = [view[s:e].tobytes() for s, e in zip(lo[at], hi[at])]
-                    cols["bytes"] = pa.array(data, pa.binary())
-                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-    schema = f"digest long, id {kind}, doc long, number long"
-    return texts.mapInArrow(run, schema + (", bytes binary" if only is not None else ""))
+    def find(p: flat.Piece, ids: list) -> Spans:
+        return chunks_of(p, mean, least)
+
+    repeated = _repeated(texts, find)
+    bitmap = key_bitmap(repeated, "digest")
+    placed = materialize(_places(texts, find, repeated, bitmap), "chunks")
+    staying = key_bitmap(placed.where("not gone"), "spot")
+    return placed.where("gone").select("doc", "number"), Gone(bitmap, staying)
+
+
+def _texts(df: DataFrame, id: str, text: str) -> DataFrame:
+    return lean(df).select(F.col(id).alias("id"), F.col(text).alias("text"))
 
 
 def repeated_chunks(
     df: DataFrame, id: str = "doc_id", text: str = "text", mean: int = MEAN, least: int = LEAST
 ) -> DataFrame:
     """``doc, numbers``: which chunks of a row are removed; ``doc`` is ``flat.row_key``."""
-    texts = lean(df).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    twice = (
-        _chunks(texts, mean, least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("digest")
-    )
-    twice = materialize(twice, "digests")
-    met = _chunks(texts, mean, least, key_bitmap(twice, "digest")).join(twice, "digest")
-    met = materialize(met.withColumn("check", F.xxhash64("bytes")), "chunks")
-    same = met.groupBy("digest", "check", "bytes").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "doc", "number")).alias("keep")
-    )
-    # One group of bytes for both digests, or else the chunk is left alone.
-    alone = same.groupBy("digest", "check").agg(
-        F.count(F.lit(1)).alias("groups"), F.max("n").alias("n"), F.first("keep").alias("keep")
-    ).where("groups = 1 and n > 1").select("digest", "check", "keep")
-    gone = met.drop("bytes").join(alone, ["digest", "check"]).where(
-        "doc <> keep.doc or number <> keep.number"
-    )
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
-
+    return _by_doc(_repeated_chunks(_texts(df, id, text), mean, least)[0])
 
-def _chunk_lines(p: flat.Piece, mean: int):
-    starts, ends, _, first = chunk_spans(p, mean)
-    return starts, ends, first[:-1], first[1:] - 1
 
+def repeated_runs(
+    df: DataFrame, id: str = "doc_id", text: str = "text", mean: int = MEAN, least: int = LEAST
+) -> DataFrame:
+    """``doc, numbers``: which chunks and windows of a row stand earlier too."""
+    texts = _texts(df, id, text)
+    chunks, gone = _repeated_chunks(texts, mean, least)
 
-def _window_lines(p: flat.Piece, least: int):
-    starts, ends, _, first, last = window_spans(p, least)
-    return starts, ends, first, last
+    def find(p: flat.Piece, ids: list) -> Spans:
+        windows = windows_of(p, least)
+        return windows.take(_outside(windows, gone.chunks(p, ids, mean, least)))
 
+    repeated = _repeated(texts, find)
+    windows = _places(texts, find, repeated, key_bitmap(repeated, "digest"))
+    return _by_doc(chunks.unionByName(windows.where("gone").select("doc", "number")))
 
-def _cut_out(df: DataFrame, gone: DataFrame, id: str, text: str, spans) -> DataFrame:
-    """All rows and columns of ``df`` without the spans of lines that ``gone`` numbers.
 
-    ``spans`` gives line starts, line ends, first and last line of each span of a text.
-    """
+def _cut_out(df: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:
+    """All rows and columns of ``df`` without the runs of lines that ``gone`` numbers."""
     bitmap = key_bitmap(gone, "doc")
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed_lines")]
     at, who = kept.index(text), kept.index(id)
@@ -276,8 +328,9 @@ def _cut_out(df: DataFrame, gone: DataFrame, id: str, text: str, spans) -> DataF
                 if not drop:
                     continue
                 p = next(flat.pieces(pa.array([texts[i]], pa.string())))
-                starts, ends, first, last = spans(p)
-                out = flat.covered(first[drop], last[drop] + 1, len(starts))
+                starts, ends, _ = flat.lines(p)
+                first, last = lines_of(np.array(drop, np.int64))
+                out = flat.covered(first, last + 1, len(starts))
                 data = p.data.tobytes()
                 texts[i] = b"\n".join(
                     data[s:e] for s, e in zip(starts[~out], ends[~out])
@@ -315,16 +368,22 @@ def remove_repeated_chunks(
     empty result.
     """
     gone = materialize(repeated_chunks(df, id, text, mean, least), "gone")
-    return _cut_out(df, gone, id, text, partial(_chunk_lines, mean=mean))
+    return _cut_out(df, gone, id, text)
 
 
 def remove_repeated_runs(
-    df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST
+    df: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    least: int = LEAST,
+    mean: int = MEAN,
 ) -> DataFrame:
     """All rows and columns, every repeated run of lines cut out of ``text``; adds counts of lines.
 
     Columns and defined results are those of ``remove_repeated_chunks``. A run that repeats
-    inside one text, also with an overlap, stays at its first place there.
+    inside one text, also with an overlap, stays at its first place there. The result does
+    not depend on ``mean``: chunks that repeat are removed first, and the runs that chunks
+    miss are found line by line.
     """
-    gone = materialize(repeated_windows(df, id, text, least), "gone")
-    return _cut_out(df, gone, id, text, partial(_window_lines, least=least))
+    gone = materialize(repeated_runs(df, id, text, mean, least), "gone")
+    return _cut_out(df, gone, id, text)
