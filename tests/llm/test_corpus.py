@@ -319,6 +319,30 @@ def test_every_repeated_run_of_lines_goes(spark, docs, rows, none):
     assert chunks.remove_repeated_runs(none).count() == 0
 
 
+def test_runs_do_not_depend_on_the_chunks(spark):
+    r = random.Random(14)
+    whole = "\n".join(sentence(r, 8) for _ in range(30))
+    rows = [(i, whole) for i in range(12)]  # copies go as chunks
+    rows += [(20 + i, f"{sentence(r, 7)}\n" + "\n".join(whole.split("\n")[i : i + 5])) for i in range(20)]
+    rows += [(50 + i, whole.split("\n")[3 * i] + "\n" + whole) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = without_runs(rows, chunks.LEAST)
+    for mean in (2, 3, 7):
+        got = chunks.remove_repeated_runs(df, mean=mean).collect()
+        assert Counter((x["doc_id"], x["text"], x["n_removed_lines"]) for x in got) == want
+    texts = df.selectExpr("doc_id as id", "text")
+    cut, gone = chunks._repeated_chunks(texts, 2, chunks.LEAST)
+    assert cut.count() > 50
+    ids, first = pa.array([0, 5]), pa.array([whole, whole])
+    p = next(flat.pieces(first))
+    found = gone.chunks(p, ids.to_pylist(), 2, chunks.LEAST)
+    assert set(found.owner.tolist()) == {1}  # the first copy keeps its chunks
+    windows = chunks.windows_of(p, chunks.LEAST)
+    left = windows.take(chunks._outside(windows, found))
+    assert (left.owner == 0).sum() == (windows.owner == 0).sum()
+    assert (left.owner == 1).sum() < (windows.owner == 1).sum()
+
+
 def test_queries_remove_two_shared_lines(spark, tmp_path):
     from textprov.llm.queries import op7_line_chunks
 

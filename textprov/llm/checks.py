@@ -357,3 +357,46 @@ scores AS (
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
   SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
   FROM scores JOIN sized USING (r) WHERE score > 0) WHERE rank <= 10"""
+
+# Every run of two lines and 40 bytes that stands at an earlier place goes. It is enough to
+# look at the shortest run from each line and the shortest to each line.
+LINE_RUNS = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL
+),
+placed AS (
+  SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS stop FROM lines
+),
+spots AS (SELECT doc_id, i, line, stop - strlen(line) AS start, stop FROM placed),
+pairs AS (
+  SELECT a.doc_id, a.i AS lo, b.i AS hi FROM spots a JOIN spots b
+  ON a.doc_id = b.doc_id AND b.i > a.i AND b.i <= a.i + 41 AND b.stop - a.start >= 40
+),
+windows AS (
+  SELECT doc_id, lo, min(hi) AS hi FROM pairs GROUP BY doc_id, lo
+  UNION
+  SELECT doc_id, max(lo) AS lo, hi FROM pairs GROUP BY doc_id, hi
+),
+held AS (
+  SELECT w.doc_id, w.lo, w.hi, string_agg(s.line, chr(10) ORDER BY s.i) AS run
+  FROM windows w JOIN spots s ON s.doc_id = w.doc_id AND s.i BETWEEN w.lo AND w.hi
+  GROUP BY w.doc_id, w.lo, w.hi
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, lo) AS place FROM held
+),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(lo, hi)) AS i FROM ranked WHERE place > 1
+),
+cut AS (
+  SELECT s.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+         coalesce(string_agg(s.line, chr(10) ORDER BY s.i) FILTER (g.i IS NULL), '') AS kept
+  FROM spots s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
+       coalesce(n_removed, 0)::BIGINT AS n_removed_lines,
+       length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256
+FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id
+"""

@@ -76,7 +76,7 @@ def op6_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(talk.unionByName(own)))
 
 
-@query("op7_line_chunks")
+@query("op7_line_chunks", checks.LINE_RUNS)
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_runs(docs).select(
