@@ -44,6 +44,7 @@ from textprov.session import materialize
 TILE = 512
 PAIRS = 1 << 18  # pairs looked at in one go
 WORDS = 1 << 20  # words of sketches compared in one go
+SKETCH = 1024  # least bits of a sketch
 LISTED = 64  # keys of a node that travel with it, to report a pair once
 
 
@@ -150,12 +151,13 @@ def keys_of(s: np.ndarray, k: int, rule: Similarity) -> np.ndarray:
 
 
 def sketch_of(s: np.ndarray, k: int, rule: Similarity) -> bytes:
-    """The sketch that two sets of band ``k`` are compared by: two bits a shingle or more.
+    """The sketch that two sets of band ``k`` are compared by.
 
-    Unrelated sets of n shingles then differ in 0.86 n bits and sets of similarity 0.7 in
-    0.3 n, where 0.8 allows 0.22 n; the few that pass by chance are verified like all others.
+    It has two bits a shingle or more: unrelated sets of n shingles then differ in 0.86 n
+    bits and sets of similarity 0.7 in 0.3 n, where 0.8 allows 0.22 n. Small sets, whose
+    distances scatter more, get ``SKETCH`` bits. Pairs that pass by chance are verified.
     """
-    bits = 64 * -(-2 * rule.band(k)[1] // 64)
+    bits = max(SKETCH, 64 * -(-2 * rule.band(k)[1] // 64))
     _, _, x = _parts(s, k, 1)
     at = ((x >> U(32)) * U(bits) >> U(32)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
