@@ -461,9 +461,9 @@ def similar_groups(
     )
     # One text stands for each node that met another.
     wanted = held.select("node").distinct()
-    chosen = (
-        nodes.join(wanted, "node").groupBy("node").agg(F.min(F.struct("id")).alias("s"))
-    ).select("node", F.col("s.id").alias("id"))
+    each = nodes.join(wanted, "node").groupBy("node", "id").agg(F.count(F.lit(1)).alias("n"))
+    chosen = each.groupBy("node").agg(F.min(F.struct("id", "n")).alias("s"))
+    chosen = chosen.select("node", F.col("s.id").alias("id"), F.col("s.n").alias("n"))
     chosen = materialize(chosen, "chosen")
     bitmap = key_bitmap(chosen, "id")
 
@@ -487,7 +487,11 @@ def similar_groups(
         chosen, fetched["id"].eqNullSafe(chosen["id"]) & (fetched["node"] == chosen["node"])
     ).select(fetched["node"], "text")
     # Rows that repeat an id and a text are the same text: keep one of each node.
-    fetched = materialize(fetched.dropDuplicates(["node"]), "texts")
+    twice = chosen.where("n > 1")
+    if not twice.isEmpty():
+        once, again = split(fetched, "node", key_bitmap(twice, "node"))
+        fetched = once.unionByName(again.dropDuplicates(["node"]))
+    fetched = materialize(fetched, "texts")
     sketches = materialize(_sketches(fetched.select("node", "text"), rule), "sketches")
 
     # Every node against the smallest of its key: one comparison a node and key.
