@@ -361,3 +361,17 @@ def test_series_with_long_runs(spark):
     for v in values[1:]:
         ema = 0.01 * v + 0.99 * ema
     assert series.ema(df, 0.99).first()["ema"] == pytest.approx(ema)
+
+
+@pytest.mark.parametrize("plan", [lambda df: B.prompt_batches(df, 8, 5), lambda df: B.balanced_batches(df, 8, 5)])
+def test_places_of_a_batch_are_drawn_in_many_tasks_by_keys_made_once(hot, plan, monkeypatch):
+    whole = {tuple(r) for r in plan(hot).collect()}
+    monkeypatch.setattr(B, "PLACES_PER_TASK", 512)
+    made = plan(hot)
+    lines = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # Plans are printed from the top: keys stand once, below the places, above the deal of batches.
+    (keys,) = [i for i, line in enumerate(lines) if "AS _keys" in line]
+    places = max(i for i, line in enumerate(lines[:keys]) if "Generate explode(" in line)
+    dealt = next(i for i, line in enumerate(lines) if i > keys and "RepartitionByExpression [batch_id" in line)
+    assert places < keys < dealt and lines[dealt].rstrip().endswith(", 6")
+    assert {tuple(r) for r in made.collect()} == whole

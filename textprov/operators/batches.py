@@ -51,20 +51,36 @@ def _copies(requests: int, n_prompts: int, n: Column) -> Column:
     return F.greatest(F.ceil(per_text), F.lit(1)).cast("int")
 
 
-def _pick(batches: DataFrame, prompts: DataFrame, n_prompts: int, seed) -> DataFrame:
-    """One uniformly drawn prompt for each batch; no batch if there is no prompt."""
+# Places that a task draws. Batches are few bytes each, so left to their size they would
+# all be drawn in one task.
+PLACES_PER_TASK = 1 << 14
+
+
+def _pick(batches: DataFrame, prompts: DataFrame, n_prompts: int, n_places: int, seed) -> DataFrame:
+    """One uniformly drawn prompt for each batch; no batch if there is no prompt.
+
+    The batches are dealt by their number, ``PLACES_PER_TASK`` of all their places to a task,
+    however few prompts there are.
+    """
     number = F.floor(uniform(seed, "pick", F.col("batch_id")) * F.lit(n_prompts)).cast("bigint")
     numbered = shuffled_positions(prompts, "prompt_id", f"{seed}:prompts", name="prompt_no")
-    return batches.withColumn("prompt_no", number).join(numbered, "prompt_no")
+    if n_prompts <= SMALL_KEYS:
+        numbered = F.broadcast(numbered)
+    picked = batches.withColumn("prompt_no", number).join(numbered, "prompt_no")
+    return picked.repartition(max(1, -(-n_places // PLACES_PER_TASK)), "batch_id")
 
 
 def _fill(picked: DataFrame, k: Column, ranked: DataFrame, group: list[str], seed, *tag) -> DataFrame:
     """``k`` drawn texts of each picked group of ``n``: the first places of a permutation of
     its ranks that belongs to the batch. ``picked`` and the group sizes hold ``n`` and ``copies``."""
     parts = [*tag, F.col("batch_id")]
-    asked = picked.select(
-        "batch_id", *group, "n", "copies",
-        permutation_keys(F.col("n"), seed, *parts).alias("_keys"),
+    # The keys are made below the explode, once for each batch: above it they would be made
+    # again for every place, and for every round of its permutation.
+    keyed = picked.select(
+        "batch_id", *group, "n", "copies", permutation_keys(F.col("n"), seed, *parts).alias("_keys")
+    )
+    asked = keyed.select(
+        "batch_id", *group, "n", "copies", "_keys",
         F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("i"),
     ).select(
         "batch_id", *group, "i",
@@ -109,7 +125,7 @@ def prompt_batches(
     ranked = shuffled_positions(rows, id, f"{seed}:rank", by=["prompt_id"], name="rank")
     k = F.least(F.lit(batch_size), F.lit(n_rows) - F.col("batch_id") * batch_size).cast("bigint")
     filled = _fill(
-        _pick(batches, prompts, n_prompts, key),
+        _pick(batches, prompts, n_prompts, n_rows, key),
         k,
         _repeat(ranked, prompts, ["prompt_id"], id),
         ["prompt_id"],
@@ -164,7 +180,7 @@ def balanced_batches(
         prompts.select("prompt_id", halves.alias("h")).select("prompt_id", "h.*").withColumn("copies", copies)
     )
     picked = (
-        _pick(batches, prompts, n_prompts, seed)
+        _pick(batches, prompts, n_prompts, 2 * k * n_batches, seed)
         .select("batch_id", "prompt_id", halves.alias("h"))
         .select("batch_id", "prompt_id", "h.*")
         .withColumn("copies", copies)
