@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from textprov.models.embedder import embed, fit_embedder
 from textprov.operators.batches import balanced_batches, fetch_rows, prompt_batches
@@ -29,8 +29,10 @@ def contrastive_losses(
 def ranking_losses(scored: DataFrame, batch_size: int = 32, p: float = 0.8, seed=42) -> DataFrame:
     """Ranking loss of prompt batches; ``scored`` has ``id, prompt_id, generated, logit``.
 
-    Batches have a fixed size, so each is a cell of its own.
+    Batches have a fixed size, so each is a cell of its own. The scores are stored: the plan
+    reads them several times and the rows are fetched from them.
     """
-    plan = prompt_batches(scored, batch_size, seed, p)
-    rows = fetch_rows(plan, scored.select("id", F.col("generated"), "logit"))
+    stored = materialize(scored.select("id", "prompt_id", "generated", "logit"), "scored")
+    plan = materialize(prompt_batches(stored, batch_size, seed, p), "batches")
+    rows = fetch_rows(plan, stored.select("id", "generated", "logit"))
     return ranking_loss(rows, "batch_id", n_cells=1)
