@@ -375,3 +375,30 @@ def test_places_of_a_batch_are_drawn_in_many_tasks_by_keys_made_once(hot, plan,
     dealt = next(i for i, line in enumerate(lines) if i > keys and "RepartitionByExpression [batch_id" in line)
     assert places < keys < dealt and lines[dealt].rstrip().endswith(", 6")
     assert {tuple(r) for r in made.collect()} == whole
+
+
+def test_arrow_batches_of_models_and_tokens_are_cut_by_bytes(spark):
+    from textprov.models.sparse import hashed_rows
+    from textprov.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("word "), 2000).alias("text"))
+    vocab = spark.createDataFrame([("word", 1, 0)], "tok string, n long, tok_id int")
+    makers = (
+        lambda: hashed_rows(texts, 64, "text", ["id"]),
+        lambda: K.encode(texts.select("id", words("text").alias("t")), vocab, "t", K.NO_SPECIALS),
+    )
+    for make in makers:
+        spark.conf.unset(key)
+        made = make()
+        assert spark.conf.get(key) == str(BATCH_BYTES)
+        assert made.count() == 3000
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    seen = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(seen) > 3 and max(seen) < 2 * BATCH_BYTES

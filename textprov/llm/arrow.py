@@ -2,16 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from textprov.session import BATCH_BYTES, lean
 
-BATCH_BYTES = 4 << 20
-
-
-def lean(df: DataFrame) -> DataFrame:
-    """Let batches be cut by bytes, so that long texts do not fill an executor's memory.
-
-    Ten thousand rows, the usual size, are a hundred megabytes of long texts in each of
-    a task's buffers. Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+__all__ = ["BATCH_BYTES", "lean"]

@@ -22,7 +22,7 @@ from textprov.models.sparse import (
 )
 from textprov.operators.batches import balanced_batches, fetch_rows
 from textprov.operators.losses import TEMPERATURE, _each_group
-from textprov.session import materialize
+from textprov.session import lean, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not import this package
 
@@ -137,7 +137,7 @@ def gradient_sums(rows: DataFrame, projection: np.ndarray, tau: float):
                 names=["feature", "s"],
             )
 
-    found = rows.mapInArrow(run, "feature long, s array<long>")
+    found = lean(rows).mapInArrow(run, "feature long, s array<long>")
     each = [F.sum(F.col("s")[k].cast("decimal(38,0)")).cast("double").alias(f"s{k}") for k in range(dim)]
     t = found.groupBy("feature").agg(*each).toArrow()  # a row for each feature at most
     shared.destroy()
@@ -207,4 +207,4 @@ def embed_learned(model: Embedder, df: DataFrame, text: str = "text", name: str
             vec = pa.ListArray.from_arrays(offsets, pa.array(u.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], vec], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return lean(rows).mapInArrow(run, schema)

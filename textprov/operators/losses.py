@@ -10,7 +10,7 @@ from textprov.functions.draws import DRAW_BITS, draw
 from textprov.functions.vectors import sigmoid
 from textprov.operators.prefix import running, with_quantile_cells
 from textprov.operators.skew import salted_join
-from textprov.session import materialize
+from textprov.session import lean, materialize
 
 MARGIN = 0.7  # fixed value: margin of both ranking losses
 TEMPERATURE = 0.1  # fixed value: temperature of the contrastive loss
@@ -198,7 +198,7 @@ def supcon_loss(
     cell = ("batch", "a", "b")
     # Sorted rows stream through a task, so many small batches share an Arrow batch.
     cells = copies.repartition(*cell).sortWithinPartitions(*cell)
-    sums = cells.mapInArrow(_each_group(cell, _similarity_sums(float(tau))), out)
+    sums = lean(cells).mapInArrow(_each_group(cell, _similarity_sums(float(tau))), out)
     anchors = sums.groupBy("batch", "id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return anchors.groupBy(F.col("batch").alias(by)).agg(
         F.count(F.lit(1)).alias("n"),

@@ -11,7 +11,7 @@ from textprov.functions.draws import draw
 from textprov.functions.text import format_source
 from textprov.operators.prefix import draw_cell, number_rows
 from textprov.operators.skew import salted_join
-from textprov.session import materialize
+from textprov.session import lean, materialize
 
 # What a broadcast vocabulary may take in memory, and the longest token of a part of
 # it that is broadcast when the whole is larger. An entry takes its bytes (up to 4 per
@@ -162,7 +162,7 @@ def _translate(
         tuple(head[c].combine_chunks() for c in (key, value))
     )
     types = dict(vocab.dtypes)
-    looked = df.select(id, column).mapInArrow(
+    looked = lean(df).select(id, column).mapInArrow(
         _head_lookup(shared, column, key),
         f"`{id}` {dict(df.dtypes)[id]}, _found array<{types[value]}>, "
         f"_at array<int>, {key} array<{types[key]}>",
