@@ -402,3 +402,18 @@ def test_arrow_batches_of_models_and_tokens_are_cut_by_bytes(spark):
 
     seen = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
     assert len(seen) > 3 and max(seen) < 2 * BATCH_BYTES
+
+
+def test_a_query_travels_once_to_a_tile_however_many_cells_it_asks_for(spark, monkeypatch):
+    df = _vectors(spark, _unit(300, 8, 3))
+    index = N.fit_index(df, n_cells=12, probes=12)
+    match, moved = N._match, []
+
+    def seen(left, right, *rest):
+        moved.extend([left.count(), right.count()])
+        return match(left, right, *rest)
+
+    monkeypatch.setattr(N, "_match", seen)
+    found = N.knn_approx(df, df, 4, index, tile_rows=150)
+    assert moved == [600, 600]  # two tiles of either side
+    assert X.knn_recall(found, X.knn(df, df, 4)).first()["recall"] == 1.0

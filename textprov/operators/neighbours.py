@@ -19,7 +19,10 @@ from typing import TYPE_CHECKING, NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from textprov.functions.draws import DRAW_BITS, draw
-from textprov.operators.vectors import _each, _extent, _match, _ranked, _tile, _top_k, _vectors_of, knn
+from textprov.operators.vectors import (
+    _each, _extent, _match, _ranked, _tile, _tile_rows, _top_k, _vectors_of, knn,
+)
+from textprov.session import lean
 
 if TYPE_CHECKING:
     import numpy as np
@@ -50,7 +53,7 @@ def _cell_helpers():
     def nearest(vec, centroids, n: int):
         """The ``n`` cells most like each vector, best first; ties go to the smaller cell."""
         out = np.empty((len(vec), n), np.int32)
-        step = max(1, (1 << 24) // max(1, len(centroids)))
+        step = max(1, (1 << 20) // max(1, len(centroids)))
         for i in range(0, len(vec), step):
             like = whole(vec[i : i + step]) @ centroids.T.astype("float64")
             out[i : i + step] = (
@@ -73,7 +76,7 @@ def _matrix(df: DataFrame, dim: int):
     import numpy as np
 
     t = df.toArrow()
-    _, matrix, _, _ = _top_k(1, False, 9)
+    _, matrix, *_ = _top_k(1, False, 9)
     if not t.num_rows:
         return t, np.zeros((0, dim))
     return t, matrix(t["vec"].combine_chunks())
@@ -152,7 +155,7 @@ def _placed(df: DataFrame, index: CellIndex, probes: int) -> DataFrame:
     """``id, vec, cell``: a row for each of the cells a vector is most like."""
     shared = df.sparkSession.sparkContext.broadcast(index.centroids)
     _, nearest = _cell_helpers()
-    _, matrix, _, _ = _top_k(1, False, 9)
+    _, matrix, *_ = _top_k(1, False, 9)
 
     def place(batches):
         import pyarrow as pa
@@ -168,7 +171,7 @@ def _placed(df: DataFrame, index: CellIndex, probes: int) -> DataFrame:
             )
 
     schema = df.withColumn("cells", F.lit(None).cast("array<int>")).schema
-    return df.mapInArrow(place, schema).select("id", "vec", F.explode("cells").alias("cell"))
+    return lean(df).mapInArrow(place, schema).select("id", "vec", F.explode("cells").alias("cell"))
 
 
 def knn_approx(
@@ -180,35 +183,106 @@ def knn_approx(
     id: str = "id",
     exclude_self: bool = True,
     digits: int = 9,
-    tile_rows: int = 4096,
+    tile_rows: int | None = None,
 ) -> DataFrame:
     """Near neighbours among the vectors of a query's cells: ``query_id, id, sim, rank``.
 
     Similarities are exact; a neighbour in a cell that is not probed is missed. Without an
-    ``index``, one is fitted on the corpus. Cells are cut into tiles by their counts, so one
-    that holds a third of all texts is many tasks; its texts are all compared. Rows
-    without a vector take no part.
+    ``index``, one is fitted on the corpus. The corpus is laid out cell by cell and cut into tiles
+    of ``tile_rows``, so a cell that holds a third of all texts is many tiles; its texts are all
+    compared. A query goes once to each tile that holds any of its cells, however many, and
+    every tile is one set of tasks of bounded size. Rows without a vector take no part.
     """
+    import numpy as np
+
     index = index or fit_index(corpus, k, vec=vec, id=id)
     q, c = _vectors_of(queries, id, vec), _vectors_of(corpus, id, vec)
     out = q.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim")).schema
     if not len(index.centroids):
         return _ranked(q.sparkSession.createDataFrame([], out), k)
-    left, right = _placed(q, index, index.probes), _placed(c, index, 1)
-
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        tiles = F.ceil(F.count(F.lit(1)) / F.lit(float(tile_rows))).cast("int")
-        return df.groupBy("cell").agg(tiles.alias(name))
-
-    # One row a cell, and the number of cells is bounded.
-    tiles = F.broadcast(sizes(left, "qts").join(sizes(right, "cts"), "cell"))
-    left = left.join(tiles, "cell").select(
-        "id", "vec", "cell", _tile("query", F.col("qts")).alias("qt"), _each(F.col("cts")).alias("ct")
+    right = _placed(c, index, 1)
+    n, dim, _ = _extent(q)
+    counts = np.zeros(len(index.centroids), np.int64)
+    for cell, count in right.groupBy("cell").count().toLocalIterator():  # one row a cell
+        counts[cell] = count
+    total = int(counts.sum())
+    if not n or not total:
+        return _ranked(q.sparkSession.createDataFrame([], out), k)
+    rows = tile_rows or _tile_rows(q, max(n, total), dim)
+    n_q, n_c = max(1, math.ceil(n / rows)), max(1, math.ceil(total / rows))
+    starts = np.cumsum(counts) - counts
+    cells = q.sparkSession.createDataFrame(
+        [(i, int(starts[i]), int(counts[i])) for i in np.flatnonzero(counts).tolist()], "cell int, start long, count long"
     )
-    right = right.join(tiles, "cell").select(
-        "id", "vec", "cell", _tile("corpus", F.col("cts")).alias("ct"), _each(F.col("qts")).alias("qt")
+    place = F.col("start") + _tile("corpus", F.col("count"))
+    right = right.join(F.broadcast(cells), "cell").select(
+        "id", "vec", "cell", F.floor(place * n_c / F.lit(total)).cast("int").alias("ct"),
+        _each(F.lit(n_q)).alias("qt"),
     )
-    return _ranked(_match(left, right, ["cell", "qt", "ct"], k, exclude_self, digits, out), k)
+    left = _asked(q, index, starts, counts, n_c).withColumn("qt", _tile("query", F.lit(n_q)))
+    match = _match_cells(k, exclude_self, digits)
+    return _ranked(_match(left, right, ["qt", "ct"], n_q * n_c, match, out), k)
+
+
+def _asked(df: DataFrame, index: CellIndex, starts, counts, n_tiles: int) -> DataFrame:
+    """``id, vec, cells, ct``: a row for each tile that holds some of the cells a vector asks for."""
+    import numpy as np
+
+    total = int(counts.sum())
+    first, last = starts * n_tiles // total, np.maximum(starts + counts - 1, 0) * n_tiles // total
+    last = np.where(counts > 0, last, -1)  # an empty cell is in no tile
+    shared = df.sparkSession.sparkContext.broadcast((index.centroids, first, last))
+    _, nearest = _cell_helpers()
+    _, matrix, *_ = _top_k(1, False, 9)
+    probes = index.probes
+
+    def ask(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centroids, first, last = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = nearest(matrix(batch.column("vec")), centroids, probes)
+            for t in range(n_tiles):
+                here = (first[cells] <= t) & (t <= last[cells])
+                each = here.sum(axis=1)
+                some = np.flatnonzero(each)
+                if len(some):
+                    offsets = pa.array(np.r_[0, np.cumsum(each[some])].astype(np.int32))
+                    asked = pa.ListArray.from_arrays(offsets, pa.array(cells[here], pa.int32()))
+                    part = batch.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, asked, pa.array(np.full(len(some), t, np.int32))],
+                        names=[*batch.schema.names, "cells", "ct"],
+                    )
+
+    schema = df.withColumns({"cells": F.lit(None).cast("array<int>"), "ct": F.lit(0)}).schema
+    return lean(df).mapInArrow(ask, schema)
+
+
+def _match_cells(k: int, exclude_self: bool, digits: int):
+    """Per pair of tiles: the best ``k`` for each query among the corpus rows of its cells."""
+    keys, matrix, _, best, by_cells = _top_k(k, exclude_self, digits)
+
+    def match(queries, corpus):
+        import numpy as np
+        import pyarrow as pa
+
+        if queries.num_rows and corpus.num_rows:
+            asked = queries["cells"].combine_chunks()
+            q, c, s = best(*by_cells(
+                keys(queries["id"].combine_chunks()), matrix(queries["vec"].combine_chunks()),
+                np.r_[0, np.cumsum(asked.value_lengths().to_numpy())], asked.flatten().to_numpy(),
+                keys(corpus["id"].combine_chunks()), matrix(corpus["vec"].combine_chunks()),
+                corpus["cell"].combine_chunks().to_numpy(),
+            ))
+        else:
+            q, c, s = queries["id"][:0], corpus["id"][:0], np.zeros(0)
+        return pa.table({"query_id": q, "id": c, "sim": s})
+
+    return match
 
 
 def knn_work(
