@@ -417,3 +417,22 @@ def test_a_query_travels_once_to_a_tile_however_many_cells_it_asks_for(spark, mo
     found = N.knn_approx(df, df, 4, index, tile_rows=150)
     assert moved == [600, 600]  # two tiles of either side
     assert X.knn_recall(found, X.knn(df, df, 4)).first()["recall"] == 1.0
+
+
+def test_a_look_up_takes_as_many_entries_as_the_vocabulary_has():
+    import pyarrow as pa
+
+    class Shared:
+        value = (pa.array([f"w{i}" for i in range(100)]), pa.array(range(100), pa.int32()))
+
+    lists = [[f"w{i}", "none"] if i % 7 else None for i in range(90)] + [[]]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x], pa.list_(pa.string()))], names=["id", "t"])
+        for i, x in enumerate(lists)
+    ]
+    out = list(K._head_lookup(Shared, "t", "tok")(iter(batches)))
+    assert len(out) == 2
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["id"] for r in rows] == list(range(91))
+    assert [r["_found"] for r in rows] == [[i, None] if i < 90 and i % 7 else [] for i in range(91)]
+    assert [r["_at"] for r in rows] == [[1] if i < 90 and i % 7 else [] for i in range(91)]

@@ -105,7 +105,24 @@ def out_of_corpus(vocab: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def _head_lookup(shared, column: str, key: str):
-    """Per Arrow batch: values of every list entry, and the entries not found."""
+    """Per Arrow batch: values of every list entry, and the entries not found.
+
+    A look-up hashes the whole vocabulary, so batches are looked up together until they
+    hold as many entries as it: the work stays in proportion to the entries.
+    """
+
+    def together(batches, entries):
+        import pyarrow as pa
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(column).flatten())
+            if n >= entries:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     def look(batches):
         import numpy as np
@@ -113,7 +130,7 @@ def _head_lookup(shared, column: str, key: str):
         import pyarrow.compute as pc
 
         keys, values = shared.value
-        for batch in batches:
+        for batch in together(batches, len(keys)):
             lists = batch.column(column)
             flat = lists.flatten()
             at = pc.index_in(flat, value_set=keys)
