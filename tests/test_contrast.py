@@ -1,15 +1,18 @@
 """The contrastive embedder: its gradient, its repeatability, and what it learns."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textprov.catalog.inputs import essays
 from textprov.models import contrast as C
+from textprov.models.embedder import count_words, embed, fit_embedder
 from textprov.models.sparse import WEIGHT
 from textprov.operators.batches import balanced_batches, fetch_rows
-from textprov.operators.losses import supcon_loss
+from textprov.operators.losses import _each_group, supcon_loss
 from textprov.operators.vectors import knn
+from textprov.plans.contrast import contrastive_losses
 from textprov.plans.detect import split_essays
 from textprov.session import materialize
 
@@ -84,3 +87,42 @@ def test_vectors_have_unit_length_or_none(spark, folds):
     df = spark.createDataFrame([(1, "one two"), (2, None), (3, " "), (4, "x " * 200_000)], "id long, text string")
     size = {r["id"]: sum(x * x for x in r["vec"]) for r in C.embed_learned(model, df).collect()}
     assert size == pytest.approx({1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0})
+
+
+def _essays(spark):
+    rows = [(i, f"word{i % 7} and, word{i % 3} again", i % 2, i % 2 * (i % 4) // 2) for i in range(40)]
+    return spark.createDataFrame(rows + [(40, None, 0, 1)], "id long, text string, prompt_id int, generated int")
+
+
+def test_contrastive_losses_read_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    once = _essays(spark).withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    out = {r["batch_id"]: (r["n"], r["loss"]) for r in contrastive_losses(once, 4).collect()}
+    assert read.value == 41
+    assert out == {r["batch_id"]: (r["n"], r["loss"]) for r in contrastive_losses(_essays(spark), 4).collect()}
+    assert len(out) == 10 and {n for n, _ in out.values()} == {4}
+
+
+def test_stored_counts_embed_as_their_texts(spark):
+    t = _essays(spark).where("text is not null").select("id", "text")
+    counts = materialize(count_words(t, 64), "counts")
+    assert counts.columns == ["id", "_tf"]
+    a, b = fit_embedder(t, 64), fit_embedder(counts)
+    want = {r["id"]: r["vec"] for r in embed(a, t).collect()}
+    for model in (a, b):
+        assert {r["id"]: r["vec"] for r in embed(model, counts).collect()} == want
+    assert {r["id"]: r["vec"] for r in embed(b, t).collect()} == want
+
+
+def test_short_groups_share_an_output_batch():
+    batches = pa.Table.from_pydict({"k": [1, 1, 2, 3, 3, 4], "x": [1, 2, 3, 4, 5, 6]}).to_batches(max_chunksize=5)
+    took = []
+    run = _each_group(("k",), lambda rows: (took.append(rows["x"].to_pylist()), rows)[1])
+    out = [b.column("x").to_pylist() for b in run(batches)]
+    assert took == [[1, 2], [3], [4, 5], [6]]
+    assert out == [[1, 2, 3], [4, 5], [6]]

@@ -130,7 +130,10 @@ def _similarity_sums(tau: float):
 
 
 def _each_group(keys: tuple[str, ...], fn):
-    """Call ``fn`` for every run of equal keys in sorted rows; a run may span batches."""
+    """Call ``fn`` for every run of equal keys in sorted rows; a run may span batches.
+
+    What the runs that end in a batch give is one batch again, however short they are.
+    """
 
     def run(batches):
         import numpy as np
@@ -148,8 +151,9 @@ def _each_group(keys: tuple[str, ...], fn):
                 c = rows.column(k).to_numpy()
                 cut[1:] |= c[1:] != c[:-1]
             starts = [0, *np.flatnonzero(cut).tolist()]
-            for lo, hi in zip(starts, starts[1:]):
-                yield from fn(rows.slice(lo, hi - lo)).to_batches()
+            done = [fn(rows.slice(lo, hi - lo)) for lo, hi in zip(starts, starts[1:])]
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
             held = rows.slice(starts[-1])
         if held is not None:
             yield from fn(held).to_batches()

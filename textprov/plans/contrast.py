@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from textprov.models.embedder import embed, fit_embedder
+from textprov.models.embedder import count_words, embed, fit_embedder
 from textprov.operators.batches import balanced_batches, fetch_rows, prompt_batches
 from textprov.operators.losses import ranking_loss, supcon_loss
 from textprov.operators.rows import drop_null_text, limit_prompts
@@ -14,15 +14,18 @@ from textprov.session import materialize
 def contrastive_losses(
     essays: DataFrame, batch_size: int = 64, max_prompt: int | None = None, seed=42, n_batches: int | None = None
 ) -> DataFrame:
-    """Supervised contrastive loss of class-balanced batches of embedded essays."""
+    """Supervised contrastive loss of class-balanced batches of embedded essays.
+
+    The counts of words are stored with what the plan needs of an essay, so texts are read
+    and split once.
+    """
     kept = drop_null_text(essays)
     if max_prompt is not None:
         kept = limit_prompts(kept, max_prompt)
-    vectors = materialize(
-        embed(fit_embedder(kept), kept.select("id", "generated", "text")).drop("text"), "vectors"
-    )
-    plan = materialize(balanced_batches(kept, batch_size, seed, n_batches), "batches")
-    rows = fetch_rows(plan, vectors.select("id", "vec"))
+    counted = materialize(count_words(kept.select("id", "prompt_id", "generated", "text")), "counts")
+    vectors = materialize(embed(fit_embedder(counted), counted.select("id", "_tf")).drop("_tf"), "vectors")
+    plan = materialize(balanced_batches(counted, batch_size, seed, n_batches), "batches")
+    rows = fetch_rows(plan, vectors)
     return supcon_loss(rows, "batch_id", "vec", "generated")
 
 
