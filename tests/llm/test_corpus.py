@@ -198,6 +198,35 @@ def test_remove_repeats_of_documents(docs, rows, none):
     assert remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("every", [True, False])
+def test_pieces_with_very_many_copies_are_not_gathered(spark, every, monkeypatch):
+    """A word pair said over and over is one piece at thousands of places."""
+    monkeypatch.setattr(suffixes, "HEAVY", 64, raising=False)
+    held = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in held}
+    rows = [(i, f"{i} " + "Is onhe. " * (40 + i)) for i in range(24)]
+    rows += [(100 + i, t) for i, t in enumerate(passages(random.Random(3), 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = remove_repeats(df, length=40, gram=16).collect()
+        at = repeated_passages(df, length=40, gram=16, every=every)
+        at = at.select("repeat", F.spark_partition_id().alias("task"))
+        tasks = at.groupBy("repeat").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("task").alias("tasks")
+        )
+        tasks = tasks.where("n > 64").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert Counter(tuple(x) for x in got) == removed(rows, 40)
+    assert tasks and all(x.tasks > 1 for x in tasks)
+
+
 def test_all_occurrences_of_a_repeat(spark):
     r = random.Random(12)
     texts = passages(r, 40)
