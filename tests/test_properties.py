@@ -242,6 +242,18 @@ def test_all_cells_are_exact(spark):
         assert r["sim"] == pytest.approx(v[r["query_id"]] @ v[r["id"]], abs=1e-8)
 
 
+def test_a_cell_of_more_than_2048_vectors(spark):
+    """A draw of 52 bits times the vectors of such a cell is past a long."""
+    df = _vectors(spark, _unit(3000, 4, 8))
+    index = N.fit_index(df, n_cells=1, probes=1)
+    found = N.knn_approx(df, df, 2, index, tile_rows=1000)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, X.knn(df, df, 2).collect()))
+    places = spark.range(3000).select(*[X._tile("tile", F.lit(n)).alias(f"t{n}") for n in (2047, 5000)])
+    for n, most in ((2047, 2046), (5000, 4999)):
+        low, high = places.agg(F.min(f"t{n}"), F.max(f"t{n}")).first()
+        assert 0 <= low < n // 100 and n - n // 100 < high <= most
+
+
 def test_cells_do_less_work_as_vectors_grow(spark):
     """Vectors in groups: few cells are enough, and a smaller share of more vectors."""
     shares = []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textprov.functions.draws import DRAW_BITS, draw
 from textprov.operators.vectors import (
-    _each, _extent, _match, _ranked, _tile, _tile_rows, _top_k, _vectors_of, knn,
+    _drawn_place, _each, _extent, _match, _ranked, _tile, _tile_rows, _top_k, _vectors_of, knn,
 )
 from textprov.session import lean
 
@@ -214,7 +214,7 @@ def knn_approx(
     cells = q.sparkSession.createDataFrame(
         [(i, int(starts[i]), int(counts[i])) for i in np.flatnonzero(counts).tolist()], "cell int, start long, count long"
     )
-    place = F.col("start") + _tile("corpus", F.col("count"))
+    place = F.col("start") + _drawn_place("corpus", F.col("count"))
     right = right.join(F.broadcast(cells), "cell").select(
         "id", "vec", "cell", F.floor(place * n_c / F.lit(total)).cast("int").alias("ct"),
         _each(F.lit(n_q)).alias("qt"),

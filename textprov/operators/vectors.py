@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textprov.functions.draws import DRAW_BITS, draw
+from textprov.functions.draws import uniform
 from textprov.functions.vectors import dot
 from textprov.operators.skew import null_safe_join
 from textprov.session import lean
@@ -276,9 +276,14 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _drawn_place(tag: str, n):
+    """A place of a row in ``range(n)``, by draw. Doubles, since a draw times 2048 is past a long."""
+    return F.floor(uniform(tag, F.col("id")) * n)
+
+
 def _tile(tag: str, tiles):
     """The tile of a row, by draw."""
-    return F.floor(draw(tag, F.col("id")) * tiles / F.lit(float(1 << DRAW_BITS))).cast("int")
+    return _drawn_place(tag, tiles).cast("int")
 
 
 def _each(tiles):
