@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textprov.catalog.inputs import essays
 from textprov.models import contrast as C
 from textprov.models.embedder import count_words, embed, fit_embedder
-from textprov.models.sparse import WEIGHT
+from textprov.models.sparse import WEIGHT, hashed_rows
 from textprov.operators.batches import balanced_batches, fetch_rows
 from textprov.operators.losses import _each_group, supcon_loss
 from textprov.operators.vectors import knn
@@ -89,6 +89,18 @@ def test_vectors_have_unit_length_or_none(spark, folds):
     assert size == pytest.approx({1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0})
 
 
+def test_vectors_are_made_in_one_pass_of_python(spark):
+    model = C.Embedder(64, np.random.default_rng(3).integers(-WEIGHT, WEIGHT, (65, 4)))
+    df = spark.createDataFrame([(i, f"a word{i % 5} and b{i}" if i % 9 else None) for i in range(50)], "id long, text string")
+    vectors = C.embed_learned(model, df)
+    assert vectors._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert vectors.columns == ["id", "text", "vec"] and vectors.select("id", "text").exceptAll(df).count() == 0
+    got = {r["id"]: r["vec"] for r in vectors.collect()}
+    for r in hashed_rows(df, 64, "text", ["id"]).collect():
+        z = (model.projection[r["_idx"]] * np.array(r["_val"])[:, None]).sum(axis=0)
+        assert got[r["id"]] == pytest.approx(z / np.linalg.norm(z))
+
+
 def _essays(spark):
     rows = [(i, f"word{i % 7} and, word{i % 3} again", i % 2, i % 2 * (i % 4) // 2) for i in range(40)]
     return spark.createDataFrame(rows + [(40, None, 0, 1)], "id long, text string, prompt_id int, generated int")

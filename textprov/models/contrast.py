@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from textprov.models.sparse import (
-    BETA1, BETA2, EPSILON, VALUE, WEIGHT, _blocks, hashed_rows,
+    BETA1, BETA2, EPSILON, VALUE, WEIGHT, _blocks, _hashing, hashed_rows,
 )
 from textprov.operators.batches import balanced_batches, fetch_rows
 from textprov.operators.losses import TEMPERATURE, _each_group
@@ -187,24 +187,25 @@ def fit_contrastive(
 
 
 def embed_learned(model: Embedder, df: DataFrame, text: str = "text", name: str = "vec") -> DataFrame:
-    """Add ``vec`` of unit length; zeros for a text without words."""
-    rows = hashed_rows(df, model.n_features, text, df.columns)
+    """Add ``vec`` of unit length; zeros for a text without words.
+
+    Sparse rows are multiplied where they are made, so a task needs one Python worker and they do not travel.
+    """
+    listed, hashed, sparse = _hashing(df, model.n_features, text, df.columns)
     shared = df.sparkSession.sparkContext.broadcast(model.projection)
     unit, (slices, products) = _unit(), _blocks()
-    kept = [f for f in rows.schema.fields if f.name not in ("_idx", "_val")]
+    kept = sparse.fields[:-2]
     schema = T.StructType([*kept, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in hashed(batches):
             z = np.concatenate([products(shared.value, starts, idx, val) for _, _, starts, idx, val in slices(batch)])
             u = unit(z)[0]
             offsets = pa.array(np.arange(0, u.size + 1, u.shape[1], dtype=np.int32))
             vec = pa.ListArray.from_arrays(offsets, pa.array(u.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], vec], names=schema.names)
 
-    return lean(rows).mapInArrow(run, schema)
+    return lean(listed).mapInArrow(run, schema)
